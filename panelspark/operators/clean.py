@@ -11,11 +11,16 @@ MAX_INLINE_CODES = 1_000
 
 
 def require_present(df: DataFrame, *cols: str, tokens: Iterable[str] = ()) -> DataFrame:
-    """Keep rows whose ``cols`` are neither NULL nor one of the missing-value ``tokens``."""
-    df = df.dropna(subset=list(cols))
+    """Keep rows whose ``cols`` are neither NULL nor one of the missing-value ``tokens``.
+
+    Written as IS NOT NULL, which reaches a Parquet scan and lets NaN pass;
+    ``dropna`` does neither.
+    """
     tokens = list(tokens)
-    for c in cols if tokens else ():
-        df = df.where(~F.col(c).isin(tokens))
+    for c in cols:
+        df = df.where(F.col(c).isNotNull())
+        if tokens:
+            df = df.where(~F.col(c).isin(tokens))
     return df
 
 

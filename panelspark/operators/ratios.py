@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -15,31 +15,35 @@ def attach_total(
     keys: Iterable[str],
     series: str,
     total_code: str,
-    value: str,
+    value: str | Mapping[str, str],
     out: str = "total",
     duplicates: str = "join",
 ) -> DataFrame:
     """Left-join each row to the total series' value for the same ``keys``.
 
-    The total series is filtered before the join, so its predicate reaches the
-    scan. Catalyst broadcasts that side when its size allows; otherwise both
-    sides shuffle on ``keys`` and AQE splits a hot key on the left, against
-    whose many rows the right holds a single one.
+    ``value`` names one column, attached as ``out``, or maps several to their
+    output names. The total series is filtered before the join, so its predicate
+    reaches the scan. Catalyst broadcasts that side when its size allows;
+    otherwise both sides shuffle on ``keys`` and AQE splits a hot key on the
+    left, against whose many rows the right holds a single one.
 
     A total stored twice for a key doubles the rows of that key, as any join
     does. ``duplicates="fail"`` raises instead; its check aggregates on the join
     keys and adds no shuffle of its own.
     """
     keys = list(keys)
-    totals = df.where(F.col(series) == total_code).select(*keys, F.col(value).alias(out))
+    names = {value: out} if isinstance(value, str) else dict(value)
+    totals = df.where(F.col(series) == total_code).select(*keys, *[F.col(v).alias(o) for v, o in names.items()])
     if duplicates == "fail":
         message = F.concat(F.lit("total series stored twice for "), F.to_json(F.struct(*keys)))
-        complaint = F.raise_error(message).cast(df.schema[value].dataType)
-        once = F.when(F.count(F.lit(1)) > 1, complaint).otherwise(F.max(out))
-        totals = totals.groupBy(*keys).agg(once.alias(out))
+        once = totals.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_copies"), *[F.max(o).alias(o) for o in names.values()]
+        )
+        checked = F.when(F.col("_copies") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+        totals = once.where(checked).drop("_copies")
     elif duplicates != "join":
         raise ValueError("duplicates must be 'join' or 'fail'")
-    return df.join(totals, keys, "left").select(*df.columns, out)
+    return df.join(totals, keys, "left").select(*df.columns, *names.values())
 
 
 def share_of_total(df: DataFrame, value: str, total: str, out: str = "pct_of_total") -> DataFrame:

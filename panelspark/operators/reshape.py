@@ -47,7 +47,7 @@ def unpivot_periods(
     if not columns:
         raise ValueError(f"no period column matches {pattern}")
     rows = df.unpivot(list(ids), columns, *names)
-    return rows if keep_nulls else rows.dropna(subset=[names[1]])
+    return rows if keep_nulls else rows.where(F.col(names[1]).isNotNull())
 
 
 def spread_series(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.measures import cast_measure, percent, percent_step, period_to_int
+from ..functions.measures import cast_measure, cast_measures, percent, percent_step, period_to_int
 from ..operators.clean import clean_codes, label_codes, require_present
 from ..operators.ratios import attach_total, pct_change, previous_value, share_of_total
 from ..operators.reshape import latest_snapshot, period_columns, unpivot_periods
@@ -15,7 +15,7 @@ from .specs import ANNUAL, QUARTERLY, PanelSpec, SheetSpec
 
 def _cleaned_wide(raw: DataFrame, spec: PanelSpec) -> DataFrame:
     """Newest snapshot, staged column names, unwanted codes removed; still wide and text."""
-    newest = latest_snapshot(raw, spec.snapshot)
+    newest = raw if spec.one_snapshot else latest_snapshot(raw, spec.snapshot)
     renamed = newest.withColumnsRenamed(dict(spec.renames))
     return clean_codes(renamed, spec.entity, spec.code_length, spec.exclude, spec.tokens)
 
@@ -36,15 +36,16 @@ def stage_panel(raw: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame:
     wide = _cleaned_wide(raw, spec)
     ids = [spec.entity, spec.name, spec.series, spec.stamp]
     cells = unpivot_periods(wide, ids, _years(wide, spec), names=("_column", "_text"))
-    typed = cells.select(
+    # Strict: a value is missing exactly where its text is, so the filter need not cast.
+    typed = require_present(cells, "_text", tokens=spec.tokens).select(
         spec.entity,
         spec.name,
         spec.series,
         period_to_int(F.col("_column"), spec.period_prefix).alias(spec.period),
-        cast_measure(F.col("_text"), spec.tokens).alias(spec.value),
+        cast_measure(F.col("_text"), ()).alias(spec.value),
         spec.stamp,
     )
-    return label_codes(require_present(typed, spec.value), spec.series, spec.labels, spec.label)
+    return label_codes(typed, spec.series, spec.labels, spec.label)
 
 
 def _stocks_columns(spec: PanelSpec) -> list[str]:
@@ -61,11 +62,13 @@ def stocks_mart(staged: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame:
     gives the same rows with far less shuffling.
     """
     keys = [spec.entity, spec.series]
-    joined = attach_total(staged, [spec.entity, spec.period], spec.series, spec.total_series, spec.value, spec.total)
+    # The label follows from the series code: put it back last, shuffle rows without it.
+    cells = staged.drop(spec.label)
+    joined = attach_total(cells, [spec.entity, spec.period], spec.series, spec.total_series, spec.value, spec.total)
     shared = share_of_total(joined, spec.value, spec.total, spec.share)
     stepped = previous_value(shared, keys, spec.period, spec.value, spec.previous)
     changed = pct_change(stepped, keys, spec.period, spec.value, spec.change, previous=spec.previous)
-    return changed.select(*_stocks_columns(spec))
+    return label_codes(changed, spec.series, spec.labels, spec.label).select(*_stocks_columns(spec))
 
 
 def stocks_mart_from_wide(raw: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame:
@@ -80,18 +83,22 @@ def stocks_mart_from_wide(raw: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame
     wide = _cleaned_wide(raw, spec)
     years = sorted(_years(wide, spec), key=lambda y: _period(y, spec))
     ids = [spec.entity, spec.name, spec.series, spec.stamp]
-    values = F.array(*[cast_measure(F.col(y), spec.tokens) for y in years])
-    history = wide.select(*ids, values.alias("_values"))
-    joined = attach_total(
+    history = cast_measures(wide.select(*ids, *years), years, "_values", spec.tokens)
+    rows = attach_total(
         history, [spec.entity], spec.series, spec.total_series, "_values", "_totals", duplicates="fail"
     )
-    cells = F.array_compact(F.array(*[_cell(i, _period(y, spec)) for i, y in enumerate(years)]))
-    compact = joined.select(*ids, cells.alias("_cells"))
-    nothing = F.lit(None).cast(compact.schema["_cells"].dataType.elementType)
+    periods = F.array(*[F.lit(_period(y, spec)).cast("bigint") for y in years])
+    # An entity without the total series has no array of totals: one NULL per year.
+    no_totals = F.lit([None] * len(years)).cast("array<double>")
+    zipped = F.arrays_zip(
+        periods.alias("period"), F.col("_values").alias("value"), F.coalesce("_totals", no_totals).alias("total")
+    )
+    cells = rows.select(*ids, F.filter(zipped, lambda cell: cell["value"].isNotNull()).alias("_cells"))
+    nothing = F.lit(None).cast(cells.schema["_cells"].dataType.elementType)
     shifted = F.slice(F.concat(F.array(nothing), F.col("_cells")), F.lit(1), F.size("_cells"))
     paired = F.inline(F.arrays_zip(F.col("_cells").alias("_now"), shifted.alias("_before")))
     now, before = F.col("_now"), F.col("_before")
-    flat = compact.select(*ids, paired).select(
+    flat = cells.select(*ids, paired).select(
         *ids,
         now["period"].alias(spec.period),
         now["value"].alias(spec.value),
@@ -107,41 +114,41 @@ def _period(column: str, spec: PanelSpec) -> int:
     return int(column.removeprefix(spec.period_prefix))
 
 
-def _cell(i: int, period: int) -> Column:
-    """(period, value, total) at position ``i``, NULL where the value is."""
-    value, total = F.col("_values")[i], F.col("_totals")[i]
-    cell = F.struct(F.lit(period).cast("bigint").alias("period"), value.alias("value"), total.alias("total"))
-    return F.when(value.isNotNull(), cell)
-
-
 def regional_rollup(staged: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame:
     """Entity count, sum, mean, maximum and minimum per region, series and year.
 
     Codes in no region are left out. Regions are code lists, see
     :func:`~panelspark.operators.rollup.rollup_listed`.
     """
-    return rollup_listed(
-        staged, [spec.series, spec.label, spec.period], spec.entity, spec.value, spec.groups, spec.group,
+    rolled = rollup_listed(
+        staged, [spec.series, spec.period], spec.entity, spec.value, spec.groups, spec.group,
         decimals=spec.decimals, names=spec.rollup_names,
     )
+    return _labelled_rollup(rolled, spec.group, spec)
 
 
 def rollup_by_column(staged: DataFrame, group: str, spec: PanelSpec = ANNUAL) -> DataFrame:
     """The same roll-up where the group is a column already, with any number of entities."""
-    return rollup_by_group(
-        staged, [group, spec.series, spec.label, spec.period], spec.entity, spec.value,
+    rolled = rollup_by_group(
+        staged, [group, spec.series, spec.period], spec.entity, spec.value,
         decimals=spec.decimals, names=spec.rollup_names,
     )
+    return _labelled_rollup(rolled, group, spec)
+
+
+def _labelled_rollup(rolled: DataFrame, group: str, spec: PanelSpec) -> DataFrame:
+    """Labels follow from the series code, so they join the groups, not the cells."""
+    labelled = label_codes(rolled, spec.series, spec.labels, spec.label)
+    return labelled.select(group, spec.series, spec.label, spec.period, *spec.rollup_names)
 
 
 def stage_sheet(raw: DataFrame, spec: SheetSpec = QUARTERLY) -> DataFrame:
     """Newest snapshot with quarters as doubles; stays wide. Bad text becomes NULL."""
-    newest = latest_snapshot(raw, spec.snapshot)
+    newest = raw if spec.one_snapshot else latest_snapshot(raw, spec.snapshot)
     present = require_present(newest, *spec.required, tokens=spec.key_tokens)
     quarters = list(spec.quarters) if spec.quarters is not None else period_columns(newest, spec.quarter_pattern)
-    return present.select(
-        *spec.ids, *[cast_measure(F.col(q), spec.tokens, strict=False).alias(q) for q in quarters]
-    )
+    cast = cast_measures(present.select(*spec.ids, *quarters), quarters, "_quarters", spec.tokens, strict=False)
+    return cast.select(*spec.ids, *[F.col("_quarters")[i].alias(q) for i, q in enumerate(quarters)])
 
 
 def service_mart(staged: DataFrame, spec: SheetSpec = QUARTERLY) -> DataFrame:

@@ -81,6 +81,7 @@ class PanelSpec:
         default_factory=lambda: {"economy": "country_code", "Country": "country_name"}
     )
     snapshot: str | None = None  # None: the partition column if present, else the stamp
+    one_snapshot: bool = False  # the input holds one snapshot only: do not look for the newest
     period_pattern: str = YEAR_COLUMNS
     period_prefix: str = "year_"
     periods: tuple[str, ...] | None = None
@@ -128,6 +129,7 @@ class SheetSpec:
     tokens: tuple[str, ...] = ()
     key_tokens: tuple[str, ...] = ()
     snapshot: str | None = None
+    one_snapshot: bool = False
 
 
 ANNUAL = PanelSpec()

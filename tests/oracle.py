@@ -71,7 +71,10 @@ def main() -> int:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = panel_session("oracle", f"local[{cpus}]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    spark = panel_session(
+        "oracle", f"local[{cpus}]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con, runs, sql = connect(sf_dir), queries(), oracle_sql()
     bad = 0

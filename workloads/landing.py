@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from panelspark.operators import latest_snapshot, stringify
@@ -140,8 +142,8 @@ def _built(spark, sf_dir):
     publish_view(open_snapshots(spark, annual), RAW_ANNUAL)
     publish_view(open_snapshots(spark, quarterly), RAW_QUARTERLY)
     return {
-        **build_annual(spark, COUNTRY_PANEL, root=f"{root}/marts"),
-        **build_quarterly(spark, SUPPLIER_SHEET, root=f"{root}/marts"),
+        **build_annual(spark, replace(COUNTRY_PANEL, one_snapshot=False), root=f"{root}/marts"),
+        **build_quarterly(spark, replace(SUPPLIER_SHEET, one_snapshot=False), root=f"{root}/marts"),
     }
 
 

@@ -23,6 +23,7 @@ ALL = "ALL"
 CUSTOMER_LABELS = {ALL: "All priorities", "1-URGENT": "Urgent", "2-HIGH": "High"}
 CUSTOMER_PANEL: PanelSpec = replace(
     ANNUAL, code_length=None, exclude=(), labels=CUSTOMER_LABELS, total_series=ALL, groups={}, decimals=2,
+    one_snapshot=True,
 )
 
 # ------------------------------------------------------------- annual, by country
@@ -45,7 +46,7 @@ PRIORITY_SERIES = {
     "4-NOT SPECIFIED": "DT.DOD.DIMF.CD",
     "5-LOW": "DT.DOD.XTRA.CD",
 }
-COUNTRY_PANEL: PanelSpec = replace(ANNUAL, decimals=2)
+COUNTRY_PANEL: PanelSpec = replace(ANNUAL, decimals=2, one_snapshot=True)
 
 
 def price(name: str) -> Column:
@@ -187,6 +188,7 @@ QUARTERS = ("q_1996q1", "q_1996q2", "q_1996q3", "q_1996q4", "q_1997q3")
 SUPPLIER_SHEET: SheetSpec = replace(
     QUARTERLY, quarters=QUARTERS, summed=QUARTERS[:4],
     total="total_1996_payments", average="avg_quarterly_payment_1996",
+    one_snapshot=True,
 )
 
 
