@@ -49,16 +49,19 @@ def cast_measures(
 
     One cast of an array compiles to a short loop; one cast per column makes a
     method so long that the JVM never compiles it. Only rows that need a closer
-    look (a value lost in the cast, text with a d or f in it) go cell by cell.
+    look (text with a d or f in it; a value lost in the cast where the session
+    does not raise by itself) go cell by cell.
     """
     cols = list(cols)
     kept = [c for c in df.columns if c not in cols]
-    texts = F.array(*[tokens_to_null(F.col(c), tokens) for c in cols])
+    raises = strict and df.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+    texts, kind = F.array(*[tokens_to_null(F.col(c), tokens) for c in cols]), "array<double>"
+    numbers = F.col("_texts").cast(kind) if raises else F.col("_texts").try_cast(kind)
     cast = df.select(*kept, texts.alias("_texts")).select(
-        "*", F.col("_texts").try_cast("array<double>").alias("_numbers"), F.concat_ws("|", "_texts").alias("_line")
+        "*", numbers.alias("_numbers"), F.concat_ws("|", "_texts").alias("_line")
     )
     doubtful = reduce(lambda a, b: a | b, [F.contains("_line", F.lit(c)) for c in "dDfF"])
-    if strict:
+    if strict and not raises:
         doubtful = doubtful | (F.size(F.array_compact("_texts")) != F.size(F.array_compact("_numbers")))
     one_by_one = F.transform("_texts", lambda t: cast_measure(t, (), strict))
     return cast.select(*kept, F.when(doubtful, one_by_one).otherwise(F.col("_numbers")).alias(out))

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import pin
+
 # A code list longer than this belongs in a table and a join, not in an expression.
 MAX_INLINE_CODES = 1_000
 
@@ -55,11 +57,13 @@ def label_codes(
     """Label for every code; an unknown code is its own label.
 
     ``labels`` is a mapping, or a frame (code, label). The frame is reduced to
-    one row per code first, so a code listed twice cannot multiply rows.
+    one row per code first, so a code listed twice cannot multiply rows, and
+    pinned: its size on disk decides whether it is broadcast, and if it is not,
+    AQE can still split a hot code.
     """
     if isinstance(labels, DataFrame):
         c, label = labels.columns[:2]
-        one_each = labels.groupBy(F.col(c).alias(code)).agg(F.min(label).alias("_label"))
+        one_each = pin(labels.groupBy(F.col(c).alias(code)).agg(F.min(label).alias("_label")), "labels")
         joined = df.join(one_each, code, "left")
         return joined.select(*df.columns, F.coalesce("_label", code).alias(out))
     _check_inline(len(labels))
@@ -83,12 +87,13 @@ def classify(
 
     ``groups`` is an ordered mapping group -> codes, or a frame (code, group,
     priority) in which the lowest priority wins. The frame is reduced to one row
-    per code before the join; a code in two groups would otherwise fan out.
+    per code before the join (a code in two groups would fan out) and pinned, as
+    in :func:`label_codes`.
     """
     if isinstance(groups, DataFrame):
         c, group, priority = groups.columns[:3]
         winner = groups.groupBy(F.col(c).alias(code)).agg(F.min_by(group, priority).alias("_group"))
-        joined = df.join(winner, code, "left")
+        joined = df.join(pin(winner, "groups"), code, "left")
         return joined.select(*df.columns, F.coalesce("_group", F.lit(default)).alias(out))
     _check_inline(sum(len(list(codes)) for codes in groups.values()))
     picked = None

@@ -28,19 +28,17 @@ def attach_total(
     left, against whose many rows the right holds a single one.
 
     A total stored twice for a key doubles the rows of that key, as any join
-    does. ``duplicates="fail"`` raises instead; its check aggregates on the join
-    keys and adds no shuffle of its own.
+    does. ``duplicates="fail"`` raises instead. The check is a subquery over the
+    keys of the total series, outside the join: an aggregate inside it would
+    keep AQE from splitting a hot key.
     """
     keys = list(keys)
     names = {value: out} if isinstance(value, str) else dict(value)
     totals = df.where(F.col(series) == total_code).select(*keys, *[F.col(v).alias(o) for v, o in names.items()])
     if duplicates == "fail":
-        message = F.concat(F.lit("total series stored twice for "), F.to_json(F.struct(*keys)))
-        once = totals.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_copies"), *[F.max(o).alias(o) for o in names.values()]
-        )
-        checked = F.when(F.col("_copies") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-        totals = once.where(checked).drop("_copies")
+        copies = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).select(F.max("_copies")).scalar()
+        complaint = F.raise_error(F.lit(f"series {total_code} is stored twice for the same {', '.join(keys)}"))
+        totals = totals.where(F.when(F.coalesce(copies, F.lit(0)) < 2, F.lit(True)).otherwise(complaint.cast("boolean")))
     elif duplicates != "join":
         raise ValueError("duplicates must be 'join' or 'fail'")
     return df.join(totals, keys, "left").select(*df.columns, *names.values())

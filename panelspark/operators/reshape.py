@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import pin
+
 YEAR_COLUMNS = r"^year_\d{4}$"
 QUARTER_COLUMNS = r"^q_\d{4}q[1-4]$"
 SNAPSHOT_PARTITION = "extracted_date"
@@ -23,14 +25,15 @@ def latest_snapshot(df: DataFrame, by: str | None = None, per: Iterable[str] = (
     ``by`` defaults to the partition column when the frame has it: the maximum
     then becomes a partition filter and older snapshots are never opened. With
     ``per`` the newest snapshot is chosen per key (e.g. per series), which keeps
-    a series that the newest snapshot lost.
+    a series that the newest snapshot lost; the one row per key is pinned, so its
+    real size decides whether it is broadcast.
     """
     if by is None:
         by = SNAPSHOT_PARTITION if SNAPSHOT_PARTITION in df.columns else "extracted_at"
     per = list(per)
     if not per:
         return df.where(F.col(by) == df.select(F.max(by)).scalar())
-    newest = df.groupBy(*per).agg(F.max(by).alias(by))
+    newest = pin(df.groupBy(*per).agg(F.max(by).alias(by)), "newest")
     return df.join(newest, [*per, by], "left_semi").select(*df.columns)
 
 

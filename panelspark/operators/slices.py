@@ -8,8 +8,6 @@ per slice and key, are ordered per key.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import pin
@@ -31,40 +29,48 @@ def range_slices(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return pin(cut, "slices")
 
 
-def left_join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on ``keys`` where NULL matches NULL; the right keys are dropped."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "row_number") -> DataFrame:
-    """1, 2, 3, ... per ``keys`` by ``order`` (unique per key), as bigint."""
+    """1, 2, 3, ... per ``keys`` by ``order`` (unique per key), as bigint.
+
+    Each slice and key starts from one extra row that brings the number of rows
+    in earlier slices, so a running sum does it and nothing needs to be joined.
+    """
     sliced = range_slices(df, [*keys, *order])
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
+    start = (
         sliced.groupBy(SLICE, *keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(SLICE, *keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select(SLICE, *keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_step"), F.lit(0).alias("_row"))
     )
-    inside = F.row_number().over(Window.partitionBy(SLICE, *keys).orderBy(*order))
-    numbered = left_join_null_safe(sliced.withColumn("_inside", inside), before, [SLICE, *keys])
-    return numbered.select(*df.columns, (F.col("_inside") + F.col("_before")).cast("bigint").alias(out))
+    rows = sliced.withColumns({"_step": F.lit(1).cast("bigint"), "_row": F.lit(1)})
+    both = rows.unionByName(start, allowMissingColumns=True)
+    so_far = Window.partitionBy(SLICE, *keys).orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = both.withColumn(out, F.sum("_step").over(so_far))
+    return numbered.where("_row = 1").select(*df.columns, out)
 
 
 def lag_within(df: DataFrame, keys: list[str], order: str, fields: dict[str, str]) -> DataFrame:
-    """For each ``out: column`` in ``fields`` the previous row's value per ``keys`` by ``order``."""
+    """For each ``out: column`` in ``fields`` the previous row's value per ``keys`` by ``order``.
+
+    Each slice and key starts from one extra row that brings the last row of
+    the slice before.
+    """
     sliced = range_slices(df, [*keys, order])
-    row = F.struct(*[F.col(c).alias(out) for out, c in fields.items()])
-    carried = (
+    picked = F.struct(*[F.col(c).alias(out) for out, c in fields.items()])
+    start = (
         sliced.groupBy(SLICE, *keys)
-        .agg(F.max_by(row, order).alias("_last"))
-        .select(SLICE, *keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carry"))
+        .agg(F.max_by(picked, order).alias("_last"))
+        .select(
+            SLICE, *keys,
+            F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_picked"),
+            F.lit(0).alias("_row"),
+        )
     )
-    inside = F.lag(row).over(Window.partitionBy(SLICE, *keys).orderBy(order))
-    joined = left_join_null_safe(sliced.withColumn("_inside", inside), carried, [SLICE, *keys])
-    previous = F.coalesce("_inside", "_carry")
-    return joined.select(*df.columns, *[previous[out].alias(out) for out in fields])
+    rows = sliced.withColumns({"_picked": picked, "_row": F.lit(1)})
+    both = rows.unionByName(start, allowMissingColumns=True)
+    before = F.lag("_picked").over(Window.partitionBy(SLICE, *keys).orderBy("_row", order))
+    stepped = both.withColumn("_before", before).where("_row = 1")
+    return stepped.select(*df.columns, *[F.col("_before")[out].alias(out) for out in fields])
 
 
 def global_rank(df: DataFrame, by: str, out: str = "rank", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
@@ -92,6 +98,7 @@ def global_rank(df: DataFrame, by: str, out: str = "rank", one_task_rows: int =
     ranks = (
         sliced.withColumn("_inside", F.coalesce(F.sum("_rows").over(higher), F.lit(0)))
         .join(F.broadcast(before), SLICE)
-        .select(by, (F.col("_inside") + F.col("_before") + 1).cast("bigint").alias(out))
+        .select(F.col(by).alias("_value"), (F.col("_inside") + F.col("_before") + 1).cast("bigint").alias(out))
     )
-    return left_join_null_safe(pinned, ranks, [by])
+    same = F.col(by).eqNullSafe(F.col("_value"))
+    return pinned.join(ranks, same, "left").drop("_value")

@@ -34,7 +34,7 @@ def stage_panel(raw: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame:
     and reach the scan. The strict cast therefore never sees rows they remove.
     """
     wide = _cleaned_wide(raw, spec)
-    ids = [spec.entity, spec.name, spec.series, spec.stamp]
+    ids = [spec.entity, spec.name, spec.series, spec.stamp, *spec.carry]
     cells = unpivot_periods(wide, ids, _years(wide, spec), names=("_column", "_text"))
     # Strict: a value is missing exactly where its text is, so the filter need not cast.
     typed = require_present(cells, "_text", tokens=spec.tokens).select(
@@ -44,6 +44,7 @@ def stage_panel(raw: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame:
         period_to_int(F.col("_column"), spec.period_prefix).alias(spec.period),
         cast_measure(F.col("_text"), ()).alias(spec.value),
         spec.stamp,
+        *spec.carry,
     )
     return label_codes(typed, spec.series, spec.labels, spec.label)
 

@@ -13,6 +13,7 @@ from ..operators.rollup import top_n
 from ..operators.service import service_pressure
 
 LATEST = "latest"
+BROADCAST_ROWS = 10_000
 
 
 def at_period(df: DataFrame, period: str, at: int | str = LATEST) -> DataFrame:
@@ -97,11 +98,13 @@ def top_then_track(
 ) -> DataFrame:
     """History of series ``track``, from ``since`` on, of the top ``n`` entities on ``rank_on``.
 
-    The join's small side has n rows by construction, so it is broadcast.
+    The join's small side has n rows by construction; it is broadcast up to
+    BROADCAST_ROWS of them, beyond that Catalyst chooses.
     """
     leaders = top_entities(df, n, entity, period, series, value, rank_on, at).select(entity)
     tracked = df.where((F.col(series) == track) & (F.col(period) >= since))
-    return tracked.join(F.broadcast(leaders), entity).select(entity, period, value)
+    small = F.broadcast(leaders) if n <= BROADCAST_ROWS else leaders
+    return tracked.join(small, entity).select(entity, period, value)
 
 
 def share_trend(

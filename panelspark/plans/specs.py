@@ -80,6 +80,7 @@ class PanelSpec:
     renames: Mapping[str, str] = field(
         default_factory=lambda: {"economy": "country_code", "Country": "country_name"}
     )
+    carry: tuple[str, ...] = ()  # further columns of the wide rows to keep, e.g. a group known per entity
     snapshot: str | None = None  # None: the partition column if present, else the stamp
     one_snapshot: bool = False  # the input holds one snapshot only: do not look for the newest
     period_pattern: str = YEAR_COLUMNS

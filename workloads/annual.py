@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from panelspark.functions import cast_measure, period_to_int
@@ -83,8 +85,10 @@ regions as (
 select region, series_code, series_description, "year", {_ROLLUP}
 from staged join regions using (country_code) group by 1, 2, 3, 4""")
 def customer_rollup(spark, sf_dir):
-    placed = classify(staged_customers(spark, sf_dir), "country_code", customer_regions(spark, sf_dir), "region")
-    return rollup_by_column(placed.where(F.col("region") != "Other"), "region", CUSTOMER_PANEL)
+    """Regions are joined to the wide rows, before these become many cells."""
+    raw = classify(raw_customer_panel(spark, sf_dir), "economy", customer_regions(spark, sf_dir), "region")
+    staged = stage_panel(raw.where(F.col("region") != "Other"), replace(CUSTOMER_PANEL, carry=("region",)))
+    return rollup_by_column(staged, "region", CUSTOMER_PANEL)
 
 
 _REGION_CASE = " ".join(

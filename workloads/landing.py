@@ -132,24 +132,28 @@ def service_clustered(spark, sf_dir):
     )
 
 
-def _built(spark, sf_dir):
-    """Two landed snapshots per panel, then every view and mart; the root of the marts is new each time."""
+def _build_annual(spark, sf_dir):
+    """Two landed snapshots, then the staged view and both annual marts below a new root."""
     root = scratch_path(spark, "warehouse")
-    annual, quarterly = f"{root}/landed_annual", f"{root}/landed_quarterly"
-    write_snapshot(stringify(raw_country_panel(spark, sf_dir, 2000, "2000-12-31")), annual, "2000-12-31")
-    write_snapshot(stringify(raw_country_panel(spark, sf_dir)), annual, EXTRACTED_AT)
-    write_snapshot(stringify(raw_supplier_sheet(spark, sf_dir)), quarterly, EXTRACTED_AT)
-    publish_view(open_snapshots(spark, annual), RAW_ANNUAL)
-    publish_view(open_snapshots(spark, quarterly), RAW_QUARTERLY)
-    return {
-        **build_annual(spark, replace(COUNTRY_PANEL, one_snapshot=False), root=f"{root}/marts"),
-        **build_quarterly(spark, replace(SUPPLIER_SHEET, one_snapshot=False), root=f"{root}/marts"),
-    }
+    landed = f"{root}/landed_annual"
+    write_snapshot(stringify(raw_country_panel(spark, sf_dir, 2000, "2000-12-31")), landed, "2000-12-31")
+    write_snapshot(stringify(raw_country_panel(spark, sf_dir)), landed, EXTRACTED_AT)
+    publish_view(open_snapshots(spark, landed), RAW_ANNUAL)
+    return build_annual(spark, replace(COUNTRY_PANEL, one_snapshot=False), root=f"{root}/marts")
+
+
+def _build_quarterly(spark, sf_dir):
+    """A landed snapshot, then the staged view and the service mart below a new root."""
+    root = scratch_path(spark, "warehouse")
+    landed = f"{root}/landed_quarterly"
+    write_snapshot(stringify(raw_supplier_sheet(spark, sf_dir)), landed, EXTRACTED_AT)
+    publish_view(open_snapshots(spark, landed), RAW_QUARTERLY)
+    return build_quarterly(spark, replace(SUPPLIER_SHEET, one_snapshot=False), root=f"{root}/marts")
 
 
 @query("build_stocks", f"with {COUNTRY_STOCKS_SQL} select * from stocks")
 def built_stocks(spark, sf_dir):
-    _built(spark, sf_dir)
+    _build_annual(spark, sf_dir)
     return model(spark, MART_STOCKS)
 
 
@@ -157,13 +161,13 @@ def built_stocks(spark, sf_dir):
 select region, series_code, series_description, "year", {_ROLLUP}
 from placed where region <> 'Other' group by 1, 2, 3, 4""")
 def built_regional(spark, sf_dir):
-    _built(spark, sf_dir)
+    _build_annual(spark, sf_dir)
     return model(spark, MART_REGIONAL)
 
 
 @query("build_service", f"with {SUPPLIER_SERVICE_SQL} select * from service")
 def built_service(spark, sf_dir):
-    _built(spark, sf_dir)
+    _build_quarterly(spark, sf_dir)
     return model(spark, MART_SERVICE)
 
 
@@ -177,5 +181,6 @@ sizes as (
   union all select 'mart_service', count(*), ['country_code'] from service)
 select "table", unnest(cols) "column", n "rows", cast(0 as bigint) failures from sizes""")
 def all_not_null_tests(spark, sf_dir):
-    _built(spark, sf_dir)
+    _build_annual(spark, sf_dir)
+    _build_quarterly(spark, sf_dir)
     return run_not_null_tests(spark)
