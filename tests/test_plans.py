@@ -1,0 +1,81 @@
+"""What the physical plans must and must not contain."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelspark.operators import pct_change, previous_value, rollup_by_group, rollup_listed, top_n
+from panelspark.plans import scorecard, stage_panel, stocks_mart, stocks_mart_from_wide
+from __spark_entry__ import queries
+
+from conftest import plan_of
+from test_marts import raw_annual
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def landed(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("landed") / "raw")
+    raw_annual(spark).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_staging_does_not_shuffle_and_filters_reach_the_scan(landed):
+    plan = plan_of(stage_panel(landed))
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert any("IsNotNull(economy)" in scan and "Not(EqualTo(economy,nan))" in scan for scan in scans)
+
+
+def test_one_window_for_lag_and_change(landed):
+    stepped = previous_value(stage_panel(landed), ["country_code", "series_code"], "year", "debt_value_usd", "prev")
+    changed = pct_change(stepped, [], "year", "debt_value_usd", previous="prev")
+    assert plan_of(changed).count("Window [") == 1
+
+
+def test_wide_mart_has_no_window_and_joins_on_the_entity(spark, landed):
+    plan = plan_of(stocks_mart_from_wide(landed))
+    assert "Window" not in plan and "Expand" not in plan
+    assert plan_of(stocks_mart(stage_panel(landed))).count("Window [") == 1
+
+
+def test_hot_key_can_be_split_in_the_total_join(spark, landed):
+    """AQE splits a skewed side only where the join reads both shuffles directly."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(stocks_mart_from_wide(landed)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins = [i for i, line in enumerate(lines) if "SortMergeJoin" in line]
+    assert len(joins) == 1
+    below = [line for line in lines[joins[0] + 1:] if "Sort [" in line or "Exchange hash" in line]
+    assert ["Sort" in line for line in below[:4]] == [True, False, True, False]
+
+
+def test_listed_rollup_needs_no_distinct_shuffle(landed):
+    staged = stage_panel(landed)
+    listed = rollup_listed(staged, ["series_code", "year"], "country_code", "debt_value_usd", {"A": ["KEN"], "B": ["EGY"]})
+    assert plan_of(listed).count("Exchange hashpartitioning") == 1
+    assert "bit_or" in plan_of(listed)
+    counted = rollup_by_group(staged, ["series_code", "year"], "country_code", "debt_value_usd")
+    assert plan_of(counted).count("Exchange hashpartitioning") == 2
+
+
+def test_top_n_keeps_n_rows_per_task(landed):
+    assert "TakeOrderedAndProject" in plan_of(top_n(stage_panel(landed), 3, "debt_value_usd", ["country_code"]))
+
+
+def test_scorecard_reads_two_columns(spark, tmp_path):
+    df = spark.range(10).select(F.col("id").alias("year"), F.lit(1.0).alias("v"), F.lit("x").alias("unused"))
+    df.write.parquet(str(tmp_path / "t"))
+    plan = plan_of(scorecard(spark.read.parquet(str(tmp_path / "t")), "v", "year"))
+    assert "unused" not in plan
+
+
+# Queries that only write and read back are left out: their result is a plain scan.
+@pytest.mark.parametrize("name", [n for n in queries() if not n.startswith(("write_", "build_", "publish_table"))])
+def test_no_python_and_no_cross_joins(spark, name):
+    plan = plan_of(queries()[name](spark, SF))
+    for banned in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert banned not in plan

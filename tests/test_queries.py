@@ -1,0 +1,27 @@
+"""Every registered query against its SQL, over whole tables."""
+
+import pytest
+
+import __spark_entry__ as entry
+from oracle import compare, connect
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_query_equals_sql(spark, con, name):
+    assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == ""
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.count() > 0 and len(df.columns) == 11
