@@ -8,6 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Usual marks for "no figure". They are no numbers, so a lenient cast gives NULL for
+# them anyway; looking for them first spares the exception the JVM would raise per cell.
+NO_FIGURE = ("..", "", "-", "...", "None", "null", "NULL", "NA", "N/A", "n/a")
+
+
 def tokens_to_null(col: Column, tokens: Iterable[str]) -> Column:
     """NULL where the text is exactly one of ``tokens`` (case matters)."""
     tokens = list(tokens)
@@ -34,7 +39,7 @@ def cast_measure(col: Column, tokens: Iterable[str] = ("nan",), strict: bool = T
     setting; otherwise such text becomes NULL. A text 'nan' that is not listed
     in ``tokens`` becomes NaN.
     """
-    text = tokens_to_null(col, tokens)
+    text = tokens_to_null(col, tokens if strict else (*tokens, *NO_FIGURE))
     number = F.when(_java_number(col), F.lit(None)).otherwise(text.try_cast("double"))
     if not strict:
         return number
@@ -47,23 +52,28 @@ def cast_measures(
 ) -> DataFrame:
     """:func:`cast_measure` for many columns at once: adds array<double> ``out``, drops ``cols``.
 
-    One cast of an array compiles to a short loop; one cast per column makes a
-    method so long that the JVM never compiles it. Only rows that need a closer
-    look (text with a d or f in it; a value lost in the cast where the session
-    does not raise by itself) go cell by cell.
+    Written cell by cell over an array, or as one cast of the array: one
+    expression per column would make a method so long that the JVM never
+    compiles it. The strict cast takes the whole array at once and goes by cell
+    only in rows that need a closer look (text with a d or f in it; a value lost
+    in the cast where the session does not raise by itself). The lenient cast
+    always goes by cell, because every bad cell in an array cast costs an exception.
     """
     cols = list(cols)
     kept = [c for c in df.columns if c not in cols]
-    raises = strict and df.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+    if not strict:
+        texts = F.array(*cols)
+        return df.select(*kept, F.transform(texts, lambda t: cast_measure(t, tokens, strict=False)).alias(out))
+    raises = df.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
     texts, kind = F.array(*[tokens_to_null(F.col(c), tokens) for c in cols]), "array<double>"
     numbers = F.col("_texts").cast(kind) if raises else F.col("_texts").try_cast(kind)
     cast = df.select(*kept, texts.alias("_texts")).select(
         "*", numbers.alias("_numbers"), F.concat_ws("|", "_texts").alias("_line")
     )
     doubtful = reduce(lambda a, b: a | b, [F.contains("_line", F.lit(c)) for c in "dDfF"])
-    if strict and not raises:
+    if not raises:
         doubtful = doubtful | (F.size(F.array_compact("_texts")) != F.size(F.array_compact("_numbers")))
-    one_by_one = F.transform("_texts", lambda t: cast_measure(t, (), strict))
+    one_by_one = F.transform("_texts", lambda t: cast_measure(t, ()))
     return cast.select(*kept, F.when(doubtful, one_by_one).otherwise(F.col("_numbers")).alias(out))
 
 

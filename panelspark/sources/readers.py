@@ -76,14 +76,19 @@ def read_sheets(spark: SparkSession, root: str, fmt: str = "parquet", missing: s
 
 
 def open_snapshots(spark: SparkSession, path: str, date: str | None = None, merge_schema: bool = True) -> DataFrame:
-    """All dated snapshots below ``path``, or only the one of ``date``.
+    """All dated snapshots below ``path``, or the one of ``date`` ('latest' for the newest).
 
-    The date is a partition column in both cases. Period columns grow over time,
-    so schemas are merged over all files by default; reading one ``date`` lists
-    and opens that directory alone.
+    The date is a partition column in each case. Period columns grow over time,
+    so schemas are merged over all files by default; with a ``date`` only that
+    directory is listed and opened. 'latest' first asks for the newest date,
+    a job that reads no column, only the partition values.
     """
-    reader = spark.read.option("basePath", path).option("mergeSchema", str(merge_schema).lower())
-    return reader.parquet(path if date is None else f"{path.rstrip('/')}/{SNAPSHOT_PARTITION}={date}")
+    everything = spark.read.option("basePath", path)
+    if date == "latest":
+        newest = everything.parquet(path).agg(F.max(SNAPSHOT_PARTITION).cast("string").alias("newest")).first()
+        date = newest["newest"]
+    merged = everything.option("mergeSchema", str(merge_schema).lower())
+    return merged.parquet(path if date is None else f"{path.rstrip('/')}/{SNAPSHOT_PARTITION}={date}")
 
 
 def register_snapshots(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -121,7 +126,17 @@ def load_all(sources: Mapping[str, Callable[[], DataFrame]], on_error: str = "sk
 def observe_counts(df: DataFrame, name: str = "load") -> tuple[DataFrame, Observation]:
     """``df`` plus an observation of its row count, filled by the first action on it.
 
-    The columns are known without an action: ``df.columns``.
+    No second pass is needed. The columns are known without an action:
+    ``df.columns``. Use it on an action that evaluates the frame once, such as a
+    plain write: the sampling pass of a range partitioning counts its rows too,
+    and so does a task that is run again before a shuffle. Where that cannot be
+    ruled out, count what was written (:func:`snapshot_report`).
     """
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def snapshot_report(spark: SparkSession, path: str, date: str) -> tuple[int, list[str]]:
+    """Row count and columns of a landed snapshot. The count reads file footers, no column."""
+    landed = open_snapshots(spark, path, date)
+    return landed.count(), [c for c in landed.columns if c != SNAPSHOT_PARTITION]

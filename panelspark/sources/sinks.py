@@ -9,15 +9,31 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.reshape import SNAPSHOT_PARTITION
 
 
-def write_snapshot(df: DataFrame, path: str, date: str, compact: bool = False) -> None:
+def clustered(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Range-partitioned and sorted by ``keys``, so file and row-group statistics can skip.
+
+    A hash of the row is the last range key: a key with many rows spreads over
+    tasks, and over files that lie next to each other.
+    """
+    keys = list(keys)
+    return df.repartitionByRange(*keys, F.xxhash64(*df.columns)).sortWithinPartitions(*keys)
+
+
+def write_snapshot(
+    df: DataFrame, path: str, date: str, compact: bool = False, cluster_by: Iterable[str] = ()
+) -> None:
     """Write ``df`` as the snapshot of ``date`` (YYYY-MM-DD) below ``path``.
 
     Only that date's directory is replaced, so a rerun on the same day leaves one
     copy. ``compact`` rebalances the rows first: a small snapshot becomes a single
     file, a large one as many files as its size asks for; no task ever gets more
-    than its share.
+    than its share. ``cluster_by`` lays the rows out for filters on these columns,
+    e.g. the series code, by which the total series is looked up later.
     """
-    if compact:
+    cluster_by = list(cluster_by)
+    if cluster_by:
+        df = clustered(df, cluster_by)
+    elif compact:
         df = df.hint("rebalance")
     (
         df.withColumn(SNAPSHOT_PARTITION, F.lit(date).cast("date"))
@@ -45,15 +61,12 @@ def publish_table(
 
     ``partition_by`` makes one directory per value; rows are rebalanced on it, so
     each directory gets few files and AQE splits a hot value over several tasks.
-    ``cluster_by`` range-partitions and sorts, so that file and row-group
-    statistics skip what a filter on these columns does not need. A hash of the
-    row is the last range key: a cluster key with many rows spreads over tasks.
+    ``cluster_by`` lays the rows out as :func:`clustered` does.
     """
     partition_by, cluster_by = list(partition_by), list(cluster_by)
     layout = df
     if cluster_by:
-        keys = [*partition_by, *cluster_by]
-        layout = df.repartitionByRange(*keys, F.xxhash64(*df.columns)).sortWithinPartitions(*keys)
+        layout = clustered(df, [*partition_by, *cluster_by])
     elif partition_by:
         layout = df.hint("rebalance", *partition_by)
     writer = layout.write.mode("overwrite").format("parquet")

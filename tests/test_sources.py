@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import latest_snapshot
 from panelspark.plans import build_annual, build_quarterly, model, source
+from panelspark.__main__ import main
+from panelspark.plans.land import land_annual
 from panelspark.plans.build import MART_STOCKS, NOT_NULL, RAW_ANNUAL, RAW_QUARTERLY, run_not_null_tests
 from panelspark.session import pin, scratch_path, shared_folder
 from panelspark.sources import (
@@ -140,6 +142,31 @@ def test_full_build(spark, tmp_path, rows):
     assert all(failures == 0 for *_, failures in tests)
 
 
+def test_landing(spark, tmp_path, caplog):
+    raw = spark.createDataFrame(
+        [("KEN", "Kenya", 1.5, None)], "economy string, Country string, `2000` double, `2001` double"
+    )
+    raw.write.parquet(str(tmp_path / "T"))
+    sources = {"T": str(tmp_path / "T"), "P": str(tmp_path / "missing")}
+    rows, columns = land_annual(spark, sources, str(tmp_path / "annual"), "2025-04-01")
+    assert rows == 1 and set(columns) == {"economy", "Country", "year_2000", "year_2001", "series_code", "extracted_at"}
+    landed = open_snapshots(spark, str(tmp_path / "annual"), "latest")
+    assert landed.select("year_2000", "year_2001", "series_code", "extracted_at").first() == (
+        "1.5", "nan", "T", "2025-04-01"
+    )
+    with pytest.raises(RuntimeError):
+        land_annual(spark, {"P": str(tmp_path / "missing")}, str(tmp_path / "annual"), "2025-04-01")
+
+
+def test_command_line_build(spark, tmp_path, capsys, monkeypatch):
+    for name, raw in (("a", raw_annual(spark)), ("q", raw_quarterly(spark))):
+        write_snapshot(raw.where("extracted_at = '2025-04-01'"), str(tmp_path / name), "2025-04-01")
+    monkeypatch.setattr("panelspark.__main__.panel_session", lambda *_: spark)
+    paths = ["--annual", str(tmp_path / "a"), "--quarterly", str(tmp_path / "q"), "--output", str(tmp_path / "out")]
+    assert main(paths) == 0
+    assert "ok mart_stocks.country_code: 0 of 15 NULL" in capsys.readouterr().out
+
+
 def test_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_folder(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import latest_snapshot, stringify
 from panelspark.plans import (
-    build_annual, build_quarterly, model, service_mart, stage_panel, stage_sheet, stocks_mart_from_wide,
+    CLEAN_SHEET, build_annual, build_quarterly, model, service_mart, stage_panel, stage_sheet, stocks_mart_from_wide,
 )
 from panelspark.plans.build import MART_REGIONAL, MART_SERVICE, MART_STOCKS, RAW_ANNUAL, RAW_QUARTERLY, run_not_null_tests
+from panelspark.plans.land import land_annual, land_quarterly
 from panelspark.session import scratch_path
 from panelspark.sources import (
     open_snapshots, publish_table, publish_view, read_panel, read_sheets, register_snapshots, write_snapshot,
@@ -19,7 +20,7 @@ from panelspark.sources import (
 from .annual import _COUNTRY_REGIONS_SQL, _ROLLUP
 from .panels import (
     ALL, COUNTRY_PANEL, COUNTRY_STAGED_SQL, COUNTRY_STOCKS_SQL, CUSTOMER_PANEL, CUSTOMER_STAGED_SQL,
-    CUSTOMER_STOCKS_SQL, EXTRACTED_AT, QUARTERS, SUPPLIER_SERVICE_SQL, SUPPLIER_SHEET, SUPPLIER_SHEET_SQL, YEARS,
+    CUSTOMER_STOCKS_SQL, EXTRACTED_AT, PRIORITY_SERIES, QUARTERS, SUPPLIER_SERVICE_SQL, SUPPLIER_SHEET, SUPPLIER_SHEET_SQL, YEARS,
     raw_country_panel, raw_customer_panel, raw_supplier_sheet, supplier_quarters,
 )
 from .registry import query
@@ -37,6 +38,21 @@ def landed_panel(spark, sf_dir):
     return staged.select("country_code", "series_code", "year", "debt_value_usd")
 
 
+@query("land_annual", f"""with {CUSTOMER_STAGED_SQL}
+select country_code, country_name, series_code, "year", debt_value_usd, (select count(distinct k || s) from cells) landed_rows
+from staged""")
+def landed_series(spark, sf_dir):
+    """One source per series, as it would be fetched, and one that is missing."""
+    place, root = scratch_path(spark, "series"), scratch_path(spark, "annual")
+    raw = raw_customer_panel(spark, sf_dir).withColumnsRenamed({f"year_{y}": str(y) for y in YEARS})
+    raw.drop("extracted_at").write.partitionBy("series_code").parquet(place)
+    sources = {code: f"{place}/series_code={code}" for code in (ALL, *PRIORITY_SERIES)}
+    landed_rows, _ = land_annual(spark, {**sources, "lost": f"{place}/series_code=lost"}, root, EXTRACTED_AT)
+    staged = stage_panel(open_snapshots(spark, root, "latest"), CUSTOMER_PANEL)
+    cells = staged.select("country_code", "country_name", "series_code", "year", "debt_value_usd")
+    return cells.withColumn("landed_rows", F.lit(landed_rows).cast("bigint"))
+
+
 # Each flag is a workbook; a workbook has one sheet per line status. Sheets of status
 # F lack the 1997 quarter.
 FLAGS, STATUSES = ("A", "N", "R"), ("F", "O")
@@ -48,6 +64,27 @@ select country_code, 'flag_' || series_code[1] source_table, 'status ' || series
        case when series_code[2] = 'O' then coalesce({QUARTERS[4]}, -1) end {QUARTERS[4]}
 from sheet""")
 def landed_sheets(spark, sf_dir):
+    read = read_sheets(spark, _exported_sheets(spark, sf_dir))
+    numbers = [
+        F.when(F.col(q) == "nan", F.lit(-1.0)).otherwise(F.col(q).try_cast("double")).alias(q) for q in QUARTERS
+    ]
+    return read.select("country_code", "source_table", "sheet_name", "line", *numbers)
+
+
+@query("land_quarterly", f"""with {SUPPLIER_SHEET_SQL}
+select country_code, 'flag_' || series_code[1] source_table, 'status ' || series_code[2] sheet_name,
+       substr(sheet_name, 6) line, {", ".join(QUARTERS[:4])},
+       case when series_code[2] = 'O' then {QUARTERS[4]} end {QUARTERS[4]}, extracted_at
+from sheet""")
+def landed_snapshot_of_sheets(spark, sf_dir):
+    root = scratch_path(spark, "quarterly")
+    land_quarterly(spark, {"good": _exported_sheets(spark, sf_dir), "lost": f"{root}/none"}, root, EXTRACTED_AT)
+    ids = ("country_code", "source_table", "sheet_name", "line", "extracted_at")
+    spec = replace(CLEAN_SHEET, ids=ids, required=("country_code",), quarters=QUARTERS, one_snapshot=True)
+    return stage_sheet(open_snapshots(spark, root, EXTRACTED_AT), spec)
+
+
+def _exported_sheets(spark, sf_dir):
     root = scratch_path(spark, "sheets")
     cells = supplier_quarters(spark, sf_dir)
     for flag in FLAGS:
@@ -58,11 +95,7 @@ def landed_sheets(spark, sf_dir):
             sheet.select(
                 F.col("l_suppkey").alias("Country Code"), F.col("l_linenumber").alias("Line"), *headers
             ).write.parquet(f"{root}/flag_{flag}/status {status}")
-    read = read_sheets(spark, root)
-    numbers = [
-        F.when(F.col(q) == "nan", F.lit(-1.0)).otherwise(F.col(q).try_cast("double")).alias(q) for q in QUARTERS
-    ]
-    return read.select("country_code", "source_table", "sheet_name", "line", *numbers)
+    return root
 
 
 def _three_landings(spark, sf_dir, compact=False):

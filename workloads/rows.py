@@ -250,8 +250,9 @@ def load_what_exists(spark, sf_dir):
 @query("observe_counts", """
 select o_orderpriority, count(*) orders, (select count(*) from orders) loaded_rows from orders group by 1""")
 def observed_orders(spark, sf_dir):
-    """The row count of the load comes out of the same pass that aggregates it."""
-    orders, seen = observe_counts(table(spark, sf_dir, "orders").select("o_orderpriority"), "orders")
+    """The row count of the load comes out of the pass that lands it."""
+    orders, seen = observe_counts(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "orders")
     path = scratch_path(spark, "observed")
-    orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders")).write.parquet(path)
-    return spark.read.parquet(path).withColumn("loaded_rows", F.lit(seen.get["rows"]).cast("bigint"))
+    orders.write.parquet(path)
+    counts = spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+    return counts.withColumn("loaded_rows", F.lit(seen.get["rows"]).cast("bigint"))
