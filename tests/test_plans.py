@@ -1,10 +1,12 @@
 """What the physical plans must and must not contain."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import pct_change, previous_value, rollup_by_group, rollup_listed, top_n
-from panelspark.plans import scorecard, stage_panel, stocks_mart, stocks_mart_from_wide
+from panelspark.operators import classify, clean_codes, label_codes, pct_change, previous_value, rollup_by_group, rollup_listed, top_n
+from panelspark.plans import ANNUAL, scorecard, stage_panel, stocks_mart, stocks_mart_from_wide
 from __spark_entry__ import queries
 
 from conftest import plan_of
@@ -79,3 +81,61 @@ def test_no_python_and_no_cross_joins(spark, name):
     plan = plan_of(queries()[name](spark, SF))
     for banned in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert banned not in plan
+
+
+@pytest.fixture
+def small_skew_limits(spark):
+    """Limits at which AQE treats a few thousand rows as a skewed partition."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def executed(df) -> str:
+    df.collect()
+    return plan_of(df)
+
+
+def test_aqe_splits_a_hot_entity(spark, small_skew_limits, tmp_path):
+    """One entity has a third of all wide rows, in many series."""
+    n = 6000
+    entity = F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("E"), F.col("id").cast("string")))
+    series = F.when(F.col("id") % 3 != 0, F.lit("DT.DOD.DECT.CD")).when(F.col("id") == 0, F.lit("DT.DOD.DECT.CD"))
+    wide = spark.range(n).repartition(8, "id").select(
+        entity.alias("economy"), F.lit("name").alias("Country"),
+        *[F.col("id").cast("string").alias(f"year_{y}") for y in range(2000, 2010)],
+        series.otherwise(F.concat(F.lit("S"), F.col("id").cast("string"))).alias("series_code"),
+        F.lit("2025-04-01").alias("extracted_at"),
+    )
+    wide.write.parquet(str(tmp_path / "wide"))
+    spec = replace(ANNUAL, code_length=None, one_snapshot=True)
+    mart = stocks_mart_from_wide(spark.read.parquet(str(tmp_path / "wide")), spec)
+    assert "SortMergeJoin(skew=true)" in executed(mart)
+    assert mart.count() == n * 10
+
+
+def test_aqe_splits_a_hot_code(spark, small_skew_limits, tmp_path):
+    """Lookup tables are pinned, so the hot code's rows are joined straight from their shuffle."""
+    code = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    spark.range(30000).select(code.alias("code"), F.col("id")).repartition(8, "id").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    table = spark.range(30000).select(F.col("id").alias("code"), F.lit("g").alias("group"), F.lit(1).alias("priority"))
+    for joined in (
+        classify(df, "code", table),
+        label_codes(df.withColumn("code", F.col("code").cast("string")), "code",
+                    table.select(F.col("code").cast("string"), "group")),
+        clean_codes(df, "code", exclude=table.where("code > 20000").select("code"), tokens=()),
+    ):
+        assert "SortMergeJoin(skew=true)" in executed(joined)
