@@ -15,6 +15,7 @@ from panelspark.plans import (
     composition, regional_rollup, rollup_by_column, scorecard, share_trend, slice_panel, stage_panel, stocks_mart,
     stocks_mart_from_wide, top_entities, top_then_track, trend,
 )
+from panelspark.session import pin
 
 from .panels import (
     ALL, COUNTRY_PANEL, COUNTRY_STAGED_SQL, COUNTRY_STOCKS_SQL, CUSTOMER_PANEL, CUSTOMER_STAGED_SQL,
@@ -26,10 +27,25 @@ CELL = ["country_code", "series_code", "year"]
 HISTORY = ["country_code", "series_code"]
 
 
+def landed_customers(spark, sf_dir):
+    """The wide panel written once, as a landed snapshot is."""
+    return pin(raw_customer_panel(spark, sf_dir), "customers")
+
+
+def landed_countries(spark, sf_dir):
+    return pin(raw_country_panel(spark, sf_dir), "countries")
+
+
 def staged_customers(spark, sf_dir):
+    """Long, straight from the orders: for queries that read it once."""
     return stage_panel(raw_customer_panel(spark, sf_dir), CUSTOMER_PANEL)
 
 
+def staged_landed_customers(spark, sf_dir):
+    """Long, from the landed panel: for queries that read it several times."""
+    return stage_panel(landed_customers(spark, sf_dir), CUSTOMER_PANEL)
+
+
 def staged_countries(spark, sf_dir):
     return stage_panel(raw_country_panel(spark, sf_dir), COUNTRY_PANEL)
 
@@ -56,17 +72,17 @@ def stage_country_panel(spark, sf_dir):
 
 @query("stocks_mart", f"with {CUSTOMER_STOCKS_SQL} select * from stocks")
 def stocks_from_wide(spark, sf_dir):
-    return stocks_mart_from_wide(raw_customer_panel(spark, sf_dir), CUSTOMER_PANEL)
+    return stocks_mart_from_wide(landed_customers(spark, sf_dir), CUSTOMER_PANEL)
 
 
 @query("stocks_mart_long", f"with {CUSTOMER_STOCKS_SQL} select * from stocks")
 def stocks_from_long(spark, sf_dir):
-    return stocks_mart(staged_customers(spark, sf_dir), CUSTOMER_PANEL)
+    return stocks_mart(staged_landed_customers(spark, sf_dir), CUSTOMER_PANEL)
 
 
 @query("stocks_mart_countries", f"with {COUNTRY_STOCKS_SQL} select * from stocks")
 def stocks_of_countries(spark, sf_dir):
-    return stocks_mart_from_wide(raw_country_panel(spark, sf_dir), COUNTRY_PANEL)
+    return stocks_mart_from_wide(landed_countries(spark, sf_dir), COUNTRY_PANEL)
 
 
 _ROLLUP = """count(distinct country_code) country_count,
@@ -108,14 +124,14 @@ def country_rollup(spark, sf_dir):
 @query("attach_total", f"""with {CUSTOMER_STOCKS_SQL}
 select country_code, series_code, "year", debt_value_usd, total_debt_usd from stocks""")
 def attach_total_by_join(spark, sf_dir):
-    cells = staged_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
+    cells = staged_landed_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
     return attach_total(cells, ["country_code", "year"], "series_code", ALL, "debt_value_usd", "total_debt_usd")
 
 
 @query("share_of_total", f"""with {CUSTOMER_STOCKS_SQL}
 select country_code, series_code, "year", debt_value_usd, total_debt_usd, pct_of_total_debt from stocks""")
 def share_of_checked_total(spark, sf_dir):
-    cells = staged_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
+    cells = staged_landed_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
     totals = attach_total(
         cells, ["country_code", "year"], "series_code", ALL, "debt_value_usd", "total_debt_usd", duplicates="fail"
     )
@@ -152,7 +168,7 @@ _SUM = "cast(sum(cast(debt_value_usd as decimal(18,2))) as double)"
 select "year", {_SUM} total from staged
 where series_code = '{ALL}' and "year" = (select max("year") from staged where series_code = '{ALL}') group by 1""")
 def global_scorecard(spark, sf_dir):
-    totals = staged_customers(spark, sf_dir).where(F.col("series_code") == ALL)
+    totals = staged_landed_customers(spark, sf_dir).where(F.col("series_code") == ALL)
     return scorecard(totals, "debt_value_usd", "year", decimals=2)
 
 
@@ -160,7 +176,7 @@ def global_scorecard(spark, sf_dir):
 select series_code, "year", {_SUM} total from staged
 where "year" = (select max("year") from staged) group by 1, 2""")
 def scorecard_by_series(spark, sf_dir):
-    return scorecard(staged_customers(spark, sf_dir), "debt_value_usd", "year", by=["series_code"], decimals=2)
+    return scorecard(staged_landed_customers(spark, sf_dir), "debt_value_usd", "year", by=["series_code"], decimals=2)
 
 
 @query("trend", f"""with {CUSTOMER_STAGED_SQL}, {_CUSTOMER_REGIONS_SQL}
@@ -176,7 +192,7 @@ select country_code, "year", debt_value_usd from staged
 where series_code = '{ALL}' and "year" = (select max("year") from staged where series_code = '{ALL}')
 order by debt_value_usd desc, country_code limit 20""")
 def top_twenty(spark, sf_dir):
-    staged = staged_customers(spark, sf_dir)
+    staged = staged_landed_customers(spark, sf_dir)
     return top_entities(staged, 20, "country_code", "year", "series_code", "debt_value_usd", ALL)
 
 
@@ -188,7 +204,7 @@ select country_code, "year", debt_value_usd from staged join leaders using (coun
 where series_code = '2-HIGH' and "year" >= 1997""")
 def track_leaders(spark, sf_dir):
     return top_then_track(
-        staged_customers(spark, sf_dir), 10, "country_code", "year", "series_code", "debt_value_usd",
+        staged_landed_customers(spark, sf_dir), 10, "country_code", "year", "series_code", "debt_value_usd",
         rank_on=ALL, track="2-HIGH", since=1997, at=2000,
     )
 
@@ -234,7 +250,7 @@ def slice_countries(spark, sf_dir):
 doubled as (select * from staged union all select * from staged where series_code = '2-HIGH')
 select country_code, series_code, "year", count(*) "rows" from doubled group by 1, 2, 3 having count(*) > 1""")
 def doubled_cells(spark, sf_dir):
-    staged = staged_customers(spark, sf_dir)
+    staged = staged_landed_customers(spark, sf_dir)
     return check_unique(staged.union(staged.where(F.col("series_code") == "2-HIGH")), CELL)
 
 

@@ -17,7 +17,7 @@ from panelspark.sources import (
     open_snapshots, publish_table, publish_view, read_panel, read_sheets, register_snapshots, write_snapshot,
 )
 
-from .annual import _COUNTRY_REGIONS_SQL, _ROLLUP
+from .annual import _COUNTRY_REGIONS_SQL, _ROLLUP, landed_customers
 from .panels import (
     ALL, COUNTRY_PANEL, COUNTRY_STAGED_SQL, COUNTRY_STOCKS_SQL, CUSTOMER_PANEL, CUSTOMER_STAGED_SQL,
     CUSTOMER_STOCKS_SQL, EXTRACTED_AT, PRIORITY_SERIES, QUARTERS, SUPPLIER_SERVICE_SQL, SUPPLIER_SHEET, SUPPLIER_SHEET_SQL, YEARS,
@@ -152,7 +152,7 @@ def staged_view(spark, sf_dir):
 
 @query("publish_table_partitioned", f"with {CUSTOMER_STOCKS_SQL} select * from stocks")
 def stocks_by_year(spark, sf_dir):
-    mart = stocks_mart_from_wide(raw_customer_panel(spark, sf_dir), CUSTOMER_PANEL)
+    mart = stocks_mart_from_wide(landed_customers(spark, sf_dir), CUSTOMER_PANEL)
     table = publish_table(mart, "stocks_by_year", ["year"], path=scratch_path(spark, "stocks_by_year"))
     return table.withColumn("year", F.col("year").cast("bigint"))
 
