@@ -32,8 +32,8 @@ def read_panel(
     return df if series is None else df.where(F.col(series_column).isin(list(series)))
 
 
-def sheet_paths(spark: SparkSession, root: str, fmt: str = "parquet") -> list[str]:
-    """Files below ``root`` (``table/sheet.fmt``, or ``table/sheet/part-*.fmt``), names only."""
+def _file_paths(spark: SparkSession, root: str, fmt: str) -> list[str]:
+    """Names of the files below ``root``; their content is not read."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -48,30 +48,35 @@ def read_sheets(spark: SparkSession, root: str, fmt: str = "parquet", missing: s
     """Union of all sheet exports below ``root``, as text, with lineage columns.
 
     Sheets come as ``root/<table>/<sheet>.<fmt>`` or as a folder
-    ``root/<table>/<sheet>/``. Headers differ from sheet to sheet, so sheets are
-    grouped by header: one reader per header shape, not per sheet. Only file
-    names and headers reach the driver. Headers are cleaned per shape and then
-    aligned; a cell that is empty becomes ``missing``, a column that a sheet does
-    not have stays NULL. ``source_table`` and ``sheet_name`` come from the path.
+    ``root/<table>/<sheet>/`` of files with one header. Headers differ from sheet
+    to sheet, so sheets are grouped by header: one reader per header shape, not
+    per sheet. Only file names and one header per sheet reach the driver. Headers
+    are cleaned per shape and then aligned; a cell that is empty becomes
+    ``missing``, a column that a sheet does not have stays NULL.
+    ``source_table`` and ``sheet_name`` come from the path.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in sheet_paths(spark, root, fmt):
-        header = tuple(spark.read.format(fmt).options(**options).load(path).columns)
-        by_header.setdefault(header, []).append(path)
-    if not by_header:
-        raise RuntimeError(f"no {fmt} sheet below {root}")
     base = re.escape(unquote(root.rstrip("/").split(":", 1)[-1].lstrip("/")))
     place = rf"{base}/([^/]+)/([^/]+?)(?:/[^/]*)?(?:\.[^/.]+)?$"
+    sheets: dict[tuple[str, ...], list[str]] = {}
+    for path in _file_paths(spark, root, fmt):
+        found = re.search(place, unquote(path))
+        if found:
+            sheets.setdefault(found.groups(), []).append(path)
+    if not sheets:
+        raise RuntimeError(f"no {fmt} sheet below {root}")
+    reader = spark.read.format(fmt).options(**options)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for paths in sheets.values():
+        by_header.setdefault(tuple(reader.load(paths[0]).columns), []).extend(paths)
     frames = []
     for header, paths in by_header.items():
-        raw = spark.read.format(fmt).options(**options).load(paths)
-        where = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        lineage = raw.select(
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        tagged = reader.load(paths).select(
             *[F.col(f"`{c}`") for c in header],
-            F.regexp_extract(where, place, 1).alias("source_table"),
-            F.regexp_extract(where, place, 2).alias("sheet_name"),
+            F.regexp_extract(path, place, 1).alias("source_table"),
+            F.regexp_extract(path, place, 2).alias("sheet_name"),
         )
-        frames.append(stringify(normalize_headers(lineage), missing))
+        frames.append(stringify(normalize_headers(tagged), missing))
     return align_union(frames)
 
 
