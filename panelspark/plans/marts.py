@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.measures import cast_measure, cast_measures, percent, percent_step, period_to_int
 from ..operators.clean import clean_codes, label_codes, require_present
+from ..operators.quality import check_unique
 from ..operators.ratios import attach_total, pct_change, previous_value, share_of_total
 from ..operators.reshape import latest_snapshot, period_columns, unpivot_periods
 from ..operators.rollup import rollup_by_group, rollup_listed
@@ -137,6 +140,24 @@ def rollup_by_column(staged: DataFrame, group: str, spec: PanelSpec = ANNUAL) ->
     return _labelled_rollup(rolled, group, spec)
 
 
+def rollup_from_wide(raw: DataFrame, group: str, spec: PanelSpec = ANNUAL) -> DataFrame:
+    """:func:`rollup_by_column` from the wide snapshot, of which ``group`` is a column.
+
+    If each entity and series has one row, no entity occurs twice in a group's
+    series and year, and a plain count is the distinct count: only one row per
+    group and task is shuffled instead of every cell. That is checked first, in
+    a job over the keys of the wide rows; otherwise entities are counted distinct.
+    """
+    cleaned = _cleaned_wide(raw, spec)
+    one_row_each = check_unique(cleaned, [spec.entity, spec.series]).isEmpty()
+    staged = stage_panel(raw, replace(spec, carry=(*spec.carry, group)))
+    rolled = rollup_by_group(
+        staged, [group, spec.series, spec.period], spec.entity, spec.value,
+        decimals=spec.decimals, names=spec.rollup_names, counted=F.count(spec.entity) if one_row_each else None,
+    )
+    return _labelled_rollup(rolled, group, spec)
+
+
 def _labelled_rollup(rolled: DataFrame, group: str, spec: PanelSpec) -> DataFrame:
     """Labels follow from the series code, so they join the groups, not the cells."""
     labelled = label_codes(rolled, spec.series, spec.labels, spec.label)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import attach_total, share_of_total
 from panelspark.plans import (
-    ANNUAL, CLEAN_SHEET, QUARTERLY, regional_rollup, service_mart, stage_panel, stage_sheet, stocks_mart,
-    stocks_mart_from_wide,
+    ANNUAL, CLEAN_SHEET, QUARTERLY, regional_rollup, rollup_by_column, rollup_from_wide, service_mart, stage_panel,
+    stage_sheet, stocks_mart, stocks_mart_from_wide,
 )
 from panelspark.plans.serve import composition, scorecard, share_trend, slice_panel, top_then_track, trend
 from panelspark.plans.specs import AGGREGATE_CODES, REGIONS, SERIES_LABELS
@@ -152,6 +152,14 @@ def test_regional_rollup(spark, rows):
     assert {r.region for r in rolled.collect()} == {"Africa", "Middle East and North Africa"}
 
 
+@pytest.mark.parametrize("extra", [(), [("KEN", "Kenya", "1", "1", "1", PRIVATE, "2025-04-01")]])
+def test_rollup_from_wide_counts_distinct(spark, rows, extra):
+    """Also where an entity and series has two rows, which a plain count would count twice."""
+    raw = raw_annual(spark, extra).withColumn("half", F.when(F.col("economy") < "F", "a").otherwise("b"))
+    staged = stage_panel(raw, replace(ANNUAL, carry=("half",)))
+    assert rows(rollup_from_wide(raw, "half")) == rows(rollup_by_column(staged, "half"))
+
+
 def test_serving_queries(spark, rows):
     mart = stocks_mart_from_wide(raw_annual(spark))
     totals = mart.where(F.col("series_code") == TOTAL)

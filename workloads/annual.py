@@ -12,7 +12,7 @@ from panelspark.operators import (
     share_of_total, unpivot_periods,
 )
 from panelspark.plans import (
-    composition, regional_rollup, rollup_by_column, scorecard, share_trend, slice_panel, stage_panel, stocks_mart,
+    composition, regional_rollup, rollup_by_column, rollup_from_wide, scorecard, share_trend, slice_panel, stage_panel, stocks_mart,
     stocks_mart_from_wide, top_entities, top_then_track, trend,
 )
 from panelspark.session import pin
@@ -107,6 +107,15 @@ def customer_rollup(spark, sf_dir):
     return rollup_by_column(staged, "region", CUSTOMER_PANEL)
 
 
+@query("regional_rollup_from_wide", f"""with {CUSTOMER_STAGED_SQL}, {_CUSTOMER_REGIONS_SQL}
+select region, series_code, series_description, "year", {_ROLLUP}
+from staged join regions using (country_code) group by 1, 2, 3, 4""")
+def customer_rollup_from_wide(spark, sf_dir):
+    landed = landed_customers(spark, sf_dir)
+    raw = classify(landed, "economy", customer_regions(spark, sf_dir), "region")
+    return rollup_from_wide(raw.where(F.col("region") != "Other"), "region", CUSTOMER_PANEL)
+
+
 _REGION_CASE = " ".join(
     f"when country_code in ({sql_list(codes)}) then '{region}'" for region, codes in COUNTRY_PANEL.groups.items()
 )
