@@ -17,7 +17,7 @@ def attach_total(
     total_code: str,
     value: str | Mapping[str, str],
     out: str = "total",
-    duplicates: str = "join",
+    duplicates: str = "fail",
 ) -> DataFrame:
     """Left-join each row to the total series' value for the same ``keys``.
 
@@ -27,10 +27,10 @@ def attach_total(
     otherwise both sides shuffle on ``keys`` and AQE splits a hot key on the
     left, against whose many rows the right holds a single one.
 
-    A total stored twice for a key doubles the rows of that key, as any join
-    does. ``duplicates="fail"`` raises instead. The check is a subquery over the
-    keys of the total series, outside the join: an aggregate inside it would
-    keep AQE from splitting a hot key.
+    A total stored twice for a key raises: as a join it would multiply the rows
+    of that key, by as many copies as there are. ``duplicates="join"`` asks for
+    just that. The check is a subquery over the keys of the total series, outside
+    the join: an aggregate inside it would keep AQE from splitting a hot key.
     """
     keys = list(keys)
     names = {value: out} if isinstance(value, str) else dict(value)

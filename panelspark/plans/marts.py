@@ -59,16 +59,18 @@ def _stocks_columns(spec: PanelSpec) -> list[str]:
     ]
 
 
-def stocks_mart(staged: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame:
+def stocks_mart(staged: DataFrame, spec: PanelSpec = ANNUAL, duplicates: str = "fail") -> DataFrame:
     """Every long cell with its total, share, previous value and change.
 
-    Works on any long panel. From a wide snapshot, :func:`stocks_mart_from_wide`
+    Works on any long panel; ``duplicates`` is that of :func:`attach_total`. From a wide snapshot, :func:`stocks_mart_from_wide`
     gives the same rows with far less shuffling.
     """
     keys = [spec.entity, spec.series]
     # The label follows from the series code: put it back last, shuffle rows without it.
     cells = staged.drop(spec.label)
-    joined = attach_total(cells, [spec.entity, spec.period], spec.series, spec.total_series, spec.value, spec.total)
+    joined = attach_total(
+        cells, [spec.entity, spec.period], spec.series, spec.total_series, spec.value, spec.total, duplicates
+    )
     shared = share_of_total(joined, spec.value, spec.total, spec.share)
     stepped = previous_value(shared, keys, spec.period, spec.value, spec.previous)
     changed = pct_change(stepped, keys, spec.period, spec.value, spec.change, previous=spec.previous)
@@ -88,9 +90,7 @@ def stocks_mart_from_wide(raw: DataFrame, spec: PanelSpec = ANNUAL) -> DataFrame
     years = sorted(_years(wide, spec), key=lambda y: _period(y, spec))
     ids = [spec.entity, spec.name, spec.series, spec.stamp]
     history = cast_measures(wide.select(*ids, *years), years, "_values", spec.tokens)
-    rows = attach_total(
-        history, [spec.entity], spec.series, spec.total_series, "_values", "_totals", duplicates="fail"
-    )
+    rows = attach_total(history, [spec.entity], spec.series, spec.total_series, "_values", "_totals")
     periods = F.array(*[F.lit(_period(y, spec)).cast("bigint") for y in years])
     # An entity without the total series has no array of totals: one NULL per year.
     no_totals = F.lit([None] * len(years)).cast("array<double>")

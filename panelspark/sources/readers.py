@@ -97,13 +97,10 @@ def open_snapshots(spark: SparkSession, path: str, date: str | None = None, merg
 
 
 def register_snapshots(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """External table over the dated snapshots; its partitions are repaired, else it reads as empty."""
-    columns = ", ".join(f"`{c}` {t}" for c, t in open_snapshots(spark, path).dtypes)
+    """External table over the dated snapshots; its partitions are recovered, else it reads as empty."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING PARQUET PARTITIONED BY ({SNAPSHOT_PARTITION}) LOCATION '{path}'"
-    )
-    spark.sql(f"MSCK REPAIR TABLE {name}")
+    spark.catalog.createTable(name, path, source="parquet", mergeSchema="true")
+    spark.catalog.recoverPartitions(name)
     return spark.table(name)
 
 

@@ -163,11 +163,11 @@ def test_attach_total_and_share(spark, rows):
 
 def test_total_stored_twice(spark):
     df = spark.createDataFrame([("A", "T", 2000, 1.0), ("A", "T", 2000, 1.0), ("A", "x", 2000, 4.0)], PANEL)
-    assert attach_total(df, ["country", "year"], "series", "T", "v").count() == 6
+    assert attach_total(df, ["country", "year"], "series", "T", "v", duplicates="join").count() == 6
     with pytest.raises(PySparkException, match="stored twice"):
-        attach_total(df, ["country", "year"], "series", "T", "v", duplicates="fail").collect()
+        attach_total(df, ["country", "year"], "series", "T", "v").collect()
     without = df.where("series = 'x'")
-    checked = attach_total(without, ["country", "year"], "series", "T", "v", duplicates="fail")
+    checked = attach_total(without, ["country", "year"], "series", "T", "v")
     assert [r.total for r in checked.collect()] == [None]
 
 

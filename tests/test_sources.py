@@ -53,7 +53,11 @@ def test_registered_snapshots_are_repaired(spark, tmp_path):
     path = str(tmp_path / "snap")
     write_snapshot(frame(spark, 3, "a"), path, "2025-01-01")
     write_snapshot(frame(spark, 4, "b"), path, "2025-04-01")
-    assert register_snapshots(spark, "registered", path).count() == 7
+    table = register_snapshots(spark, "registered", path)
+    assert table.count() == 7 and set(table.columns) == {"id", "tag", "extracted_date"}
+    write_snapshot(spark.createDataFrame([(1, "c", 2.0)], "id bigint, tag string, extra double"), path, "2025-07-01")
+    again = register_snapshots(spark, "registered", path)
+    assert again.count() == 8 and again.where("extracted_date = '2025-07-01'").first().extra == 2.0
 
 
 def test_latest_snapshot_prunes_partitions(spark, tmp_path):

@@ -134,16 +134,16 @@ def country_rollup(spark, sf_dir):
 select country_code, series_code, "year", debt_value_usd, total_debt_usd from stocks""")
 def attach_total_by_join(spark, sf_dir):
     cells = staged_landed_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
-    return attach_total(cells, ["country_code", "year"], "series_code", ALL, "debt_value_usd", "total_debt_usd")
+    return attach_total(
+        cells, ["country_code", "year"], "series_code", ALL, "debt_value_usd", "total_debt_usd", duplicates="join"
+    )
 
 
 @query("share_of_total", f"""with {CUSTOMER_STOCKS_SQL}
 select country_code, series_code, "year", debt_value_usd, total_debt_usd, pct_of_total_debt from stocks""")
 def share_of_checked_total(spark, sf_dir):
     cells = staged_landed_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
-    totals = attach_total(
-        cells, ["country_code", "year"], "series_code", ALL, "debt_value_usd", "total_debt_usd", duplicates="fail"
-    )
+    totals = attach_total(cells, ["country_code", "year"], "series_code", ALL, "debt_value_usd", "total_debt_usd")
     return share_of_total(totals, "debt_value_usd", "total_debt_usd", "pct_of_total_debt")
 
 
