@@ -38,7 +38,8 @@ def attach_total(
     if duplicates == "fail":
         copies = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).select(F.max("_copies")).scalar()
         complaint = F.raise_error(F.lit(f"series {total_code} is stored twice for the same {', '.join(keys)}"))
-        totals = totals.where(F.when(F.coalesce(copies, F.lit(0)) < 2, F.lit(True)).otherwise(complaint.cast("boolean")))
+        once_each = F.coalesce(copies, F.lit(0)) < 2
+        totals = totals.where(F.when(once_each, F.lit(True)).otherwise(complaint.cast("boolean")))
     elif duplicates != "join":
         raise ValueError("duplicates must be 'join' or 'fail'")
     return df.join(totals, keys, "left").select(*df.columns, *names.values())
@@ -55,22 +56,22 @@ def previous_value(
     value: str,
     out: str = "prev_value",
     strict_period: bool = False,
-    long_history: bool = False,
+    few_periods: bool = False,
 ) -> DataFrame:
-    """Value of the previous observation per ``keys`` by ``order``.
+    """Value of the previous observation per ``keys`` by ``order`` (unique per key).
 
     That is the previous row, however far back; ``strict_period`` accepts it
-    only from period - 1. A panel has one row per key and period, so a group is
-    as long as the list of periods. Where a key's history may be too long to
-    sort in one task (fine-grained periods), set ``long_history``: the result is
-    the same, computed over range slices of the sorted rows.
+    only from period - 1. By default a key may have any number of rows: they are
+    cut into range slices (see :func:`~panelspark.operators.slices.lag_within`).
+    ``few_periods`` says that a key has one row per period of a short list, as in
+    a staged panel; one window over each key, the cheaper way, is then safe.
     """
     keys = list(keys)
-    if long_history:
-        stepped = lag_within(df, keys, order, {out: value, "_prev_period": order})
-    else:
+    if few_periods:
         w = Window.partitionBy(*keys).orderBy(order)
         stepped = df.withColumns({out: F.lag(value).over(w), "_prev_period": F.lag(order).over(w)})
+    else:
+        stepped = lag_within(df, keys, order, {out: value, "_prev_period": order})
     if strict_period:
         stepped = stepped.withColumn(out, F.when(F.col("_prev_period") == F.col(order) - 1, F.col(out)))
     return stepped.drop("_prev_period")

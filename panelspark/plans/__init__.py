@@ -11,7 +11,7 @@ from .specs import ANNUAL, CLEAN_SHEET, QUARTERLY, PanelSpec, SheetSpec
 
 __all__ = [
     "ANNUAL", "CLEAN_SHEET", "PanelSpec", "QUARTERLY", "SheetSpec", "at_period", "build_annual", "build_quarterly",
-    "composition", "model", "pressure_ranking", "regional_rollup", "rollup_by_column", "rollup_from_wide", "scorecard", "service_mart",
-    "service_table", "share_trend", "slice_panel", "source", "stage_panel", "stage_sheet", "stocks_mart",
+    "composition", "model", "pressure_ranking", "regional_rollup", "rollup_by_column", "rollup_from_wide",
+    "scorecard", "service_mart", "service_table", "share_trend", "slice_panel", "source", "stage_panel", "stage_sheet", "stocks_mart",
     "stocks_mart_from_wide", "top_entities", "top_then_track", "trend",
 ]

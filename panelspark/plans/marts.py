@@ -62,8 +62,8 @@ def _stocks_columns(spec: PanelSpec) -> list[str]:
 def stocks_mart(staged: DataFrame, spec: PanelSpec = ANNUAL, duplicates: str = "fail") -> DataFrame:
     """Every long cell with its total, share, previous value and change.
 
-    Works on any long panel; ``duplicates`` is that of :func:`attach_total`. From a wide snapshot, :func:`stocks_mart_from_wide`
-    gives the same rows with far less shuffling.
+    Works on any long panel; ``duplicates`` is that of :func:`attach_total`.
+    From a wide snapshot, :func:`stocks_mart_from_wide` gives the same rows with far less shuffling.
     """
     keys = [spec.entity, spec.series]
     # The label follows from the series code: put it back last, shuffle rows without it.
@@ -72,7 +72,7 @@ def stocks_mart(staged: DataFrame, spec: PanelSpec = ANNUAL, duplicates: str = "
         cells, [spec.entity, spec.period], spec.series, spec.total_series, spec.value, spec.total, duplicates
     )
     shared = share_of_total(joined, spec.value, spec.total, spec.share)
-    stepped = previous_value(shared, keys, spec.period, spec.value, spec.previous)
+    stepped = previous_value(shared, keys, spec.period, spec.value, spec.previous, few_periods=True)
     changed = pct_change(stepped, keys, spec.period, spec.value, spec.change, previous=spec.previous)
     return label_codes(changed, spec.series, spec.labels, spec.label).select(*_stocks_columns(spec))
 

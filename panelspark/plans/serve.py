@@ -115,12 +115,14 @@ def share_trend(
     value: str,
     part: str,
     whole: str,
-    long_history: bool = False,
+    few_periods: bool = True,
 ) -> DataFrame:
     """Share of series ``part`` in ``whole`` in %, its step, and whether it worsened (rose).
 
     Both series are met in one aggregate on keys + period. Periods without a
     share are left out, so a step reaches back to the previous share there is.
+    The aggregate leaves one row per key and period, so a key has few rows unless
+    there are very many periods; ``few_periods=False`` allows for that.
     """
     keys = list(keys)
     cells = spread_series(
@@ -128,7 +130,7 @@ def share_trend(
     )
     share = cells.select(*keys, order, percent(F.col("_part"), F.col("_whole")).alias("share_pct"))
     present = share.where(F.col("share_pct").isNotNull())
-    stepped = previous_value(present, keys, order, "share_pct", "_prev", long_history=long_history)
+    stepped = previous_value(present, keys, order, "share_pct", "_prev", few_periods=few_periods)
     delta = F.col("share_pct") - F.col("_prev")
     return stepped.select(*keys, order, "share_pct", delta.alias("delta"), (delta > 0).alias("worsening"))
 

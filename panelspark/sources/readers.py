@@ -44,7 +44,9 @@ def _file_paths(spark: SparkSession, root: str, fmt: str) -> list[str]:
     return sorted(row.path for row in files.toLocalIterator())
 
 
-def read_sheets(spark: SparkSession, root: str, fmt: str = "parquet", missing: str = "nan", **options: str) -> DataFrame:
+def read_sheets(
+    spark: SparkSession, root: str, fmt: str = "parquet", missing: str = "nan", **options: str
+) -> DataFrame:
     """Union of all sheet exports below ``root``, as text, with lineage columns.
 
     Sheets come as ``root/<table>/<sheet>.<fmt>`` or as a folder

@@ -171,21 +171,21 @@ def test_total_stored_twice(spark):
     assert [r.total for r in checked.collect()] == [None]
 
 
-@pytest.mark.parametrize("long_history", [False, True])
-def test_previous_value(spark, rows, long_history):
+@pytest.mark.parametrize("few_periods", [False, True])
+def test_previous_value(spark, rows, few_periods):
     df = spark.createDataFrame(
         [("A", "x", y, v) for y, v in [(1998, 10.0), (1999, 0.0), (2001, 5.0), (2002, -5.0), (2003, -4.0)]]
         + [("B", "x", 2001, 7.0)],
         PANEL,
     )
     keys = ["country", "series"]
-    got = previous_value(df, keys, "year", "v", long_history=long_history)
+    got = previous_value(df, keys, "year", "v", few_periods=few_periods)
     assert rows(got, "country", "year", "prev_value") == [
         ("A", 1998, None), ("A", 1999, 10.0), ("A", 2001, 0.0), ("A", 2002, 5.0), ("A", 2003, -5.0), ("B", 2001, None)
     ]
-    strict = previous_value(df, keys, "year", "v", strict_period=True, long_history=long_history)
+    strict = previous_value(df, keys, "year", "v", strict_period=True, few_periods=few_periods)
     assert rows(strict.where("year = 2001"), "country", "prev_value") == [("A", None), ("B", None)]
-    change = pct_change(df, keys, "year", "v", long_history=long_history)
+    change = pct_change(df, keys, "year", "v", few_periods=few_periods)
     assert rows(change, "country", "year", "pct_change") == [
         ("A", 1998, None), ("A", 1999, -100.0), ("A", 2001, None), ("A", 2002, -200.0), ("A", 2003, -20.0),
         ("B", 2001, None),

@@ -30,7 +30,7 @@ def test_staging_does_not_shuffle_and_filters_reach_the_scan(landed):
 
 
 def test_one_window_for_lag_and_change(landed):
-    stepped = previous_value(stage_panel(landed), ["country_code", "series_code"], "year", "debt_value_usd", "prev")
+    stepped = previous_value(stage_panel(landed), ["country_code", "series_code"], "year", "debt_value_usd", "prev", few_periods=True)
     changed = pct_change(stepped, [], "year", "debt_value_usd", previous="prev")
     assert plan_of(changed).count("Window [") == 1
 

@@ -12,8 +12,8 @@ from panelspark.operators import (
     share_of_total, unpivot_periods,
 )
 from panelspark.plans import (
-    composition, regional_rollup, rollup_by_column, rollup_from_wide, scorecard, share_trend, slice_panel, stage_panel, stocks_mart,
-    stocks_mart_from_wide, top_entities, top_then_track, trend,
+    composition, regional_rollup, rollup_by_column, rollup_from_wide, scorecard, share_trend, slice_panel,
+    stage_panel, stocks_mart, stocks_mart_from_wide, top_entities, top_then_track, trend,
 )
 from panelspark.session import pin
 
@@ -151,7 +151,7 @@ def share_of_checked_total(spark, sf_dir):
 select country_code, series_code, "year", debt_value_usd, prev_year_value from stocks""")
 def previous_observation(spark, sf_dir):
     cells = staged_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
-    return previous_value(cells, HISTORY, "year", "debt_value_usd", "prev_year_value")
+    return previous_value(cells, HISTORY, "year", "debt_value_usd", "prev_year_value", few_periods=True)
 
 
 @query("previous_value_strict", f"""with {CUSTOMER_STAGED_SQL}
@@ -160,14 +160,16 @@ select country_code, series_code, "year", debt_value_usd,
 from staged window w as (partition by country_code, series_code order by "year")""")
 def previous_year_only(spark, sf_dir):
     cells = staged_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
-    return previous_value(cells, HISTORY, "year", "debt_value_usd", "prev_year_value", strict_period=True)
+    return previous_value(
+        cells, HISTORY, "year", "debt_value_usd", "prev_year_value", strict_period=True, few_periods=True
+    )
 
 
 @query("pct_change", f"""with {CUSTOMER_STOCKS_SQL}
 select country_code, series_code, "year", debt_value_usd, yoy_change_pct from stocks""")
 def change_on_previous(spark, sf_dir):
     cells = staged_customers(spark, sf_dir).select(*CELL, "debt_value_usd")
-    return pct_change(cells, HISTORY, "year", "debt_value_usd", "yoy_change_pct")
+    return pct_change(cells, HISTORY, "year", "debt_value_usd", "yoy_change_pct", few_periods=True)
 
 
 _SUM = "cast(sum(cast(debt_value_usd as decimal(18,2))) as double)"

@@ -10,7 +10,9 @@ from panelspark.operators import latest_snapshot, stringify
 from panelspark.plans import (
     CLEAN_SHEET, build_annual, build_quarterly, model, service_mart, stage_panel, stage_sheet, stocks_mart_from_wide,
 )
-from panelspark.plans.build import MART_REGIONAL, MART_SERVICE, MART_STOCKS, RAW_ANNUAL, RAW_QUARTERLY, run_not_null_tests
+from panelspark.plans.build import (
+    MART_REGIONAL, MART_SERVICE, MART_STOCKS, RAW_ANNUAL, RAW_QUARTERLY, run_not_null_tests,
+)
 from panelspark.plans.land import land_annual, land_quarterly
 from panelspark.session import scratch_path
 from panelspark.sources import (
@@ -20,8 +22,8 @@ from panelspark.sources import (
 from .annual import _COUNTRY_REGIONS_SQL, _ROLLUP, landed_customers
 from .panels import (
     ALL, COUNTRY_PANEL, COUNTRY_STAGED_SQL, COUNTRY_STOCKS_SQL, CUSTOMER_PANEL, CUSTOMER_STAGED_SQL,
-    CUSTOMER_STOCKS_SQL, EXTRACTED_AT, PRIORITY_SERIES, QUARTERS, SUPPLIER_SERVICE_SQL, SUPPLIER_SHEET, SUPPLIER_SHEET_SQL, YEARS,
-    raw_country_panel, raw_customer_panel, raw_supplier_sheet, supplier_quarters,
+    CUSTOMER_STOCKS_SQL, EXTRACTED_AT, PRIORITY_SERIES, QUARTERS, SUPPLIER_SERVICE_SQL, SUPPLIER_SHEET,
+    SUPPLIER_SHEET_SQL, YEARS, raw_country_panel, raw_customer_panel, raw_supplier_sheet, supplier_quarters,
 )
 from .registry import query
 from .rows import _DAILY, daily_events
@@ -39,7 +41,8 @@ def landed_panel(spark, sf_dir):
 
 
 @query("land_annual", f"""with {CUSTOMER_STAGED_SQL}
-select country_code, country_name, series_code, "year", debt_value_usd, (select count(distinct k || s) from cells) landed_rows
+select country_code, country_name, series_code, "year", debt_value_usd,
+       (select count(distinct k || s) from cells) landed_rows
 from staged""")
 def landed_series(spark, sf_dir):
     """One source per series, as it would be fetched, and one that is missing."""

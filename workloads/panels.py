@@ -93,7 +93,9 @@ def raw_customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_country_panel(spark: SparkSession, sf_dir: str, through: int = YEARS[-1], stamp: str = EXTRACTED_AT) -> DataFrame:
+def raw_country_panel(
+    spark: SparkSession, sf_dir: str, through: int = YEARS[-1], stamp: str = EXTRACTED_AT
+) -> DataFrame:
     """economy = country code of the customer's nation, series codes and schema of the annual preset.
 
     Orders are summed per customer first, so the join and the second sum see one

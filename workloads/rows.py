@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import normalize_identifier
 from panelspark.operators import (
     align_union, check_missing_series, check_not_null, classify, clean_codes, dedupe_names, label_codes,
-    lag_within, latest_snapshot, number_within, prefix_numeric_columns, stamp, stringify,
+    latest_snapshot, number_within, prefix_numeric_columns, previous_value, stamp, stringify,
 )
 from panelspark.session import scratch_path
 from panelspark.sources import load_all, observe_counts
@@ -170,7 +170,7 @@ select event_id, event_type, value, lag(value) over (partition by event_type ord
 def previous_event(spark, sf_dir):
     """Five keys hold all events: each history is cut into range slices."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return lag_within(events, ["event_type"], "event_id", {"prev_value": "value"})
+    return previous_value(events, ["event_type"], "event_id", "value")
 
 
 def daily_events(spark, sf_dir):
