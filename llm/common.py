@@ -73,10 +73,10 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         return hashes
     size = min(size, len(hashes))
     n = len(hashes) - size + 1
-    with np.errstate(over="ignore"):
-        total = np.full(n, np.uint64(size), np.uint64)
-        for k in range(size):
-            total = total * _ODD + mix(hashes[k : k + n] + np.uint64(k + 1))
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total *= _ODD
+        total += hashes[k : k + n]
     return mix(total)
 
 
