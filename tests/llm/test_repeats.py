@@ -10,6 +10,7 @@ import pytest
 
 from llm import blocks
 from llm.repeated_passages import repeated_passages
+from llm.repeated_strings import repeated_strings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +84,37 @@ def test_window_hashes_and_anchors():
     chosen = set(blocks.anchors(grams, inside, full, 16))
     expected = {p for s in np.flatnonzero(full) for p in range(s, s + 16) if grams[p] == grams[s : s + 16].min()}
     assert chosen == expected
+
+
+def plain_strings(rows):
+    first = {}
+    coded = [(i, (t or "").encode()) for i, t in rows]
+    for i, data in coded:
+        for p in range(len(data) - 49):
+            s = data[p : p + 50]
+            first[s] = min(first.get(s, i), i)
+    out = Counter()
+    for i, data in coded:
+        mask = bytearray(len(data))
+        for p in range(len(data) - 49):
+            if first[data[p : p + 50]] < i:
+                mask[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, m in zip(data, mask) if not m)
+        out[(i, len(data), sum(mask), runs(mask), hashlib.sha256(kept).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("size,crowd", [(1 << 12, 50_000), (2 << 20, 50_000), (1 << 14, 0)])
+def test_strings_equal_brute_force(spark, rows, size, crowd):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    more = []
+    for k in range(80):  # cuts of one string at every length around 50, next to equal and other bytes
+        a = rng.randrange(300)
+        more.append((3000 + k, rng.choice("xyz") * rng.randrange(25) + passage[a : a + rng.randrange(40, 100)] + rng.choice("xyz") * rng.randrange(25)))
+    given = [*rows, *more]
+    df = spark.createDataFrame([(i, t, 1, b"k") for i, t in given], "doc_id long, text string, block long, spans binary").repartition(3)
+    out = repeated_strings(df, block_bytes=size, crowd=crowd)
+    got = Counter(tuple(r)[:5] for r in out.collect())
+    assert got == plain_strings(given)
+    assert repeated_strings(df.limit(0)).count() == 0
