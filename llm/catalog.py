@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, mixing, near_duplicates, quality, repeated_passages, repeated_strings, token_files  # noqa: F401
+from . import decontaminate, hilbert, markov, mixing, near_duplicates, quality, repeated_passages, repeated_strings, token_files  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

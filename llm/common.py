@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.session import scratch_path
 
@@ -30,11 +30,21 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+NO_ID = -(2**63)  # stands for a null id inside operators, so rows without id come before all others
+
+
+def long_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two columns, doc_id (long) and text (null as empty), whatever else the table has."""
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    """Two columns, doc_id (long, NO_ID for null) and text (null as empty), whatever else the table has."""
+    return docs.select(long_id(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def with_null_ids(df: DataFrame, *columns: str) -> DataFrame:
+    """NO_ID back to null in ``columns`` (by default doc_id)."""
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in columns or ("doc_id",)})
 
 
 def words_of(text: bytes | str, lower: bool = False) -> list[bytes]:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, arrow_rows, documents, id_and_text, landed, shingle_hashes, texts_in, words_of
+from .common import WordHashes, arrow_rows, documents, id_and_text, landed, long_id, shingle_hashes, texts_in, with_null_ids, words_of
 from .registry import query
 
 BITS = 64
@@ -182,11 +182,11 @@ def benchmark_matches(
     documents, so what a task holds does not grow with it.
 
     Null, empty and blank texts and items match nothing. Equal items match
-    alike; rows that repeat an id give the best of their matches. Empty tables give no rows.
+    alike; rows without id, and rows that repeat one, give the best of their matches. Empty tables give no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(
-        F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")
+        long_id(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")
     )
     items = landed(items, "items")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
@@ -219,15 +219,16 @@ def benchmark_matches(
         got = plain.mapInArrow(arrow_rows(run, schema), "doc_id long, item_id long, similarity double, first_word long, n_windows long")
         found = got if found is None else found.unionByName(got)
     best = F.max(F.struct("similarity", -F.col("first_word"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best, F.sum("n_windows").alias("n_windows")).select(
+    matches = found.groupBy("doc_id", "item_id").agg(best, F.sum("n_windows").alias("n_windows")).select(
         "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("first_word"), "n_windows"
     )
+    return with_null_ids(matches, "doc_id", "item_id")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     held = landed(benchmark_matches(docs, benchmark, **options).select(F.col("doc_id").alias("_held")).distinct(), "held")
-    return docs.join(held, F.col(options.get("id_col", "doc_id")) == F.col("_held"), "left_anti")
+    return docs.join(held, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_held")), "left_anti")
 
 
 @query("op1_simhash_windows")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, arrow_rows, documents, id_and_text, landed, mix, shingle_hashes, signed, texts_in, words_of
+from .common import WordHashes, arrow_rows, documents, id_and_text, landed, mix, shingle_hashes, signed, texts_in, with_null_ids, words_of
 from .components import bucket_links, components
 from .registry import query
 
@@ -142,7 +142,8 @@ def near_duplicates(
 
     Null, empty and blank texts have no shingles, are linked with nothing and
     kept. Rows that repeat an id and a text are one document and come out as often
-    as they came in. An empty table gives no rows. Only the two named columns are read.
+    as they came in. Rows without id come
+    before all others and stay. An empty table gives no rows. Only the two named columns are read.
     """
     plain = id_and_text(docs, id_col, text_col)
     prints = landed(fingerprints(plain, shingle, bands, rows), "fingerprints")
@@ -172,9 +173,10 @@ def near_duplicates(
     of_class = landed(labelled.join(least, "component").select("key", "component_id"), "class-components")
     joined = prints.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_class, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return joined.select(
+    result = joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
     )
+    return with_null_ids(result, "doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:

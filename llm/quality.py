@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LOWER, SPACE_PATTERN, UPPER, documents
+from .common import LOWER, SPACE_PATTERN, UPPER, documents, long_id, with_null_ids
 from .registry import query
 
 SYMBOLS = "#*$%&|<>"
@@ -53,7 +53,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``text_key`` is a hash of the text. A null text has no words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(long_id(id_col), text.alias("text"))
     split = rows.select(
         "doc_id", F.xxhash64("text").alias("text_key"), word_list(F.col("text")).alias("words"),
         F.length(F.translate("text", SPACES, "")).alias("word_chars"),
@@ -79,7 +79,7 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
+        long_id(id_col), text.alias("text"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
     )
 
@@ -130,7 +130,7 @@ def quality_rules(
 
     Null and empty texts have no words and fail; a null host is the host ''.
     Equal rows get equal verdicts; rows that share an id but not the text are
-    judged separately. An empty table gives no rows. Only the four named columns are read.
+    judged separately, rows without id are one document when lines are counted. An empty table gives no rows. Only the four named columns are read.
     """
     base = base_rules(docs, id_col, text_col, min_words, max_repeat_percent)
     lines = document_lines(docs, id_col, text_col, host_col)
@@ -147,11 +147,11 @@ def quality_rules(
     # Repeated rows double both sums.
     share_left = F.coalesce(F.try_divide("_left", "_words"), F.lit(1.0))
     depleted = share_left < least_left
-    return judged.select(
+    return with_null_ids(judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.round(share_left * F.col("n_words")).cast("long").alias("kept_words"), depleted.alias("depleted"),
         (~F.col("base_failed") & ~depleted).alias("kept"),
-    )
+    ))
 
 
 @query("op8_line_frequency")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .blocks import anchors, block_rows, fits, text_blocks, window_hashes, with_lists
-from .common import WordHashes, arrow_rows, documents, signed
+from .common import WordHashes, arrow_rows, documents, signed, with_null_ids
 from .registry import query
 
 
@@ -109,7 +109,7 @@ def repeated_passages(
     in a third of all documents sends one row per block. Windows are compared by
     64-bit hashes of their words.
 
-    Null and empty texts have no words. Rows that repeat an id are parts of one
+    Null and empty texts have no words; rows without id come before all others. Rows that repeat an id are parts of one
     document that start alike: equal ones don't remove each other's words. An empty
     table gives no rows. Only the two named columns are read.
     """
@@ -161,7 +161,7 @@ def repeated_passages(
         ("kept_sha256", pa.string()), ("removed", pa.list_(span)),
     ])
     kinds = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    return with_lists(blocks, repeats).mapInArrow(arrow_rows(remove, schema), kinds)
+    return with_null_ids(with_lists(blocks, repeats).mapInArrow(arrow_rows(remove, schema), kinds))
 
 
 @query("op9_doubled_windows")

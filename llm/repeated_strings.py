@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .blocks import anchors, block_rows, joined, text_blocks, window_hashes, with_lists
-from .common import arrow_rows, documents, landed, mix, signed
+from .common import arrow_rows, documents, landed, mix, signed, with_null_ids
 from .registry import query
 
 LENGTH, GRAM = 50, 20
@@ -234,7 +234,7 @@ def repeated_strings(
     documents sends one row per block. Strings are compared by identifiers of
     64 bits in all (32 for the bucket, 32 for what surrounds it).
 
-    Null and empty texts have no bytes. Rows that repeat an id are one document:
+    Null and empty texts have no bytes; rows without id come before all others. Rows that repeat an id are one document:
     they do not remove each other's bytes. An empty table gives no rows. Only the two
     named columns are read.
     """
@@ -284,7 +284,7 @@ def repeated_strings(
         ("kept_sha256", pa.string()), ("removed", pa.list_(span)),
     ])
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    return whole.mapInArrow(arrow_rows(remove, schema), kinds)
+    return with_null_ids(whole.mapInArrow(arrow_rows(remove, schema), kinds))
 
 
 @query("op2_bucket_pointers")

@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 
 from panelspark.session import scratch_path
 
-from .common import arrow_rows, documents, texts_in
+from .common import arrow_rows, documents, long_id, texts_in, with_null_ids
 from .registry import query
 
 END_ID = 2
@@ -93,14 +93,14 @@ def write_token_files(
     all executors reach (a mounted one, or any store pyarrow knows).
 
     A null or empty text is one end id. Repeated rows are written as often as
-    they occur. An empty table gives an empty manifest.
+    they occur, rows without id come first. An empty table gives an empty manifest.
     """
     dtype = {16: "<u2", 32: "<u4"}[id_bits]
     order = order or [id_col]
     spark = docs.sparkSession
     keys = {f"_order{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        long_id(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *[c.alias(k) for k, c in keys.items()],
     )
     sliced = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
@@ -182,7 +182,7 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
         ("ids", pa.binary()), ("id_bits", pa.int32()),
     ])
     kinds = "doc_id long, position long, start long, n_tokens long, ids binary, id_bits int"
-    return spread.mapInArrow(arrow_rows(read, schema), kinds)
+    return with_null_ids(spread.mapInArrow(arrow_rows(read, schema), kinds))
 
 
 @F.pandas_udf(LongType())
