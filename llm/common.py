@@ -13,7 +13,6 @@ from panelspark.session import scratch_path
 
 # Words are runs of anything but the six ASCII white-space characters, as a Java pattern.
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -7,39 +7,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LOWER, SPACE_PATTERN, UPPER, documents, long_id, with_null_ids
+from .common import SPACE_PATTERN, documents, long_id, with_null_ids
 from .registry import query
 
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def word_list(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_PATTERN), lambda w: w != "")
 
 
-def repeated_windows(words: Column) -> Column:
-    """Number of words that lie in a 3-word window found at least twice.
+def window_keys(words: Column) -> Column:
+    """64-bit hash of every 3 consecutive words (null past the last ones)."""
+    later = [F.slice(words, F.lit(k), F.greatest(F.size(words), F.lit(1))) for k in (2, 3)]
+    pairs = F.zip_with(words, later[0], lambda a, b: F.xxhash64(a, b))
+    return F.slice(F.zip_with(pairs, later[1], lambda ab, c: F.xxhash64(ab, c)), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
 
-    Windows are compared by a 64-bit hash inside one text. Sorted by (hash,
-    place), equal windows are neighbours; texts whose windows all differ are not
-    sorted at all.
+
+def repeated_words(windows: Column) -> Column:
+    """Number of words that lie in a 3-word window found at least twice in the text.
+
+    Sorted by (hash, place), equal windows are neighbours; texts whose windows
+    all differ are not sorted at all.
     """
-    n = F.size(words)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hashes = F.zip_with(
-        pairs, F.slice(words, F.lit(3), F.greatest(n, F.lit(1))), lambda p, c: F.xxhash64(p["a"], p["b"], c)
-    )
-    windows = F.slice(hashes, F.lit(1), n - 2)
+    n = F.size(windows)
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    places = F.flatten(
-        F.zip_with(
-            placed, F.slice(placed, F.lit(2), F.greatest(n, F.lit(1))),
-            lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")),
-        )
+    # The lambda over one element names the sorted array, which is then sorted once.
+    doubles = F.transform(
+        F.array(placed),
+        lambda p: F.flatten(
+            F.zip_with(
+                p, F.slice(p, F.lit(2), F.greatest(n, F.lit(1))),
+                lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")),
+            )
+        ),
     )
+    places = F.flatten(doubles)
     covered = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))
-    return F.when(n < 4, 0).when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(F.size(covered))
+    return F.when(F.size(F.array_distinct(windows)) == n, 0).otherwise(F.size(covered))
 
 
 def line_list(text: Column) -> Column:
@@ -54,17 +59,18 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(long_id(id_col), text.alias("text"))
+    # Two steps, so that words and windows are made once and not wherever they are used.
     split = rows.select(
         "doc_id", F.xxhash64("text").alias("text_key"), word_list(F.col("text")).alias("words"),
-        F.length(F.translate("text", SPACES, "")).alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
+        F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         line_list(F.col("text")).alias("lines"),
     )
-    counted = split.select(
-        "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
-        F.col("n_symbols").cast("long").alias("n_symbols"),
+    windowed = split.select("*", window_keys(F.col("words")).alias("windows"))
+    counted = windowed.select(
+        "doc_id", "text_key", F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_windows(F.col("words")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
@@ -73,21 +79,20 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per line with a word: doc_id, text_key, host, line (hash of the normalised line), words, sketch.
 
-    Normalised: A-Z lower-cased, runs of white space as one blank, ends trimmed.
+    Normalised: lower case, runs of white space as one blank, ends trimmed.
     ``sketch`` stands for the document when documents are counted: the least
     hash among its other lines, which copies and most near copies share.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        long_id(id_col), text.alias("text"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-    )
+    rows = docs.select(long_id(id_col), text.alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
+    blanks = F.regexp_replace(F.lower("text"), r"[\x20\x09\x0B-\x0D]+", " ")
+    normal = F.regexp_replace(blanks, r" ?\n ?", "\n")
+    lines = F.filter(F.transform(F.split(normal, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
 
     def line_row(line: Column) -> Column:
-        normal = F.concat_ws(" ", word_list(F.translate(line, UPPER, LOWER)))
-        return F.struct(F.xxhash64(normal).alias("line"), (F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).alias("words"))
+        return F.struct(F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("words"))
 
-    hashed = rows.select("doc_id", "host", F.xxhash64("text").alias("text_key"), F.transform(line_list(F.col("text")), line_row).alias("lines"))
+    hashed = rows.select("doc_id", "host", F.xxhash64("text").alias("text_key"), F.transform(lines, line_row).alias("lines"))
     least = F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["line"]))), 1, 2)
     sketched = hashed.withColumn("least", least)
     each = sketched.select("doc_id", "text_key", "host", "least", F.explode("lines").alias("l"))
