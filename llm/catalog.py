@@ -2,5 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, markov, mixing, near_duplicates, quality, repeated_passages, repeated_strings, token_files  # noqa: F401
-from .registry import QUERIES, SQL  # noqa: F401
+import corpus_pipeline
+
+from . import (  # noqa: F401
+    decontaminate,
+    fuzzy_lines,
+    hilbert,
+    markov,
+    mixing,
+    near_duplicates,
+    quality,
+    repeated_passages,
+    repeated_strings,
+    token_files,
+)
+from .registry import QUERIES, SQL
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

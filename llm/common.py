@@ -108,11 +108,11 @@ def arrow_rows(
 def texts_in(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
     """(ids, UTF-8 texts) of a batch in pieces of about ``most`` bytes; one long text may exceed it."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    texts, at, size = batch.column(1).cast(pa.large_binary()), 0, 0
+    texts, size = batch.column(1), 0
     some_ids: list[int] = []
     some: list[bytes] = []
     for at in range(len(ids)):
-        text = texts[at].as_py() or b""
+        text = texts[at].as_buffer().to_pybytes()
         some_ids.append(int(ids[at]))
         some.append(text)
         size += len(text)

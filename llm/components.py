@@ -39,11 +39,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = landed(small.distinct(), "small")
 
 
-def bucket_links(members: DataFrame, fits: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_links(
+    members: DataFrame,
+    fits: str,
+    load: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
     """All links (a, b) needed to connect what shares a bucket and is verified.
 
     ``members``: bucket, node, n; one row per node and bucket. ``fits``: condition on
-    ``na`` and ``nb`` that any link meets. ``verify``: keeps the true links of a frame (a, b).
+    ``na`` and ``nb`` that any link meets. ``load``: what ``verify`` needs of the
+    nodes of a frame (node), looked up once. ``verify``: keeps the true links of a frame (a, b).
 
     A group of copies is not expanded into its pairs. First every node is
     tried with one node: the leader (least node) it shares most buckets with.
@@ -63,7 +69,8 @@ def bucket_links(members: DataFrame, fits: str, verify: Callable[[DataFrame], Da
     )
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     tried = landed(first, "first-pairs")
-    links = landed(verify(tried), "first-links")
+    data = landed(load(kept.select("node").distinct()), "node-data")
+    links = landed(verify(tried, data), "first-links")
     part = landed(components(links), "first-components")
 
     labelled = kept.drop("leader").join(part, kept["node"] == part["node"], "left").select(
@@ -76,5 +83,5 @@ def bucket_links(members: DataFrame, fits: str, verify: Callable[[DataFrame], Da
     y = open_members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).where(fits)
     across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = landed(verify(landed(across, "more-pairs")), "more-links")
+    more = landed(verify(landed(across, "more-pairs"), data), "more-links")
     return links.unionByName(more)

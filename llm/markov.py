@@ -304,7 +304,7 @@ def train(coded: DataFrame, share: np.ndarray, classes: int, states: int, rounds
     n = classes + 1
     cuts = np.cumsum([states, states * states, n * states])
     for _ in range(rounds):
-        sent = coded.sparkSession.sparkContext.broadcast(model)
+        sent = coded.sparkSession.sparkContext.broadcast((model.start, model.step, model.emit))
 
         def per_block(block: Coded, sent=sent) -> np.ndarray:
             learn = block.learn()
@@ -312,7 +312,7 @@ def train(coded: DataFrame, share: np.ndarray, classes: int, states: int, rounds
             if not learn.any():
                 return np.zeros(cuts[-1])
             tokens = block.classes[np.repeat(learn, lengths)]
-            starts, steps, emits, _ = Pieces(sent.value, tokens, np.concatenate([[0], np.cumsum(lengths[learn])])).expected()
+            starts, steps, emits, _ = Pieces(Model(*sent.value), tokens, np.concatenate([[0], np.cumsum(lengths[learn])])).expected()
             return np.concatenate([starts, steps.ravel(), emits.ravel()])
 
         counts = summed(coded, per_block, int(cuts[-1]), classes)
@@ -360,10 +360,11 @@ def markov_scores(
     n_train, n_distinct = int(in_class.sum()), int(distinct.sum())
     inside = in_class + ADD * (distinct + 1)
     model = train(coded, inside / inside.sum(), classes, states, rounds)
-    sent = spark.sparkContext.broadcast((model, np.log10(inside)))
+    sent = spark.sparkContext.broadcast((model.start, model.step, model.emit, np.log10(inside)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        model, log_inside = sent.value
+        *parts, log_inside = sent.value
+        model = Model(*parts)
         base = math.log10(n_train + ADD * (n_distinct + 1))
         for block in coded_rows(batches, classes):
             n = np.diff(block.begin)

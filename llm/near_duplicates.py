@@ -153,11 +153,12 @@ def near_duplicates(
     )
     members = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), "n")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        ids = classes.join(wanted, "key", "left_semi").select(F.col("first").alias("doc_id"))
+    def load(nodes: DataFrame) -> DataFrame:
+        ids = classes.join(nodes.withColumnRenamed("node", "key"), "key", "left_semi").select(F.col("first").alias("doc_id"))
         texts = plain.join(landed(ids.distinct(), "wanted-ids"), "doc_id", "left_semi")
-        sets = landed(shingle_sets(texts, shingle).dropDuplicates(["key"]), "sets")
+        return shingle_sets(texts, shingle).dropDuplicates(["key"])
+
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
         y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -165,7 +166,7 @@ def near_duplicates(
         return compared.where(F.expr(f"100 * i >= {percent} * (t - i)")).select("a", "b")
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    groups = components(bucket_links(members, fits, verify))
+    groups = components(bucket_links(members, fits, load, verify))
     labelled = classes.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     labelled = labelled.select("key", "first", F.coalesce("component", "key").alias("component"))
     labelled = landed(labelled, "labelled-classes")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACE_PATTERN, documents, long_id, with_null_ids
+from .common import SPACE_PATTERN, documents, landed, long_id, with_null_ids
 from .registry import query
 
 SYMBOLS = "#*$%&|<>"
@@ -52,6 +52,12 @@ def line_list(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def normal_lines(text: Column) -> Column:
+    """Lines in lower case, runs of white space as one blank, ends trimmed; blank lines are ''."""
+    blanks = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.transform(F.split(blanks, "\n", -1), lambda x: F.trim(x))
+
+
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """doc_id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed.
 
@@ -79,15 +85,13 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per line with a word: doc_id, text_key, host, line (hash of the normalised line), words, sketch.
 
-    Normalised: lower case, runs of white space as one blank, ends trimmed.
+    Lines are compared as :func:`normal_lines` has them.
     ``sketch`` stands for the document when documents are counted: the least
     hash among its other lines, which copies and most near copies share.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(long_id(id_col), text.alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
-    blanks = F.regexp_replace(F.lower("text"), r"[\x20\x09\x0B-\x0D]+", " ")
-    normal = F.regexp_replace(blanks, r" ?\n ?", "\n")
-    lines = F.filter(F.transform(F.split(normal, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(normal_lines(F.col("text")), lambda x: x != "")
 
     def line_row(line: Column) -> Column:
         return F.struct(F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("words"))
@@ -153,12 +157,20 @@ def quality_rules(
     share_left = F.coalesce(F.try_divide("_left", "_words"), F.lit(1.0))
     depleted = share_left < least_left
     return with_null_ids(judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.round(share_left * F.col("n_words")).cast("long").alias("kept_words"), depleted.alias("depleted"),
         (~F.col("base_failed") & ~depleted).alias("kept"),
     ))
 
 
+def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that the rules reject; texts stay as they are."""
+    verdicts = quality_rules(docs, id_col, text_col, **options).where("NOT kept")
+    rejected = landed(verdicts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "rejected")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key"))
+    return docs.join(rejected, same, "left_anti")
+
+
 @query("op8_line_frequency")
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir)).drop("text_key")

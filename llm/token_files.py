@@ -13,7 +13,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,42 +31,59 @@ from .registry import query
 END_ID = 2
 
 
+# A text of these characters only is cut by PIECES, the pattern of the byte-level
+# pre-tokenizer written for them; other texts are cut at blanks between other characters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+OTHER = re.compile(rf"[^\x20-\x7E\n\r\t{LETTERS}]")
+PIECES = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
+)
+CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
 class Encoder:
-    """Ids of texts, through a cache of pieces.
+    """Ids of texts, through a bounded cache of pieces.
 
-    The byte-level pattern never puts white space behind another character into
-    one piece, so a text may be cut before a blank and around a line feed that
-    stand between two other characters. Equal pieces get equal ids and are
-    encoded once; a text with other white space is only cut at such blanks.
+    Pieces are encoded independently of their neighbours, so equal pieces get
+    equal ids and each is encoded once. New pieces are encoded many at a time,
+    a line feed between them: it is an id of its own there and tells them apart.
     """
 
-    ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
-    PIECE = re.compile(r" ?[^ \n]+|\n")
-    CUT = re.compile(r"(?<=\S)(?= \S)")
-    LIMIT = 300_000  # pieces kept
+    LIMIT = 400_000  # pieces kept
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype(dtype)
         self.pieces: dict[str, bytes] = {}
+        self.feed = self.whole("\n")[0]
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, new: list[str]) -> None:
+        plain = [p for p in new if not p.isspace() and "\n" not in p]
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.whole("\n".join(some)), self.dtype)
+            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise AssertionError("pieces and ids don't match")
+            begin = 0
+            for piece, end in zip(some, ends):
+                self.pieces[piece] = ids[begin:end].tobytes()
+                begin = end + 1
+        for piece in set(new).difference(plain):
+            self.pieces[piece] = np.array(self.whole(piece), self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [(self.CUT.split(t) if self.ODD.search(t) else self.PIECE.findall(t)) if t else [] for t in texts]
+        cut = [(CUT.split(t) if OTHER.search(t) else PIECES.findall(t)) if t else [] for t in texts]
         if len(self.pieces) > self.LIMIT:
             self.pieces.clear()
-        known = self.pieces
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, dtype: str) -> Encoder:
-    return Encoder(path, dtype)
+        new = set().union(*cut).difference(self.pieces)
+        if new:
+            self.learn(list(new))
+        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -112,10 +128,11 @@ def write_token_files(
         store, place = file_system(name)
         store.create_dir(place.rsplit("/", 1)[0], recursive=True)
         width, docs_written, at = len(end), 0, 0
+        encoder = Encoder(tokenizer, dtype)
         with store.open_output_stream(place + ".bin") as bins, store.open_output_stream(place + ".idx") as idx, store.open_output_stream(place + ".ids") as ids:
             for batch in batches:
-                for some, texts in texts_in(batch):
-                    coded = [c + end for c in encoder(tokenizer, dtype).encode([t.decode() for t in texts])]
+                for some, texts in texts_in(batch, 1 << 20):
+                    coded = [c + end for c in encoder.encode([t.decode() for t in texts])]
                     lengths = np.array([len(c) // width for c in coded], "<i8")
                     bins.write(b"".join(coded))
                     idx.write((at + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
