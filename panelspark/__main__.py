@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
-from .plans.build import RAW_ANNUAL, RAW_QUARTERLY, build_annual, build_quarterly, run_not_null_tests
+from .plans.build import (
+    RAW_ANNUAL, RAW_QUARTERLY, build_annual, build_quarterly, build_report, run_not_null_tests,
+)
+from .plans.specs import ANNUAL, QUARTERLY
 from .session import panel_session
 from .sources import open_snapshots, publish_view
 
@@ -26,8 +30,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = panel_session("panelspark build")
     publish_view(open_snapshots(spark, args.annual, args.date), RAW_ANNUAL)
     publish_view(open_snapshots(spark, args.quarterly, args.date), RAW_QUARTERLY)
-    build_annual(spark, root=args.output)
-    build_quarterly(spark, root=args.output)
+    panel, sheet = replace(ANNUAL, one_snapshot=True), replace(QUARTERLY, one_snapshot=True)
+    build_annual(spark, panel, root=args.output)
+    build_quarterly(spark, sheet, root=args.output)
+    for line in build_report(spark, panel).toLocalIterator():
+        print(f"{'note' if line.failures else 'ok'} {line.check}: {line.failures}")
     failed = 0
     for line in run_not_null_tests(spark).toLocalIterator():
         failed += line.failures > 0

@@ -24,12 +24,13 @@ def tokens_to_null(col: Column, tokens: Iterable[str]) -> Column:
 
 
 def _java_number(col: Column) -> Column:
-    """Text such as '1d' or '1.5f': Java reads it as a number, the warehouse dialect does not.
+    """Text such as '1d', '1.5f' or '0x1p3': Java reads it as a number, the warehouse dialect does not.
 
-    The cheap look at the last character spares nearly every cell the pattern.
+    The cheap look at single characters spares nearly every cell the patterns.
     """
     ends = reduce(lambda a, b: a | b, [col.endswith(c) for c in "dDfF \t\r\n"])
-    return ends & col.rlike(r"[0-9.][dDfF]\s*$")
+    hexadecimal = (F.contains(col, F.lit("x")) | F.contains(col, F.lit("X"))) & col.rlike(r"^\s*[+-]?0[xX]")
+    return (ends & col.rlike(r"[0-9.][dDfF]\s*$")) | hexadecimal
 
 
 def cast_measure(col: Column, tokens: Iterable[str] = ("nan",), strict: bool = True) -> Column:
@@ -55,7 +56,7 @@ def cast_measures(
     Written cell by cell over an array, or as one cast of the array: one
     expression per column would make a method so long that the JVM never
     compiles it. The strict cast takes the whole array at once and goes by cell
-    only in rows that need a closer look (text with a d or f in it; a value lost
+    only in rows that need a closer look (text with a d, f or x in it; a value lost
     in the cast where the session does not raise by itself). The lenient cast
     always goes by cell, because every bad cell in an array cast costs an exception.
     """
@@ -70,7 +71,7 @@ def cast_measures(
     cast = df.select(*kept, texts.alias("_texts")).select(
         "*", numbers.alias("_numbers"), F.concat_ws("|", "_texts").alias("_line")
     )
-    doubtful = reduce(lambda a, b: a | b, [F.contains("_line", F.lit(c)) for c in "dDfF"])
+    doubtful = reduce(lambda a, b: a | b, [F.contains("_line", F.lit(c)) for c in "dDfFxX"])
     if not raises:
         doubtful = doubtful | (F.size(F.array_compact("_texts")) != F.size(F.array_compact("_numbers")))
     one_by_one = F.transform("_texts", lambda t: cast_measure(t, ()))
@@ -82,6 +83,12 @@ def period_to_int(col: Column, prefix: str = "year_") -> Column:
     return F.replace(col, F.lit(prefix), F.lit("")).cast("bigint")
 
 
+def quarter_to_int(col: Column, prefix: str = "q_") -> Column:
+    """'q_2021q3' to 8086 (bigint): four times the year plus 0 to 3, so quarters in a row differ by 1."""
+    digits = F.replace(col, F.lit(prefix), F.lit(""))
+    return (F.substring(digits, 1, 4).cast("bigint") * 4 + F.substring(digits, 6, 1).cast("bigint") - 1)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, NULL where whole is 0 or either side is NULL."""
     return F.try_divide(part, whole)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import header_name, unique_names
+from ..session import pin
 from .slices import number_within
 
 
@@ -45,8 +46,22 @@ def dedupe_names(df: DataFrame, name: str, order: Iterable[str], out: str = "uni
     """Suffix repeats of a name held in a data column: the 2nd gets _1, the 3rd _2.
 
     ``order`` must be unique within a name. A name may repeat any number of
-    times: see :func:`~panelspark.operators.slices.number_within`.
+    times: see :func:`~panelspark.operators.slices.number_within`. A suffixed name
+    that the column itself holds (a, a, a_1) gets _1, _2, ... once more, until all
+    names are unique; those the column holds stay with their first row.
     """
     numbered = number_within(df, [name], list(order), "_nth")
     suffixed = F.concat_ws("_", F.col(name), (F.col("_nth") - 1).cast("string"))
-    return numbered.select(*df.columns, F.when(F.col("_nth") > 1, suffixed).otherwise(F.col(name)).alias(out))
+    named = numbered.withColumns({out: F.when(F.col("_nth") > 1, suffixed).otherwise(F.col(name)), "_made": F.col("_nth") > 1})
+    while True:
+        named = pin(named, "names")
+        taken = named.where(F.col(out).isNotNull()).groupBy(out).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        if taken.isEmpty():
+            return named.select(*df.columns, out)
+        # Names made above are rarely taken: only those rows are numbered again.
+        clash = named.join(pin(taken.drop("_n"), "taken"), out, "left_semi")
+        again = number_within(clash, [out], ["_made", name, "_nth"], "_again")
+        moved = F.concat_ws("_", F.col(out), (F.col("_again") - 1).cast("string"))
+        renamed = again.withColumn(out, F.when(F.col("_again") > 1, moved).otherwise(F.col(out)))
+        rest = named.join(taken, out, "left_anti")
+        named = rest.unionByName(renamed.drop("_again").select(*named.columns))

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import pin
 
-# A code list longer than this belongs in a table and a join, not in an expression.
-MAX_INLINE_CODES = 1_000
-
 
 def require_present(df: DataFrame, *cols: str, tokens: Iterable[str] = ()) -> DataFrame:
     """Keep rows whose ``cols`` are neither NULL nor one of the missing-value ``tokens``.
@@ -56,24 +53,19 @@ def label_codes(
 ) -> DataFrame:
     """Label for every code; an unknown code is its own label.
 
-    ``labels`` is a mapping, or a frame (code, label). The frame is reduced to
-    one row per code first, so a code listed twice cannot multiply rows, and
-    pinned: its size on disk decides whether it is broadcast, and if it is not,
-    AQE can still split a hot code.
+    ``labels`` is a mapping of any length, which is part of the plan each task
+    gets anyway and is joined as a broadcast frame, or a frame (code, label). That
+    is reduced to one row per code first, so a code listed twice cannot multiply
+    rows, and pinned: its size on disk decides whether it is broadcast, and if it
+    is not, AQE can still split a hot code.
     """
     if isinstance(labels, DataFrame):
         c, label = labels.columns[:2]
         one_each = pin(labels.groupBy(F.col(c).alias(code)).agg(F.min(label).alias("_label")), "labels")
         joined = df.join(one_each, code, "left")
         return joined.select(*df.columns, F.coalesce("_label", code).alias(out))
-    _check_inline(len(labels))
-    if not labels:
-        return df.withColumn(out, F.col(code))
-    picked = None
-    for known, label in labels.items():
-        hit = F.col(code) == known
-        picked = F.when(hit, F.lit(label)) if picked is None else picked.when(hit, F.lit(label))
-    return df.withColumn(out, picked.otherwise(F.col(code)))
+    joined = _join_mapping(df, code, dict(labels), "_label")
+    return joined.select(*df.columns, F.coalesce("_label", code).alias(out))
 
 
 def classify(
@@ -85,24 +77,33 @@ def classify(
 ) -> DataFrame:
     """Group of every code: the first group that lists it wins, else ``default``.
 
-    ``groups`` is an ordered mapping group -> codes, or a frame (code, group,
-    priority) in which the lowest priority wins. The frame is reduced to one row
-    per code before the join (a code in two groups would fan out) and pinned, as
-    in :func:`label_codes`.
+    ``groups`` is an ordered mapping group -> codes of any length, or a frame
+    (code, group, priority) in which the lowest priority wins. The frame is reduced
+    to one row per code before the join (a code in two groups would fan out) and
+    pinned. Both are joined as in :func:`label_codes`.
     """
     if isinstance(groups, DataFrame):
         c, group, priority = groups.columns[:3]
         winner = groups.groupBy(F.col(c).alias(code)).agg(F.min_by(group, priority).alias("_group"))
         joined = df.join(pin(winner, "groups"), code, "left")
         return joined.select(*df.columns, F.coalesce("_group", F.lit(default)).alias(out))
-    _check_inline(sum(len(list(codes)) for codes in groups.values()))
-    picked = None
-    for group, codes in groups.items():
-        hit = F.col(code).isin(list(codes))
-        picked = F.when(hit, F.lit(group)) if picked is None else picked.when(hit, F.lit(group))
-    return df.withColumn(out, F.lit(default) if picked is None else picked.otherwise(F.lit(default)))
+    joined = _join_mapping(df, code, first_listed(groups), "_group")
+    return joined.select(*df.columns, F.coalesce("_group", F.lit(default)).alias(out))
 
 
-def _check_inline(n: int) -> None:
-    if n > MAX_INLINE_CODES:
-        raise ValueError(f"{n} codes are too many for an expression; pass them as a DataFrame")
+def first_listed(groups: Mapping[str, Iterable]) -> dict:
+    """code -> the first group that lists it."""
+    first: dict = {}
+    for group, codes in groups.items():
+        for code in codes:
+            first.setdefault(code, group)
+    return first
+
+
+def _join_mapping(df: DataFrame, code: str, mapping: dict, out: str) -> DataFrame:
+    if not mapping:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    kind = df.schema[code].dataType.simpleString()
+    rows = df.sparkSession.createDataFrame(list(mapping.items()), ["_code", out])
+    rows = rows.select(F.col("_code").cast(kind).alias("_code"), out)
+    return df.join(F.broadcast(rows), F.col(code) == F.col("_code"), "left").drop("_code")

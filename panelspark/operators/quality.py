@@ -36,6 +36,18 @@ def check_unique(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     return df.groupBy(*list(keys)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def require_unique(df: DataFrame, keys: Iterable[str], what: str) -> DataFrame:
+    """``df``, which raises when it is evaluated and one of ``keys`` occurs more than once.
+
+    The check is a subquery over the keys alone, outside of what ``df`` goes
+    into: an aggregate there would keep AQE from splitting a hot key.
+    """
+    keys = list(keys)
+    copies = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).select(F.max("_copies")).scalar()
+    complaint = F.raise_error(F.lit(f"{what} is stored twice for the same {', '.join(keys)}")).cast("boolean")
+    return df.where(F.when(F.coalesce(copies, F.lit(0)) < 2, F.lit(True)).otherwise(complaint))
+
+
 def check_range(df: DataFrame, col: str, low: int, high: int) -> DataFrame:
     """Values outside low..high (both inclusive), with their row count."""
     outside = (F.col(col) < low) | (F.col(col) > high)

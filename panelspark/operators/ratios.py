@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.measures import percent, percent_step
+from .quality import require_unique
 from .slices import lag_within
 
 
@@ -29,17 +30,13 @@ def attach_total(
 
     A total stored twice for a key raises: as a join it would multiply the rows
     of that key, by as many copies as there are. ``duplicates="join"`` asks for
-    just that. The check is a subquery over the keys of the total series, outside
-    the join: an aggregate inside it would keep AQE from splitting a hot key.
+    just that.
     """
     keys = list(keys)
     names = {value: out} if isinstance(value, str) else dict(value)
     totals = df.where(F.col(series) == total_code).select(*keys, *[F.col(v).alias(o) for v, o in names.items()])
     if duplicates == "fail":
-        copies = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).select(F.max("_copies")).scalar()
-        complaint = F.raise_error(F.lit(f"series {total_code} is stored twice for the same {', '.join(keys)}"))
-        once_each = F.coalesce(copies, F.lit(0)) < 2
-        totals = totals.where(F.when(once_each, F.lit(True)).otherwise(complaint.cast("boolean")))
+        totals = require_unique(totals, keys, f"series {total_code}")
     elif duplicates != "join":
         raise ValueError("duplicates must be 'join' or 'fail'")
     return df.join(totals, keys, "left").select(*df.columns, *names.values())

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.measures import mean_of, total_of
+from ..functions.measures import mean_of, ratio, total_of
+from .clean import first_listed
 
 # Bits used per bigint word; the sign bit stays clear.
 _WORD = 63
-# Longest code list counted by bit masks (16 words).
-MAX_MASKED_CODES = 16 * _WORD
 
 
 def rollup_by_group(
@@ -27,8 +25,7 @@ def rollup_by_group(
 ) -> DataFrame:
     """Distinct entities, sum, mean, maximum and minimum of ``value`` per ``by``.
 
-    ``counted`` replaces the distinct count by a cheaper exact expression (see
-    :func:`rollup_listed`).
+    ``counted`` replaces the distinct count by a cheaper exact expression, where there is one.
     """
     if counted is None:
         counted = F.approx_count_distinct(entity) if approximate else F.count_distinct(entity)
@@ -49,41 +46,37 @@ def rollup_listed(
     value: str,
     groups: Mapping[str, Iterable[str]],
     out: str = "group",
-    **options,
+    decimals: int | None = None,
+    names: tuple[str, str, str, str, str] = ("entity_count", "total", "average", "maximum", "minimum"),
 ) -> DataFrame:
-    """Classify by ordered code lists, drop unlisted codes, and roll up.
+    """Classify by ordered code lists of any length, drop unlisted codes, and roll up.
 
-    The lists name every entity that can occur, so each code gets one bit and
-    the distinct count is the number of bits set. Unlike count(distinct), which
-    shuffles one row per group and entity, that combines map-side: only one row
-    per group and task is shuffled. The lists are joined as one small literal
-    frame, which is broadcast; longer lists fall back to count(distinct).
+    The lists name every entity that can occur, so each code gets one bit of one
+    word, and the distinct count is the number of bits set in all words. Unlike
+    count(distinct), which shuffles one row per group and entity, that combines
+    map-side: one row per group, word of 63 codes and task is shuffled, and then
+    one per group. The lists are part of the plan and joined as a broadcast frame.
     """
-    rows = list(_first_listed(groups).items())
-    masked = len(rows) <= MAX_MASKED_CODES
-    words = range((len(rows) + _WORD - 1) // _WORD) if masked else range(0)
+    by = list(by)
     listed = [
-        (code, group, *[1 << (i - w * _WORD) if w * _WORD <= i < (w + 1) * _WORD else 0 for w in words])
-        for i, (code, group) in enumerate(rows)
+        (code, group, i // _WORD, 1 << (i % _WORD)) for i, (code, group) in enumerate(first_listed(groups).items())
     ]
-    schema = "_code string, _group string" + "".join(f", _bits{w} bigint" for w in words)
-    dimension = df.sparkSession.createDataFrame(listed, schema)
-    if masked:
-        dimension = F.broadcast(dimension)
-    grouped = df.join(dimension, F.col(entity) == F.col("_code")).withColumn(out, F.col("_group"))
-    counted = None
-    if words:
-        counted = reduce(lambda a, b: a + b, [F.bit_count(F.bit_or(f"_bits{w}")) for w in words])
-    return rollup_by_group(grouped, [out, *by], entity, value, counted=counted, **options)
-
-
-def _first_listed(groups: Mapping[str, Iterable[str]]) -> dict[str, str]:
-    """code -> the first group that lists it."""
-    first: dict[str, str] = {}
-    for group, codes in groups.items():
-        for code in codes:
-            first.setdefault(code, group)
-    return first
+    dimension = df.sparkSession.createDataFrame(listed, "_code string, _group string, _word int, _bit bigint")
+    grouped = df.join(F.broadcast(dimension), F.col(entity) == F.col("_code"))
+    number = F.col(value) if decimals is None else F.col(value).cast(f"decimal(18,{decimals})")
+    words = grouped.groupBy(F.col("_group").alias(out), *by, "_word").agg(
+        F.bit_or("_bit").alias("_bits"), F.sum(number).alias("_sum"), F.count(value).alias("_n"),
+        F.max(value).alias("_max"), F.min(value).alias("_min"),
+    )
+    count, total, average, maximum, minimum = names
+    whole = F.sum("_sum").cast("double")
+    return words.groupBy(out, *by).agg(
+        F.sum(F.bit_count("_bits")).cast("bigint").alias(count),
+        whole.alias(total),
+        ratio(whole, F.sum("_n").cast("double")).alias(average),
+        F.max("_max").alias(maximum),
+        F.min("_min").alias(minimum),
+    )
 
 
 def top_n(df: DataFrame, n: int, by: str, tie_break: Iterable[str]) -> DataFrame:

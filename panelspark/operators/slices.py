@@ -14,10 +14,6 @@ from ..session import pin
 
 SLICE = "_slice"
 
-# Up to this many rows one task may sort the whole frame (a few MB); beyond it
-# the ranged way is taken.
-ONE_TASK_ROWS = 100_000
-
 
 def range_slices(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """Add the range partition each row falls into when sorted by ``order``.
@@ -73,18 +69,14 @@ def lag_within(df: DataFrame, keys: list[str], order: str, fields: dict[str, str
     return stepped.select(*df.columns, *[F.col("_before")[out].alias(out) for out in fields])
 
 
-def global_rank(df: DataFrame, by: str, out: str = "rank", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def global_rank(df: DataFrame, by: str, out: str = "rank") -> DataFrame:
     """rank() over the whole frame, largest ``by`` first, NULL last, as bigint.
 
-    The frame is pinned, so its row count is known before the way is chosen. A
-    small frame is ranked by one window. A larger one is reduced to its distinct
-    values (ties, however many, become one row), these are cut into range
-    slices, and the rank of a value is the number of rows above it.
+    The frame is pinned and reduced to its distinct values (ties, however many,
+    become one row), these are cut into range slices, and the rank of a value is
+    the number of rows above it.
     """
     pinned = pin(df, "rank")
-    if pinned.count() <= one_task_rows:
-        whole = Window.orderBy(F.desc_nulls_last(by))
-        return pinned.withColumn(out, F.rank().over(whole).cast("bigint"))
     values = pinned.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
     sliced = range_slices(values, [F.desc_nulls_last(by)])
     # One row per slice, so at most spark.sql.shuffle.partitions rows.

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.quality import check_not_null
 from ..operators.align import align_union
+from ..operators.clean import classify, clean_codes
+from ..operators.quality import check_missing_series, check_not_null, check_range, check_unique
+from ..operators.reshape import SNAPSHOT_PARTITION, latest_snapshot
 from ..sources.sinks import publish_table, publish_view
 from .marts import regional_rollup, service_mart, stage_panel, stage_sheet, stocks_mart_from_wide
 from .specs import ANNUAL, QUARTERLY, PanelSpec, SheetSpec
@@ -26,28 +28,31 @@ def source(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def model(spark: SparkSession, name: str) -> DataFrame:
-    """A published view or table by name."""
-    return spark.table(name)
+model = source  # a published view or table by name
 
 
 def build_annual(
-    spark: SparkSession, spec: PanelSpec = ANNUAL, raw: str = RAW_ANNUAL, root: str | None = None
+    spark: SparkSession,
+    spec: PanelSpec = ANNUAL,
+    raw: str = RAW_ANNUAL,
+    root: str | None = None,
+    only: tuple[str, ...] = (MART_STOCKS, MART_REGIONAL),
 ) -> dict[str, DataFrame]:
-    """Staged view, stocks mart (partitioned by year, clustered) and regional mart."""
+    """Staged view, stocks mart (partitioned by year, clustered) and regional mart, or ``only`` one of the two."""
     landed = source(spark, raw)
     staged = publish_view(stage_panel(landed, spec), STAGED_ANNUAL)
-    return {
-        STAGED_ANNUAL: staged,
-        MART_STOCKS: publish_table(
+    built = {STAGED_ANNUAL: staged}
+    if MART_STOCKS in only:
+        built[MART_STOCKS] = publish_table(
             stocks_mart_from_wide(landed, spec), MART_STOCKS,
             [spec.period], [spec.entity, spec.series], _below(root, MART_STOCKS),
-        ),
-        MART_REGIONAL: publish_table(
+        )
+    if MART_REGIONAL in only:
+        built[MART_REGIONAL] = publish_table(
             regional_rollup(staged, spec), MART_REGIONAL,
             cluster_by=[spec.group, spec.series], path=_below(root, MART_REGIONAL),
-        ),
-    }
+        )
+    return built
 
 
 def build_quarterly(
@@ -64,14 +69,18 @@ def build_quarterly(
     }
 
 
-# The columns that must never be NULL.
-NOT_NULL = {
-    STAGED_ANNUAL: ("country_code", "series_code", "year"),
-    STAGED_QUARTERLY: ("country_code", "series_code"),
-    MART_STOCKS: ("country_code", "year", "series_code"),
-    MART_REGIONAL: ("region", "year"),
-    MART_SERVICE: ("country_code",),
-}
+def not_null_columns(panel: PanelSpec = ANNUAL, sheet: SheetSpec = QUARTERLY) -> dict[str, tuple[str, ...]]:
+    """table -> the columns that must never be NULL."""
+    return {
+        STAGED_ANNUAL: (panel.entity, panel.series, panel.period),
+        STAGED_QUARTERLY: (sheet.entity, sheet.series),
+        MART_STOCKS: (panel.entity, panel.period, panel.series),
+        MART_REGIONAL: (panel.group, panel.period),
+        MART_SERVICE: (sheet.entity,),
+    }
+
+
+NOT_NULL = not_null_columns()
 
 
 def run_not_null_tests(
@@ -83,5 +92,45 @@ def run_not_null_tests(
     return align_union(check_not_null(lookup(spark, name), cols, name) for name, cols in columns.items())
 
 
+# First and last year an annual panel may have.
+FIRST_YEAR, LAST_YEAR = 1998, 2025
+
+
+def build_report(
+    spark: SparkSession,
+    spec: PanelSpec = ANNUAL,
+    raw: str = RAW_ANNUAL,
+    years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR),
+) -> DataFrame:
+    """What is wrong or left out in the landed annual panel: (check, failures), one row per check.
+
+    Wide rows that share entity and series, staged cells outside ``years``,
+    series that the newest snapshot lost, and, of the staged panel, codes in no
+    region and their cells, which the roll-up leaves out.
+    """
+    landed = source(spark, raw)
+    newest = landed if spec.one_snapshot else latest_snapshot(landed, spec.snapshot)
+    wide = newest.withColumnsRenamed(dict(spec.renames))
+    cleaned = clean_codes(wide, spec.entity, spec.code_length, spec.exclude, spec.tokens)
+    staged = stage_panel(landed, spec)
+    placed = classify(staged.select(spec.entity), spec.entity, spec.groups, "_group", default="")
+    outside = placed.where("_group = ''")
+    seen = landed.withColumnsRenamed(dict(spec.renames))
+    by = spec.snapshot or (SNAPSHOT_PARTITION if SNAPSHOT_PARTITION in seen.columns else spec.stamp)
+    lost = check_missing_series(seen, spec.series, by)
+    nothing = F.lit(0).cast("bigint")
+
+    def line(check: str, df: DataFrame, failures) -> DataFrame:
+        return df.agg(F.coalesce(failures, nothing).cast("bigint").alias("failures")).select(F.lit(check).alias("check"), "failures")
+
+    return align_union([
+        line("duplicate_keys", check_unique(cleaned, [spec.entity, spec.series]), F.count(F.lit(1))),
+        line("periods_out_of_range", check_range(staged, spec.period, *years), F.sum("rows")),
+        line("missing_series", lost, F.count(F.lit(1))),
+        line("codes_in_no_group", outside, F.count_distinct(spec.entity)),
+        line("cells_in_no_group", outside, F.count(F.lit(1))),
+    ])
+
+
 def _below(root: str | None, name: str) -> str | None:
     return None if root is None else f"{root.rstrip('/')}/{name}"

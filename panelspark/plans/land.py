@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..operators.align import stamp, stringify
+from ..session import scratch_run
 from ..sources.readers import load_all, read_panel, read_sheets, snapshot_report
 from ..sources.sinks import write_snapshot
 
 
-def _stamped_text(read: Callable[[], DataFrame], **constants: str) -> Callable[[], DataFrame]:
-    return lambda: stringify(stamp(read(), **constants))
-
-
 def land_annual(
     spark: SparkSession,
     sources: Mapping[str, str],
@@ -27,17 +24,19 @@ def land_annual(
     """Land one file set per series code as the annual snapshot of ``date`` below ``root``.
 
     Each source is a wide frame (economy, Country, one column per year). Rows are
-    stamped with series code and date, turned to text, aligned by column name and
-    written clustered by series. A source that cannot be read is skipped with a
-    warning; see ``check_missing_series``. Returns the landed row count and columns.
+    stamped with series code and date, aligned by column name, turned to text (so a
+    year that a series lacks lands as 'nan') and written clustered by series. A
+    source that cannot be read is skipped with a warning; see
+    ``check_missing_series``. Returns the landed row count and columns.
     """
     readers = {
-        code: _stamped_text(
-            lambda path=path: read_panel(spark, path, fmt=fmt, **options), series_code=code, extracted_at=date
+        code: lambda path=path, code=code: stamp(
+            read_panel(spark, path, fmt=fmt, **options), series_code=code, extracted_at=date
         )
         for code, path in sources.items()
     }
-    write_snapshot(load_all(readers, on_error), root, date, cluster_by=["series_code"])
+    with scratch_run(spark, "landing"):
+        write_snapshot(stringify(load_all(readers, on_error, land=True)), root, date, cluster_by=["series_code"])
     return snapshot_report(spark, root, date)
 
 
@@ -61,5 +60,6 @@ def land_quarterly(
         name: lambda place=place: stamp(read_sheets(spark, place, fmt, **options), extracted_at=date)
         for name, place in roots.items()
     }
-    write_snapshot(load_all(readers, on_error), root, date, compact=True)
+    with scratch_run(spark, "landing"):
+        write_snapshot(load_all(readers, on_error, land=True), root, date, compact=True)
     return snapshot_report(spark, root, date)

@@ -11,9 +11,9 @@ from ..operators.ratios import previous_value
 from ..operators.reshape import spread_series
 from ..operators.rollup import top_n
 from ..operators.service import service_pressure
+from .specs import ANNUAL, QUARTERLY, PanelSpec, SheetSpec
 
 LATEST = "latest"
-BROADCAST_ROWS = 10_000
 
 
 def at_period(df: DataFrame, period: str, at: int | str = LATEST) -> DataFrame:
@@ -98,13 +98,11 @@ def top_then_track(
 ) -> DataFrame:
     """History of series ``track``, from ``since`` on, of the top ``n`` entities on ``rank_on``.
 
-    The join's small side has n rows by construction; it is broadcast up to
-    BROADCAST_ROWS of them, beyond that Catalyst chooses.
+    Catalyst knows the limit, so the size of ``n`` rows decides how they are joined.
     """
     leaders = top_entities(df, n, entity, period, series, value, rank_on, at).select(entity)
     tracked = df.where((F.col(series) == track) & (F.col(period) >= since))
-    small = F.broadcast(leaders) if n <= BROADCAST_ROWS else leaders
-    return tracked.join(small, entity).select(entity, period, value)
+    return tracked.join(leaders, entity, "left_semi").select(entity, period, value)
 
 
 def share_trend(
@@ -115,14 +113,13 @@ def share_trend(
     value: str,
     part: str,
     whole: str,
-    few_periods: bool = True,
+    few_periods: bool = False,
 ) -> DataFrame:
     """Share of series ``part`` in ``whole`` in %, its step, and whether it worsened (rose).
 
     Both series are met in one aggregate on keys + period. Periods without a
     share are left out, so a step reaches back to the previous share there is.
-    The aggregate leaves one row per key and period, so a key has few rows unless
-    there are very many periods; ``few_periods=False`` allows for that.
+    ``few_periods`` is that of :func:`~panelspark.operators.ratios.previous_value`.
     """
     keys = list(keys)
     cells = spread_series(
@@ -159,3 +156,17 @@ def pressure_ranking(
     paid = payments.groupBy(key).agg(total_of(F.col(payment), decimals).alias(payment))
     owed = stocks.groupBy(key).agg(total_of(F.col(debt), decimals).alias(debt))
     return service_pressure(paid, owed, key, payment, debt)
+
+
+def mart_pressure(
+    service: DataFrame, stocks: DataFrame, year: int, sheet: SheetSpec = QUARTERLY, panel: PanelSpec = ANNUAL,
+    decimals: int | None = None,
+) -> DataFrame:
+    """Payments of the service mart in % of the stocks mart's total series in ``year``, ranked.
+
+    The service mart must be in units (``SheetSpec.units``). On a stocks mart
+    partitioned by year the filter prunes directories.
+    """
+    in_year = stocks.where((F.col(panel.period) == year) & (F.col(panel.series) == panel.total_series))
+    owed = in_year.select(F.col(panel.entity).alias(sheet.entity), panel.value)
+    return pressure_ranking(service, owed, sheet.entity, sheet.total, panel.value, decimals)

@@ -131,8 +131,14 @@ class SheetSpec:
     key_tokens: tuple[str, ...] = ()
     snapshot: str | None = None
     one_snapshot: bool = False
+    # unit as the sheet writes it -> factor of the row total and average; unlisted units count as 1
+    units: Mapping[str, float] = field(default_factory=dict)
+    unit_column: str = "scale_precision"
 
 
+# Units as the sheets write them.
+UNITS = {"Units": 1.0, "Thousands": 1_000.0, "Millions": 1_000_000.0, "Billions": 1_000_000_000.0}
+
 ANNUAL = PanelSpec()
 QUARTERLY = SheetSpec()
 CLEAN_SHEET = SheetSpec(tokens=("nan", "..", ""), key_tokens=("nan",))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,25 +38,37 @@ def panel_session(app_name: str = "panelspark", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
+_runs: list[str] = []  # folders of the runs that are open, innermost last
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.conf.get("spark.app.id")
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="panelspark-")
-    return _local_folders[app]
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/panelspark/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below that of the run that is open."""
+    base = _runs[-1] if _runs else f"{shared_folder(spark)}/panelspark"
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession, label: str = "run") -> Iterator[str]:
+    """Owns what is pinned while it is open, and deletes it at the end.
+
+    Frames that read pinned data must be evaluated (written, collected) inside.
+    """
+    folder = scratch_path(spark, label)
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
@@ -63,6 +76,8 @@ def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
 
     Everything downstream sees one and the same evaluation, survives the loss of
     executors, and still gets Parquet column pruning (a checkpointed frame would not).
+    Writing is a job at once. The data stay until the :func:`scratch_run` ends that
+    was open, or until the folder's retention rule removes them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)

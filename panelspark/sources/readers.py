@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 import re
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.names import header_name, unique_names
 from ..operators.align import align_union, normalize_headers, prefix_numeric_columns, stringify
 from ..operators.reshape import SNAPSHOT_PARTITION
+from ..session import pin
 
 log = logging.getLogger(__name__)
 
+HEADERS_AT_ONCE = 16  # files whose schema is read at the same time
+
 
 def read_panel(
     spark: SparkSession,
@@ -32,16 +40,11 @@ def read_panel(
     return df if series is None else df.where(F.col(series_column).isin(list(series)))
 
 
-def _file_paths(spark: SparkSession, root: str, fmt: str) -> list[str]:
-    """Names of the files below ``root``; their content is not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*.{fmt}")
-        .load(root)
-        .select("path")
-    )
-    return sorted(row.path for row in files.toLocalIterator())
+def _csv_header(spark: SparkSession, path: str, options: Mapping[str, str]) -> list[str]:
+    """Column names as the file's first line has them; Spark's reader would rename repeats."""
+    lines = spark.read.text(path).head(1)
+    cut = options.get("sep", options.get("delimiter", ","))
+    return next(csv.reader([lines[0].value], delimiter=cut, quotechar=options.get("quote", '"')), []) if lines else []
 
 
 def read_sheets(
@@ -50,31 +53,43 @@ def read_sheets(
     """Union of all sheet exports below ``root``, as text, with lineage columns.
 
     Sheets come as ``root/<table>/<sheet>.<fmt>`` or as a folder
-    ``root/<table>/<sheet>/`` of files with one header. Headers differ from sheet
-    to sheet, so sheets are grouped by header: one reader per header shape, not
-    per sheet. Only file names and one header per sheet reach the driver. Headers
-    are cleaned per shape and then aligned; a cell that is empty becomes
-    ``missing``, a column that a sheet does not have stays NULL.
-    ``source_table`` and ``sheet_name`` come from the path.
+    ``root/<table>/<sheet>/`` of files. Names and types of columns may differ
+    between sheets and between the files of one: every file's schema is read
+    (a few at a time; file names and schemas are what the driver holds of any
+    scan), files of one schema share a reader, and each shape is turned to text
+    by itself before all are aligned. Headers are cleaned and repeats numbered
+    per shape; CSV files take them from their first line. A cell that is empty
+    becomes ``missing``, a column that a file does not have stays NULL, also
+    where other files of its sheet have it. ``source_table`` and ``sheet_name`` come from the path.
     """
     base = re.escape(unquote(root.rstrip("/").split(":", 1)[-1].lstrip("/")))
     place = rf"{base}/([^/]+)/([^/]+?)(?:/[^/]*)?(?:\.[^/.]+)?$"
-    sheets: dict[tuple[str, ...], list[str]] = {}
-    for path in _file_paths(spark, root, fmt):
-        found = re.search(place, unquote(path))
-        if found:
-            sheets.setdefault(found.groups(), []).append(path)
-    if not sheets:
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{fmt}")
+    paths = sorted(p for p in listing.load(root).inputFiles() if re.search(place, unquote(p)))
+    if not paths:
         raise RuntimeError(f"no {fmt} sheet below {root}")
     reader = spark.read.format(fmt).options(**options)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for paths in sheets.values():
-        by_header.setdefault(tuple(reader.load(paths[0]).columns), []).extend(paths)
+
+    def shape(path: str) -> StructType:
+        path = unquote(path)
+        if fmt != "csv":
+            return reader.load(path).schema
+        # Only text is wanted of it, so no type is guessed.
+        names = unique_names(header_name(name) for name in _csv_header(spark, path, options))
+        return StructType([StructField(name, StringType()) for name in names])
+
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        shapes = list(pool.map(shape, paths))
+    by_shape: dict[str, tuple[StructType, list[str]]] = {}
+    for schema, path in zip(shapes, paths):
+        if schema.fields:
+            by_shape.setdefault(schema.json(), (schema, []))[1].append(unquote(path))
     frames = []
-    for header, paths in by_header.items():
+    for schema, some in by_shape.values():
+        shaped = reader.option("header", "true").schema(schema) if fmt == "csv" else reader.schema(schema)
         path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        tagged = reader.load(paths).select(
-            *[F.col(f"`{c}`") for c in header],
+        tagged = shaped.load(some).select(
+            *[F.col(f"`{c}`") for c in schema.names],
             F.regexp_extract(path, place, 1).alias("source_table"),
             F.regexp_extract(path, place, 2).alias("sheet_name"),
         )
@@ -82,18 +97,28 @@ def read_sheets(
     return align_union(frames)
 
 
+def snapshot_dates(spark: SparkSession, path: str) -> list[str]:
+    """Dates of the snapshots below ``path``, oldest first, from the names of its folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [entry.getPath().getName() for entry in entries if entry.isDirectory()]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{SNAPSHOT_PARTITION}="))
+
+
 def open_snapshots(spark: SparkSession, path: str, date: str | None = None, merge_schema: bool = True) -> DataFrame:
     """All dated snapshots below ``path``, or the one of ``date`` ('latest' for the newest).
 
     The date is a partition column in each case. Period columns grow over time,
     so schemas are merged over all files by default; with a ``date`` only that
-    directory is listed and opened. 'latest' first asks for the newest date,
-    a job that reads no column, only the partition values.
+    directory is listed and opened. 'latest' is the newest of the folders' names:
+    no file is opened for it.
     """
     everything = spark.read.option("basePath", path)
     if date == "latest":
-        newest = everything.parquet(path).agg(F.max(SNAPSHOT_PARTITION).cast("string").alias("newest")).first()
-        date = newest["newest"]
+        dates = snapshot_dates(spark, path)
+        if not dates:
+            raise RuntimeError(f"no snapshot below {path}")
+        date = dates[-1]
     merged = everything.option("mergeSchema", str(merge_schema).lower())
     return merged.parquet(path if date is None else f"{path.rstrip('/')}/{SNAPSHOT_PARTITION}={date}")
 
@@ -106,19 +131,23 @@ def register_snapshots(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.table(name)
 
 
-def load_all(sources: Mapping[str, Callable[[], DataFrame]], on_error: str = "skip") -> DataFrame:
+def load_all(
+    sources: Mapping[str, Callable[[], DataFrame]], on_error: str = "skip", land: bool = False
+) -> DataFrame:
     """Union of all sources that can be read; one that cannot is skipped with a warning.
 
     Raises if none is left, or at the first failure with ``on_error="raise"``.
-    Reading is lazy: what is caught are missing paths and bad schemas. Run
+    Reading is lazy: what is caught are missing paths and bad schemas. With
+    ``land`` each source is pinned by itself first, so one whose data cannot be
+    read is skipped too. Run
     :func:`~panelspark.operators.quality.check_missing_series` on the result,
     because a skipped series is missing from everything built on it.
     """
     frames = []
     for name, read in sources.items():
         try:
-            frames.append(read())
-        except (PySparkException, OSError) as error:
+            frames.append(pin(read(), "source") if land else read())
+        except (PySparkException, Py4JJavaError, OSError) as error:
             if on_error != "skip":
                 raise
             log.warning("skipped source %s: %s", name, error)

@@ -10,13 +10,13 @@ from ..operators.reshape import SNAPSHOT_PARTITION
 
 
 def clustered(df: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Range-partitioned and sorted by ``keys``, so file and row-group statistics can skip.
+    """Rebalanced on ``keys`` and sorted by them, so row-group statistics can skip.
 
-    A hash of the row is the last range key: a key with many rows spreads over
-    tasks, and over files that lie next to each other.
+    AQE splits a key with many rows over tasks and files. A range partitioning
+    would evaluate everything above it twice, once for its sample.
     """
     keys = list(keys)
-    return df.repartitionByRange(*keys, F.xxhash64(*df.columns)).sortWithinPartitions(*keys)
+    return df.hint("rebalance", *keys).sortWithinPartitions(*keys)
 
 
 def write_snapshot(

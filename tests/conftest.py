@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,6 +15,7 @@ def spark():
         "tests", "local[4]",
         spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g", spark__sql__maxMetadataStringLength="2000",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="panelspark-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import attach_total, share_of_total
 from panelspark.plans import (
-    ANNUAL, CLEAN_SHEET, QUARTERLY, regional_rollup, rollup_by_column, rollup_from_wide, service_mart, stage_panel,
+    ANNUAL, CLEAN_SHEET, QUARTERLY, UNITS, regional_rollup, rollup_by_column, rollup_from_wide, service_mart, stage_panel,
     stage_sheet, stocks_mart, stocks_mart_from_wide,
 )
 from panelspark.plans.serve import composition, scorecard, share_trend, slice_panel, top_then_track, trend
@@ -110,9 +110,9 @@ def test_stocks_mart_both_ways(spark, rows):
 
 def test_total_row_stored_twice(spark):
     raw = raw_annual(spark, [("KEN", "Kenya", "1", "1", "1", TOTAL, "2025-04-01")])
-    for mart in both_marts(raw):
+    for build in (lambda: stocks_mart(stage_panel(raw)), lambda: stocks_mart_from_wide(raw)):
         with pytest.raises(PySparkException, match="stored twice"):
-            mart.collect()
+            build().collect()
     # as a join, each of Kenya's rows of 2000 and 2002 meets both totals
     joined = stocks_mart(stage_panel(raw), duplicates="join").where("country_code = 'KEN'")
     assert joined.where("year = 2000").count() == 6
@@ -154,12 +154,38 @@ def test_regional_rollup(spark, rows):
     assert {r.region for r in rolled.collect()} == {"Africa", "Middle East and North Africa"}
 
 
-@pytest.mark.parametrize("extra", [(), [("KEN", "Kenya", "1", "1", "1", PRIVATE, "2025-04-01")]])
-def test_rollup_from_wide_counts_distinct(spark, rows, extra):
-    """Also where an entity and series has two rows, which a plain count would count twice."""
-    raw = raw_annual(spark, extra).withColumn("half", F.when(F.col("economy") < "F", "a").otherwise("b"))
-    staged = stage_panel(raw, replace(ANNUAL, carry=("half",)))
-    assert rows(rollup_from_wide(raw, "half")) == rows(rollup_by_column(staged, "half"))
+def test_rollup_from_wide_counts_distinct(spark, rows):
+    def halves(*extra):
+        return raw_annual(spark, extra).withColumn("half", F.when(F.col("economy") < "F", "a").otherwise("b"))
+
+    staged = stage_panel(halves(), replace(ANNUAL, carry=("half",)))
+    assert rows(rollup_from_wide(halves(), "half")) == rows(rollup_by_column(staged, "half"))
+    # two rows of an entity and series would be counted twice
+    with pytest.raises(PySparkException, match="stored twice"):
+        rollup_from_wide(halves(("KEN", "Kenya", "1", "1", "1", PRIVATE, "2025-04-01")), "half").collect()
+
+
+def test_split_rows_are_merged_or_raise(spark, rows):
+    parts = [("GHA", "Ghana", "1", "nan", "4", PRIVATE, "2025-04-01"), ("GHA", "Ghana", None, "2", None, PRIVATE, "2025-04-01")]
+    raw = raw_annual(spark, parts)
+    with pytest.raises(PySparkException, match="stored twice"):
+        stocks_mart_from_wide(raw).collect()
+    merged = stocks_mart_from_wide(raw, split_rows="merge")
+    assert rows(merged) == rows(stocks_mart(stage_panel(raw)))
+    ghana = merged.where("country_code = 'GHA'").orderBy("year")
+    assert [(r.year, r.prev_year_value) for r in ghana.collect()] == [(2000, None), (2001, 1.0), (2002, 2.0)]
+    both = raw_annual(spark, [parts[0], parts[0]])
+    with pytest.raises(PySparkException, match="value is stored twice"):
+        stocks_mart_from_wide(both, split_rows="merge").collect()
+
+
+def test_units_scale_the_service_mart(spark):
+    spec = replace(CLEAN_SHEET, units=UNITS)
+    raw = raw_quarterly(spark).withColumn(
+        "scale_precision", F.when(F.col("country_code") == "KEN", F.lit("Thousands")).when(F.col("country_code") == "JOR", F.lit("odd"))
+        .otherwise(F.lit("Millions")))
+    got = {r.country_code: r.total_2021_payments for r in service_mart(stage_sheet(raw, spec), spec).collect()}
+    assert got == {"KEN": 10e3, "EGY": 1e6, "JOR": 8.0}
 
 
 def test_serving_queries(spark, rows):

@@ -50,6 +50,11 @@ def test_dedupe_names(spark, rows):
     assert rows(dedupe_names(df, "n", ["i"]), "i", "unique_name") == [
         (1, "a"), (2, "b"), (3, "a_1"), (4, "a_2"), (5, None)
     ]
+    held = ["a", "a", "a_1", "a", "a_1", "a_1_1", "a_2"]
+    taken = dedupe_names(spark.createDataFrame(list(enumerate(held)), "i int, n string"), "n", ["i"])
+    got = {r.i: r.unique_name for r in taken.collect()}
+    assert len(set(got.values())) == len(held)
+    assert all(got[held.index(n)] == n for n in set(held)) and all(got[i].startswith(n) for i, n in enumerate(held))
 
 
 def test_load_all_skips_and_warns(spark, rows, caplog):
@@ -108,8 +113,11 @@ def test_classify_first_match_wins(spark, rows):
         "code string, grp string, priority int",
     )
     assert rows(classify(df, "c", table)) == expected
-    with pytest.raises(ValueError):
-        classify(df, "c", {"many": range(5000)})
+    many = spark.range(50_000).select(F.col("id").alias("c"))
+    got = classify(many, "c", {"low": range(1_001), "high": range(500, 40_000)}).groupBy("group").count()
+    assert rows(got) == [("Other", 10_000), ("high", 38_999), ("low", 1_001)]
+    labelled = label_codes(many.select(F.col("c").cast("string")), "c", {str(i): "known" for i in range(40_000)})
+    assert labelled.where("label = 'known'").count() == 40_000
 
 
 # ------------------------------------------------------------------ snapshots and shape

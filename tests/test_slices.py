@@ -63,11 +63,10 @@ def test_lag_within(skewed):
     assert got == expected
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 10**6])
-def test_global_rank_with_ties_and_nulls(skewed, one_task_rows):
+def test_global_rank_with_ties_and_nulls(skewed):
     data, df = skewed
     values = [v for _, _, v in data]
-    got = {(r.k, r.o): r["rank"] for r in global_rank(df, "v", one_task_rows=one_task_rows).collect()}
+    got = {(r.k, r.o): r["rank"] for r in global_rank(df, "v").collect()}
     present = sum(v is not None for v in values)
     rank_of = {v: 1 + sum(w is not None and w > v for w in values) for v in set(values) if v is not None}
     rank_of[None] = present + 1
@@ -76,6 +75,6 @@ def test_global_rank_with_ties_and_nulls(skewed, one_task_rows):
 
 def test_global_rank_when_one_value_is_everywhere(spark):
     df = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, F.lit(9.0)).otherwise(F.lit(1.0)).alias("v"))
-    got = global_rank(df, "v", one_task_rows=0)
+    got = global_rank(df, "v")
     assert {tuple(r) for r in got.select("v", "rank").distinct().collect()} == {(9.0, 1), (1.0, 168)}
     assert got.count() == 500

@@ -1,15 +1,17 @@
 import glob
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelspark.operators import latest_snapshot
-from panelspark.plans import build_annual, build_quarterly, model, source
+from panelspark.plans import build_annual, build_quarterly, model, scorecard, slice_panel, source
 from panelspark.__main__ import main
 from panelspark.plans.land import land_annual
 from panelspark.plans.build import MART_STOCKS, NOT_NULL, RAW_ANNUAL, RAW_QUARTERLY, run_not_null_tests
-from panelspark.session import pin, scratch_path, shared_folder
+from panelspark.session import pin, scratch_path, scratch_run, shared_folder
 from panelspark.sources import (
     open_snapshots, publish_table, publish_view, read_panel, read_sheets, register_snapshots, write_snapshot,
 )
@@ -112,12 +114,16 @@ def test_partitioned_table_prunes(spark, tmp_path):
 
 
 def test_clustered_table_is_sorted_and_spread(spark, tmp_path):
-    df = spark.range(4000).select("id", F.when(F.col("id") < 3000, F.lit("hot")).otherwise(F.lit("cold")).alias("k"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") % 4 < 3, F.lit("hot")).otherwise(F.lit("cold")).alias("k"))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         table = publish_table(df, "clustered", cluster_by=["k"], path=str(tmp_path / "clustered"))
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        for k, v in old.items():
+            spark.conf.set(k, v)
     files = table.select("k", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
     per_file = {}
     for r in files.orderBy("i").collect():
@@ -171,6 +177,65 @@ def test_command_line_build(spark, tmp_path, capsys, monkeypatch):
     assert "ok mart_stocks.country_code: 0 of 15 NULL" in capsys.readouterr().out
 
 
+def test_sheets_with_other_columns_types_and_repeats(spark, tmp_path, rows):
+    root = str(tmp_path / "sheets")
+    spark.createDataFrame([("KEN", 1.5)], "code string, `2021Q1` double").coalesce(1).write.parquet(f"{root}/t/one")
+    more = spark.createDataFrame([("EGY", "..", 3)], "code string, `2021Q1` string, `2021Q2` bigint")
+    more.coalesce(1).write.mode("append").parquet(f"{root}/t/one")
+    spark.createDataFrame([("JOR", 2)], "code string, `2021Q1` bigint").coalesce(1).write.parquet(f"{root}/t/two")
+    read = read_sheets(spark, root)
+    assert rows(read, "code", "q_2021q1", "q_2021q2", "sheet_name") == [
+        ("EGY", "..", "3", "one"), ("JOR", "2", None, "two"), ("KEN", "1.5", None, "one")
+    ]
+    (tmp_path / "csv" / "t").mkdir(parents=True)
+    (tmp_path / "csv" / "t" / "s.csv").write_text('code,"2021Q1 [2021Q1]",2021Q1 [2021Q1]\nKEN,1,\n')
+    (tmp_path / "csv" / "t" / "empty.csv").write_text("")
+    assert rows(read_sheets(spark, str(tmp_path / "csv"), "csv"), "code", "q_2021q1", "q_2021q1_1") == [("KEN", "1", "nan")]
+
+
+def test_unreadable_data_are_skipped(spark, tmp_path, caplog):
+    spark.createDataFrame([("KEN", "Kenya", 1.5)], "economy string, Country string, `2000` double").write.parquet(str(tmp_path / "good"))
+    spark.createDataFrame([("KEN", "Kenya", 1.5)], "economy string, Country string, `2001` double").coalesce(1).write.parquet(str(tmp_path / "bad"))
+    broken = glob.glob(f"{tmp_path}/bad/*.parquet")[0]
+    data = bytearray(open(broken, "rb").read())
+    data[4 : len(data) // 4] = b"\0" * (len(data) // 4 - 4)  # the footer stays readable
+    open(broken, "wb").write(data)
+    for crc in glob.glob(f"{tmp_path}/bad/.*.crc"):
+        os.remove(crc)
+    sources = {"A": str(tmp_path / "good"), "B": str(tmp_path / "bad")}
+    landed, columns = land_annual(spark, sources, str(tmp_path / "annual"), "2025-04-01")
+    assert landed == 1 and "year_2001" not in columns and "skipped source B" in caplog.text
+
+
+def test_years_that_a_series_lacks_land_as_text(spark, tmp_path):
+    for code, year in (("A", "2000"), ("B", "2001")):
+        spark.createDataFrame([("KEN", "Kenya", 1.5)], f"economy string, Country string, `{year}` double").write.parquet(str(tmp_path / code))
+    land_annual(spark, {c: str(tmp_path / c) for c in "AB"}, str(tmp_path / "annual"), "2025-04-01")
+    landed = open_snapshots(spark, str(tmp_path / "annual"), "latest").orderBy("series_code")
+    assert [(r.year_2000, r.year_2001) for r in landed.collect()] == [("1.5", "nan"), ("nan", "1.5")]
+
+
+def test_served_years_prune_directories(spark, tmp_path):
+    publish_view(raw_annual(spark), RAW_ANNUAL)
+    stocks = build_annual(spark, root=str(tmp_path), only=(MART_STOCKS,))[MART_STOCKS]
+    for part in (slice_panel(stocks, "year", "country_code", (2001, 2002), ["KEN"]), scorecard(stocks, "debt_value_usd", "year")):
+        scan = [line for line in plan_of(part).splitlines() if "FileScan" in line][0]
+        assert "PartitionFilters: [isnotnull(year" in scan
+
+
+def test_runs_delete_what_they_pinned(spark):
+    with scratch_run(spark) as folder:
+        assert pin(spark.range(5)).count() == 5 and glob.glob(f"{folder}/*")
+    assert not os.path.exists(folder)
+    assert not scratch_path(spark, "x").startswith(folder)
+
+
+def test_shared_folder_must_be_named():
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(unset)
+
+
 def test_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_folder(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")

@@ -19,7 +19,7 @@ from panelspark.session import pin
 
 from .panels import (
     ALL, COUNTRY_PANEL, COUNTRY_STAGED_SQL, COUNTRY_STOCKS_SQL, CUSTOMER_PANEL, CUSTOMER_STAGED_SQL,
-    CUSTOMER_STOCKS_SQL, customer_regions, raw_country_panel, raw_customer_panel, sql_list,
+    CUSTOMER_STOCKS_SQL, YEARS, customer_regions, raw_country_panel, raw_customer_panel, sql_list,
 )
 from .registry import query
 
@@ -80,6 +80,16 @@ def stocks_from_long(spark, sf_dir):
     return stocks_mart(staged_landed_customers(spark, sf_dir), CUSTOMER_PANEL)
 
 
+@query("stocks_mart_split_rows", f"with {CUSTOMER_STOCKS_SQL} select * from stocks")
+def stocks_from_split_rows(spark, sf_dir):
+    """Each entity and series has two wide rows, one with the even years and one with the odd."""
+    landed = landed_customers(spark, sf_dir)
+    halves = [
+        landed.withColumns({f"year_{y}": F.lit("nan") for y in YEARS if y % 2 == rest}) for rest in (0, 1)
+    ]
+    return stocks_mart_from_wide(halves[0].union(halves[1]), CUSTOMER_PANEL, split_rows="merge")
+
+
 @query("stocks_mart_countries", f"with {COUNTRY_STOCKS_SQL} select * from stocks")
 def stocks_of_countries(spark, sf_dir):
     return stocks_mart_from_wide(landed_countries(spark, sf_dir), COUNTRY_PANEL)

@@ -11,10 +11,10 @@ from panelspark.plans import (
     CLEAN_SHEET, build_annual, build_quarterly, model, service_mart, stage_panel, stage_sheet, stocks_mart_from_wide,
 )
 from panelspark.plans.build import (
-    MART_REGIONAL, MART_SERVICE, MART_STOCKS, RAW_ANNUAL, RAW_QUARTERLY, run_not_null_tests,
+    MART_REGIONAL, MART_SERVICE, MART_STOCKS, RAW_ANNUAL, RAW_QUARTERLY, build_report, run_not_null_tests,
 )
 from panelspark.plans.land import land_annual, land_quarterly
-from panelspark.session import scratch_path
+from panelspark.session import pin, scratch_path
 from panelspark.sources import (
     open_snapshots, publish_table, publish_view, read_panel, read_sheets, register_snapshots, write_snapshot,
 )
@@ -89,7 +89,7 @@ def landed_snapshot_of_sheets(spark, sf_dir):
 
 def _exported_sheets(spark, sf_dir):
     root = scratch_path(spark, "sheets")
-    cells = supplier_quarters(spark, sf_dir)
+    cells = pin(supplier_quarters(spark, sf_dir), "cells")
     for flag in FLAGS:
         for status in STATUSES:
             quarters = QUARTERS if status == "O" else QUARTERS[:4]
@@ -101,6 +101,48 @@ def _exported_sheets(spark, sf_dir):
     return root
 
 
+def _mixed_sheets(spark, sf_dir, fmt):
+    """A sheet whose second file has a further quarter, one whose column has another type, one with a repeated header."""
+    root = scratch_path(spark, f"mixed-{fmt}")
+    cells = pin(supplier_quarters(spark, sf_dir), "cells")
+    options = {"header": "true"} if fmt == "csv" else {}
+
+    def export(place, flag, mode="errorifexists", **columns):
+        sheet = cells.where(F.col("l_returnflag") == flag)
+        picked = [F.col("l_suppkey").alias("Country Code"), F.col("l_linestatus").alias("Status"), F.col("l_linenumber").alias("Line")]
+        sheet = sheet.select(*picked, *[c.alias(n) for n, c in columns.items()])
+        sheet.write.format(fmt).options(**options).mode(mode).save(f"{root}/{place}")
+
+    one, two = F.col(QUARTERS[0]), F.col(QUARTERS[1])
+    export("book/sheet A", "A", **{"1996Q1 [1996Q1]": one})
+    export("book/sheet A", "N", "append", **{"1996Q1 [1996Q1]": one, "1996Q2": two})
+    export("book/sheet R", "R", **{"1996Q1 [1996Q1]": one.cast("string"), "1996Q1": two.cast("string")})
+    return root
+
+
+@query("read_sheets_mixed", f"""with {SUPPLIER_SHEET_SQL},
+cells as (select *, series_code[1] flag, substr(sheet_name, 6) line from sheet),
+read as (
+  select country_code, 'sheet A' sheet_name, series_code[2] status, line, coalesce({QUARTERS[0]}, -1) {QUARTERS[0]},
+         case when flag = 'N' then coalesce({QUARTERS[1]}, -1) end {QUARTERS[1]}, cast(null as double) repeated
+  from cells where flag in ('A', 'N')
+  union all
+  select country_code, 'sheet R', series_code[2], line, coalesce({QUARTERS[0]}, -1), null, coalesce({QUARTERS[1]}, -1)
+  from cells where flag = 'R')
+select 'parquet' format, * from read union all select 'csv', * from read""")
+def mixed_sheets(spark, sf_dir):
+    """Files of a sheet with other columns, the same column with other types, a header that repeats."""
+    frames = []
+    for fmt in ("parquet", "csv"):
+        read = read_sheets(spark, _mixed_sheets(spark, sf_dir, fmt), fmt)
+        number = lambda c: F.when(F.col(c) == "nan", F.lit(-1.0)).otherwise(F.col(c).try_cast("double"))
+        frames.append(read.select(
+            F.lit(fmt).alias("format"), "country_code", "sheet_name", "status", "line",
+            number("q_1996q1").alias(QUARTERS[0]), number("q_1996q2").alias(QUARTERS[1]), number("q_1996q1_1").alias("repeated"),
+        ))
+    return frames[0].unionByName(frames[1])
+
+
 def _three_landings(spark, sf_dir, compact=False):
     """All events but the last day's, then all events twice on the newest date."""
     root = scratch_path(spark, "snapshots")
@@ -168,14 +210,14 @@ def service_clustered(spark, sf_dir):
     )
 
 
-def _build_annual(spark, sf_dir):
-    """Two landed snapshots, then the staged view and both annual marts below a new root."""
+def _build_annual(spark, sf_dir, *only):
+    """Two landed snapshots, then the staged view and the annual marts asked for below a new root."""
     root = scratch_path(spark, "warehouse")
     landed = f"{root}/landed_annual"
     write_snapshot(stringify(raw_country_panel(spark, sf_dir, 2000, "2000-12-31")), landed, "2000-12-31")
     write_snapshot(stringify(raw_country_panel(spark, sf_dir)), landed, EXTRACTED_AT)
     publish_view(open_snapshots(spark, landed), RAW_ANNUAL)
-    return build_annual(spark, replace(COUNTRY_PANEL, one_snapshot=False), root=f"{root}/marts")
+    return build_annual(spark, replace(COUNTRY_PANEL, one_snapshot=False), root=f"{root}/marts", only=only)
 
 
 def _build_quarterly(spark, sf_dir):
@@ -189,7 +231,7 @@ def _build_quarterly(spark, sf_dir):
 
 @query("build_stocks", f"with {COUNTRY_STOCKS_SQL} select * from stocks")
 def built_stocks(spark, sf_dir):
-    _build_annual(spark, sf_dir)
+    _build_annual(spark, sf_dir, MART_STOCKS)
     return model(spark, MART_STOCKS)
 
 
@@ -197,7 +239,7 @@ def built_stocks(spark, sf_dir):
 select region, series_code, series_description, "year", {_ROLLUP}
 from placed where region <> 'Other' group by 1, 2, 3, 4""")
 def built_regional(spark, sf_dir):
-    _build_annual(spark, sf_dir)
+    _build_annual(spark, sf_dir, MART_REGIONAL)
     return model(spark, MART_REGIONAL)
 
 
@@ -217,6 +259,24 @@ sizes as (
   union all select 'mart_service', count(*), ['country_code'] from service)
 select "table", unnest(cols) "column", n "rows", cast(0 as bigint) failures from sizes""")
 def all_not_null_tests(spark, sf_dir):
-    _build_annual(spark, sf_dir)
+    _build_annual(spark, sf_dir, MART_STOCKS, MART_REGIONAL)
     _build_quarterly(spark, sf_dir)
     return run_not_null_tests(spark)
+
+
+@query("build_report", f"""with {COUNTRY_STAGED_SQL}, {_COUNTRY_REGIONS_SQL}
+select 'duplicate_keys' "check", (select count(distinct (country_code, series_code)) from staged where series_code = 'DT.DOD.DPPG.CD') failures
+union all select 'periods_out_of_range', (select count(*) * 1 from (
+  select * from staged union all select * from staged where series_code = 'DT.DOD.DPPG.CD') where "year" < 1996 or "year" > 2000)
+union all select 'missing_series', 1
+union all select 'codes_in_no_group', (select count(distinct country_code) from placed where region = 'Other')
+union all select 'cells_in_no_group', (select count(*) from (
+  select * from placed union all select * from placed where series_code = 'DT.DOD.DPPG.CD') where region = 'Other')""")
+def reported_failures(spark, sf_dir):
+    """One series is landed twice, years reach past the range, one series is only in the older snapshot."""
+    landed = scratch_path(spark, "reported")
+    raw = pin(raw_country_panel(spark, sf_dir), "countries")
+    write_snapshot(stringify(raw.withColumn("series_code", F.lit("LOST"))), landed, "2000-12-31")
+    write_snapshot(stringify(raw.union(raw.where(F.col("series_code") == "DT.DOD.DPPG.CD"))), landed, EXTRACTED_AT)
+    publish_view(open_snapshots(spark, landed), RAW_ANNUAL)
+    return build_report(spark, replace(COUNTRY_PANEL, one_snapshot=False), years=(1996, 2000))

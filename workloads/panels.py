@@ -203,31 +203,37 @@ SUPPLIER_SHEET: SheetSpec = replace(
 )
 
 
-def supplier_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every_quarter(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Columns of all quarters that the lines have."""
+    shipped = table(spark, sf_dir, "lineitem").select(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b")).first()
+    return [f"q_{y}q{q}" for y in range(shipped.a.year, shipped.b.year + 1) for q in range(1, 5)]
+
+
+def supplier_quarters(spark: SparkSession, sf_dir: str, quarters=QUARTERS) -> DataFrame:
     """Line amounts per supplier, flag, status and line number, one decimal column per quarter, NULL where none."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_extendedprice", "l_shipdate"
     )
     quarter = F.year("l_shipdate") * 10 + F.quarter("l_shipdate")
-    cells = [F.sum(F.when(F.col("_q") == int(q[2:6] + q[-1]), cents("l_extendedprice"))).alias(q) for q in QUARTERS]
+    cells = [F.sum(F.when(F.col("_q") == int(q[2:6] + q[-1]), cents("l_extendedprice"))).alias(q) for q in quarters]
     sums = (
         lines.withColumn("_q", quarter)
         .groupBy("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber")
         .agg(*cells)
     )
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    return sums.withColumns({q: amount(F.col(q)) for q in QUARTERS}).join(names, "l_suppkey")
+    return sums.withColumns({q: amount(F.col(q)) for q in quarters}).join(names, "l_suppkey")
 
 
-def raw_supplier_sheet(spark: SparkSession, sf_dir: str, missing: str = "..") -> DataFrame:
+def raw_supplier_sheet(spark: SparkSession, sf_dir: str, missing: str = "..", quarters=QUARTERS) -> DataFrame:
     """The landed quarterly schema: one row per supplier, flag + status (series) and line number (sheet)."""
-    return supplier_quarters(spark, sf_dir).select(
+    return supplier_quarters(spark, sf_dir, quarters).select(
         F.col("s_name").alias("country_name"),
         F.col("l_suppkey").cast("string").alias("country_code"),
         F.concat(F.lit("Lines "), F.col("l_returnflag"), F.col("l_linestatus")).alias("series_name"),
         F.concat("l_returnflag", "l_linestatus").alias("series_code"),
         F.lit("Units").alias("scale_precision"),
-        *[F.coalesce(F.col(q).cast("string"), F.lit(missing)).alias(q) for q in QUARTERS],
+        *[F.coalesce(F.col(q).cast("string"), F.lit(missing)).alias(q) for q in quarters],
         F.lit("lineitem").alias("source_table"),
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("sheet_name"),
         F.lit(EXTRACTED_AT).alias("extracted_at"),

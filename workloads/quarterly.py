@@ -7,10 +7,14 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from panelspark.operators import global_rank
-from panelspark.plans import CLEAN_SHEET, pressure_ranking, service_mart, service_table, stage_sheet
+from panelspark.plans import (
+    CLEAN_SHEET, long_quarters, pressure_ranking, service_mart, service_table, share_trend, stage_sheet,
+)
+from panelspark.session import pin
 
 from .panels import (
-    QUARTERS, SUPPLIER_SERVICE_SQL, SUPPLIER_SHEET, SUPPLIER_SHEET_SQL, price, raw_supplier_sheet,
+    QUARTERS, SUPPLIER_SERVICE_SQL, SUPPLIER_SHEET, SUPPLIER_SHEET_SQL, every_quarter, price,
+    raw_supplier_sheet,
 )
 from .registry import query, table
 
@@ -89,10 +93,44 @@ def nation_pressure(spark, sf_dir):
     )
 
 
+@query("stage_sheet_every_quarter", """
+select s_name country_name, cast(l_suppkey as varchar) country_code, l_returnflag || l_linestatus series_code,
+       'line ' || l_linenumber sheet_name, 'q_' || year(l_shipdate) || 'q' || quarter(l_shipdate) quarter,
+       cast(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 as bigint) quarter_no,
+       cast(sum(cast(l_extendedprice as decimal(18,2))) as double) "value"
+from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2, 3, 4, 5, 6""")
+def every_quarter_long(spark, sf_dir):
+    """All quarters the lines have, found by their pattern."""
+    raw = raw_supplier_sheet(spark, sf_dir, quarters=every_quarter(spark, sf_dir))
+    spec = replace(CLEAN_SUPPLIER_SHEET, quarters=None)
+    long = long_quarters(stage_sheet(raw, spec), spec)
+    return long.select("country_name", "country_code", "series_code", "sheet_name", "quarter", "quarter_no", "value")
+
+
+@query("foreign_currency_share", """
+with cells as (
+  select l_suppkey, l_returnflag || l_linestatus s, year(l_shipdate) * 4 + quarter(l_shipdate) - 1 q,
+         sum(cast(l_extendedprice as decimal(18,2))) v
+  from lineitem group by 1, 2, 3, l_linenumber),
+wide as (
+  select l_suppkey, q, max(case when s = 'RF' then cast(v as double) end) p, max(case when s = 'AF' then cast(v as double) end) t
+  from cells group by 1, 2),
+shares as (select *, p / nullif(t, 0) * 100 share_pct from wide where p / nullif(t, 0) is not null)
+select cast(l_suppkey as varchar) country_code, cast(q as bigint) quarter_no, share_pct,
+       share_pct - lag(share_pct) over w delta, share_pct - lag(share_pct) over w > 0 worsening
+from shares window w as (partition by l_suppkey order by q)""")
+def share_per_quarter(spark, sf_dir):
+    """From the sheet to long quarters to the trend of one series' share in another."""
+    raw = raw_supplier_sheet(spark, sf_dir, quarters=every_quarter(spark, sf_dir))
+    spec = replace(CLEAN_SUPPLIER_SHEET, quarters=None)
+    long = pin(long_quarters(stage_sheet(raw, spec), spec), "quarters")
+    return share_trend(long, ["country_code"], "quarter_no", "series_code", "value", "RF", "AF")
+
+
 @query("global_rank", """
 select o_custkey, orders, cast(rank() over (order by orders desc) as bigint) "rank"
 from (select o_custkey, count(*) orders from orders group by 1)""")
 def customers_ranked(spark, sf_dir):
-    """The ranged way at every size; order counts have many ties."""
+    """Order counts have many ties."""
     counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
-    return global_rank(counts, "orders", one_task_rows=0)
+    return global_rank(counts, "orders")
