@@ -1,15 +1,15 @@
 """Repeated byte strings between documents, by bucket-pointer refinement of sampled suffixes.
 
-Suffixes fall into buckets by their first 20 bytes. A bucket is refined by the
+Suffixes fall into buckets by their first 24 bytes. A bucket is refined by the
 identifiers of the buckets that its suffixes have at other offsets; identifiers
 of longer strings are made from those of shorter ones, so each is computed once
 and reused. Refinement ends where a bucket's members agree on everything within
 reach, or belong to one document, or have length 50.
 
 Two things keep this to a small part of all suffixes. Only anchors enter: the
-least 20-byte bucket of every 50-byte window, one place in 16, and a
+least 24-byte bucket of every 50-byte window, one place in 14, and a
 50-byte string has the same anchor wherever it occurs. And members of a bucket
-that agree on all 80 bytes a 50-byte string around the anchor can reach are
+that agree on all 76 bytes a 50-byte string around the anchor can reach are
 settled by their least document; only the others send those bytes.
 """
 
@@ -26,7 +26,7 @@ from .blocks import anchors, block_rows, joined, text_blocks, window_hashes, wit
 from .common import arrow_rows, documents, landed, mix, signed, with_null_ids
 from .registry import query
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM  # bytes before an anchor that a string holding it can reach
 REACH = BEFORE + LENGTH
 CROWD = 50_000  # contexts of one bucket that a task compares in memory
@@ -62,8 +62,9 @@ def anchor_buckets(starts: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndar
     places = anchors(grams, inside(GRAM), inside(LENGTH), LENGTH - GRAM + 1)
     document = np.searchsorted(first, places, side="right") - 1
     bucket = grams[places]
-    # The buckets at offsets -30, -10, 10 and 30 together name all 80 bytes in reach.
-    refined = joined(joined(grams[places - 30], grams[places - 10]), joined(grams[places + 10], grams[places + 30]))
+    # The buckets at these four offsets together name all bytes in reach.
+    first_two = joined(grams[places - BEFORE], grams[places - BEFORE + GRAM])
+    refined = joined(first_two, joined(grams[places - BEFORE + 2 * GRAM], grams[places + LENGTH - GRAM]))
     return symbols, places, document, (bucket >> np.uint64(32)).astype(np.uint32), (refined >> np.uint64(32)).astype(np.uint32)
 
 
@@ -142,7 +143,7 @@ def settled_and_open(blocks: DataFrame, shared: DataFrame, crowd: int) -> DataFr
 
 
 def context_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the 31 windows of each context, n x 31, and which lie inside the document.
+    """Identifiers of the 27 windows of each context, n x 27, and which lie inside the document.
 
     Column o is the string that starts o places before the anchor.
     """
