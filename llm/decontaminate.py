@@ -126,7 +126,8 @@ def document_matches(
     for width in {min(size, shingle, len(words)) for size in index}:
         own = shingles_of(width)
         maybe = np.flatnonzero(sieve[(own >> np.uint64(44)).astype(np.int64)])
-        hits = maybe[np.isin(own[maybe], known)]
+        at = np.minimum(np.searchsorted(known, own[maybe]), len(known) - 1)
+        hits = maybe[known[at] == own[maybe]]
         for p in hits.tolist():
             for size in sizes_of[int(own[p])]:
                 if min(size, shingle, len(words)) == width:
