@@ -95,7 +95,7 @@ def nation_pressure(spark, sf_dir):
 
 @query("stage_sheet_every_quarter", """
 select s_name country_name, cast(l_suppkey as varchar) country_code, l_returnflag || l_linestatus series_code,
-       'line ' || l_linenumber sheet_name, 'q_' || year(l_shipdate) || 'q' || quarter(l_shipdate) quarter,
+       'line ' || l_linenumber sheet_name, 'q_' || year(l_shipdate) || 'q' || quarter(l_shipdate) AS "quarter",
        cast(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 as bigint) quarter_no,
        cast(sum(cast(l_extendedprice as decimal(18,2))) as double) "value"
 from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2, 3, 4, 5, 6""")
