@@ -41,47 +41,67 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def bucket_links(
     members: DataFrame,
+    about: DataFrame,
     fits: str,
     load: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
+    rounds: int = 2,
 ) -> DataFrame:
     """All links (a, b) needed to connect what shares a bucket and is verified.
 
-    ``members``: bucket, node, n; one row per node and bucket. ``fits``: condition on
-    ``na`` and ``nb`` that any link meets. ``load``: what ``verify`` needs of the
-    nodes of a frame (node), looked up once. ``verify``: keeps the true links of a frame (a, b).
+    ``members``: bucket, node; one row per node and bucket. ``about``: node, n.
+    ``fits``: condition on ``na`` and ``nb``, the two nodes' n, that any link meets. ``load``: what
+    ``verify`` needs of the nodes of a frame (node), looked up once. ``verify``: keeps the true links of a frame (a, b).
 
     A group of copies is not expanded into its pairs. First every node is
     tried with one node: the leader (least node) it shares most buckets with.
-    What this connects needs no further test among itself, so then only pairs
-    from different components are tried, and every such pair is: no link that
-    would join two components is lost.
+    What this connects needs no further test among itself. Then, ``rounds``
+    times, nodes outside the largest component of a bucket are tried with one
+    of that component's members there, another in each bucket, so what belongs to a
+    dense group joins it. At last all pairs of different components that share a bucket
+    are tried: no link that would join two components is lost.
     """
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("leader"))
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"))
     shared = landed(counts.where("size > 1").select("bucket", "leader"), "shared-buckets")
-    kept = landed(members.join(shared, "bucket").select("bucket", "node", "n", "leader"), "bucket-members")
-    stars = (
-        kept.where("node != leader.node")
-        .select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        .where(fits)
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    kept = landed(members.join(shared, "bucket").select("bucket", "node", "leader"), "bucket-members")
+    nodes = landed(kept.select("node").distinct(), "bucket-nodes")
+    known = landed(about.join(nodes, "node", "left_semi").select("node", "n"), "about-nodes")
+    data = landed(load(nodes), "node-data")
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        x = known.select(F.col("node").alias("a"), F.col("n").alias("na"))
+        y = known.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+        return pairs.join(x, "a").join(y, "b").where(fits).select(*pairs.columns)
+
+    def open_members(links: DataFrame) -> DataFrame:
+        """(bucket, node, part) of the buckets whose members are in several components."""
+        part = landed(components(links), "parts")
+        labelled = kept.join(part, kept["node"] == part["node"], "left").select(
+            "bucket", kept["node"].alias("node"), F.coalesce("component", kept["node"]).alias("part")
+        )
+        labelled = landed(labelled, "labelled")
+        mixed = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
+        return landed(labelled.join(landed(mixed.select("bucket"), "mixed"), "bucket"), "open-members")
+
+    stars = kept.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b"))
+    stars = fitting(stars.agg(F.count(F.lit(1)).alias("c")))
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     tried = landed(first, "first-pairs")
-    data = landed(load(kept.select("node").distinct()), "node-data")
     links = landed(verify(tried, data), "first-links")
-    part = landed(components(links), "first-components")
-
-    labelled = kept.drop("leader").join(part, kept["node"] == part["node"], "left").select(
-        "bucket", kept["node"].alias("node"), "n", F.coalesce("component", kept["node"]).alias("part")
-    )
-    labelled = landed(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("bucket")
-    open_members = landed(labelled.join(landed(mixed, "mixed"), "bucket"), "open-members")
-    x = open_members.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = open_members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    for k in range(rounds):
+        left = open_members(links)
+        here = left.groupBy("bucket", "part").agg(
+            F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", "bucket", F.lit(k))).alias("one")
+        )
+        largest = landed(here.groupBy("bucket").agg(F.max(F.struct("size", "part", "one")).alias("most")), "largest")
+        pairs = left.join(largest, "bucket").where("part != most.part")
+        pairs = pairs.select(F.least("node", "most.one").alias("a"), F.greatest("node", "most.one").alias("b")).distinct()
+        pairs = landed(fitting(pairs.join(tried, ["a", "b"], "left_anti")), "next-pairs")
+        links = landed(links.unionByName(verify(pairs, data)), "next-links")
+        tried = tried.unionByName(pairs)
+    left = open_members(links).join(known, "node")
+    x = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).where(fits)
     across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = landed(verify(landed(across, "more-pairs"), data), "more-links")
-    return links.unionByName(more)
+    return links.unionByName(landed(verify(landed(across, "last-pairs"), data), "last-links"))

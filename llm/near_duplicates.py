@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,26 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+SKETCH_WORDS = 8  # two bits of up to 256 slots: all first bits, then all second ones
+
+
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of every slot, as sets x SKETCH_WORDS: slots that agree in both differ in neither plane."""
+    planes = np.zeros((len(signatures), 2, 256), np.uint8)
+    for k in range(2):
+        planes[:, k, : signatures.shape[1]] = (signatures >> np.uint64(k)) & np.uint64(1)
+    return np.packbits(planes.reshape(len(signatures), -1), axis=1).view("<i8")
+
+
+def sketch_limit(slots: int, percent: int) -> int:
+    """Slots that may differ in a sketch at ``percent`` similarity: the mean and six deviations.
+
+    Slots that disagree differ in their two bits in three cases of four.
+    """
+    differ = (1 - percent / 100) * 0.75
+    return math.ceil(slots * differ + 6 * math.sqrt(slots * differ * (1 - differ)))
+
+
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, key (hash of the set), shingles (sorted distinct 64-bit hashes); ``docs``: doc_id, text."""
 
@@ -101,7 +122,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), key and band keys of each row; ``docs``: doc_id, text."""
+    """doc_id, n (set size), key, band keys and sketch of each row; ``docs``: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes = WordHashes()
@@ -109,14 +130,16 @@ def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
             for ids, texts in texts_in(batch, 1 << 20):
                 sets = [np.unique(shingle_hashes(hashes.of(words_of(t, lower=True)), shingle)) for t in texts]
                 sizes = np.array([len(s) for s in sets])
-                keys = signed(band_keys(super_minhash(np.concatenate(sets), sizes, bands * rows), bands, rows))
+                signatures = super_minhash(np.concatenate(sets), sizes, bands * rows)
+                keys = signed(band_keys(signatures, bands, rows))
                 yield {
                     "doc_id": ids, "n": sizes, "key": [set_key(s) for s in sets],
-                    "bands": [k if n else k[:0] for k, n in zip(keys, sizes)],
+                    "bands": [k if n else k[:0] for k, n in zip(keys, sizes)], "sketch": list(sketches(signatures)),
                 }
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    return docs.mapInArrow(arrow_rows(run, schema), "doc_id long, n long, key long, bands array<long>")
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    kinds = "doc_id long, n long, key long, bands array<long>, sketch array<long>"
+    return docs.mapInArrow(arrow_rows(run, schema), kinds)
 
 
 def near_duplicates(
@@ -137,7 +160,8 @@ def near_duplicates(
 
     Equal sets become one class before anything is paired. A pair of classes at
     the threshold shares no band with probability (1 - 0.8 ** 5) ** 40, about
-    1e-7, and links are confirmed on the whole sets. See
+    1e-7. Pairs whose signatures differ in more slots than six deviations allow at the
+    threshold are not looked up, and links are confirmed on the whole sets. See
     :func:`llm.components.bucket_links` for how big groups avoid all pairs.
 
     Null, empty and blank texts have no shingles, are linked with nothing and
@@ -148,10 +172,11 @@ def near_duplicates(
     plain = id_and_text(docs, id_col, text_col)
     prints = landed(fingerprints(plain, shingle, bands, rows), "fingerprints")
     classes = landed(
-        prints.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands")),
+        prints.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), "n")
+    members = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
+    about = classes.select(F.col("key").alias("node"), F.struct("n", "sketch").alias("n"))
 
     def load(nodes: DataFrame) -> DataFrame:
         ids = classes.join(nodes.withColumnRenamed("node", "key"), "key", "left_semi").select(F.col("first").alias("doc_id"))
@@ -165,8 +190,9 @@ def near_duplicates(
         compared = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
         return compared.where(F.expr(f"100 * i >= {percent} * (t - i)")).select("a", "b")
 
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    groups = components(bucket_links(members, fits, load, verify))
+    planes = [f"bit_count((na.sketch[{k}] ^ nb.sketch[{k}]) | (na.sketch[{k + 4}] ^ nb.sketch[{k + 4}]))" for k in range(4)]
+    fits = f"100 * least(na.n, nb.n) >= {percent} * greatest(na.n, nb.n) AND {' + '.join(planes)} <= {sketch_limit(bands * rows, percent)}"
+    groups = components(bucket_links(members, about, fits, load, verify))
     labelled = classes.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     labelled = labelled.select("key", "first", F.coalesce("component", "key").alias("component"))
     labelled = landed(labelled, "labelled-classes")
