@@ -28,8 +28,11 @@ def plain_matches(docs, items, radius=d.RADIUS, least=0.8):
                 continue
             want = shingle_hashes(target, 5)
             size = min(len(target), len(words))
+            width = min(5, len(target))
+            if not set(want.tolist()) & set(shingle_hashes(words, width).tolist()):
+                continue  # similarity 0 everywhere
             for at in range(len(words) - size + 1):
-                have = shingle_hashes(words[at : at + size], min(5, len(target)))
+                have = shingle_hashes(words[at : at + size], width)
                 if (plain_print(have) ^ plain_print(want)).bit_count() <= radius:
                     a, b = have.tolist(), want.tolist()
                     low = sum(min(a.count(x), b.count(x)) for x in set(a))
