@@ -33,8 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = landed(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = landed(large, "large")
-        least = landed(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
+        # Here a node has few neighbours: those of big centres hang on them already.
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v != m").select(F.col("v"), F.col("m")))
         edges = landed(small.distinct(), "small")
 
@@ -45,7 +45,7 @@ def bucket_links(
     fits: str,
     load: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
-    rounds: int = 2,
+    rounds: int = 1,
 ) -> DataFrame:
     """All links (a, b) needed to connect what shares a bucket and is verified.
 
@@ -79,9 +79,8 @@ def bucket_links(
         labelled = kept.join(part, kept["node"] == part["node"], "left").select(
             "bucket", kept["node"].alias("node"), F.coalesce("component", kept["node"]).alias("part")
         )
-        labelled = landed(labelled, "labelled")
         mixed = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-        return landed(labelled.join(landed(mixed.select("bucket"), "mixed"), "bucket"), "open-members")
+        return landed(labelled.join(mixed.select("bucket"), "bucket"), "open-members")
 
     stars = kept.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b"))
     stars = fitting(stars.agg(F.count(F.lit(1)).alias("c")))
