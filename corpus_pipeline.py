@@ -20,7 +20,7 @@ from panelspark.session import scratch_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return without_rejected(docs)
+    return without_rejected(docs, every_text=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

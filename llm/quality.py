@@ -107,16 +107,20 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def frequent_lines(lines: DataFrame, min_documents: int = 20, share: float = 0.002) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_documents: int = 20, share: float = 0.002, every_text: bool = False) -> DataFrame:
     """(host, line) of the lines that more documents of a host hold than its limit allows.
 
     The limit is ``share`` of the host's documents, at least ``min_documents``.
-    Documents are counted by sketch: (host, line, sketch) is made distinct before
-    the shuffle, so a line or a host in a third of all rows arrives combined.
+    With ``every_text`` each different text is a document, for the lines as for the
+    limit; only exact copies count once. Without it documents are counted by sketch,
+    which takes many texts made of the same lines for copies of a few.
+    (host, line, text or sketch) is made distinct before the shuffle, so a line or
+    a host in a third of all rows arrives combined.
     """
-    seen = lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("_one"))
+    counted, member = ("text_key", "text_key") if every_text else ("sketch", "doc_id")
+    seen = lines.groupBy("host", "line", counted).agg(F.lit(1).alias("_one"))
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
-    hosts = lines.groupBy("host", "doc_id").agg(F.lit(1).alias("_one")).groupBy("host").agg(F.count(F.lit(1)).alias("in_host"))
+    hosts = lines.groupBy("host", member).agg(F.lit(1).alias("_one")).groupBy("host").agg(F.count(F.lit(1)).alias("in_host"))
     over = counts.where(F.col("documents") > min_documents).join(hosts, "host")
     return over.where(F.col("documents") > F.col("in_host") * share).select("host", "line", "documents")
 
@@ -131,10 +135,11 @@ def quality_rules(
     min_documents: int = 20,
     share: float = 0.002,
     least_left: float = 0.3,
+    every_text: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: the base counts, base_failed, kept_words, depleted and kept.
 
-    Lines above their host's limit (:func:`frequent_lines`) count as removed; a
+    Lines above their host's limit (:func:`frequent_lines`, also for ``every_text``) count as removed; a
     document is depleted if less than ``least_left`` of its words remain.
 
     Null and empty texts have no words and fail; a null host is the host ''.
@@ -143,7 +148,7 @@ def quality_rules(
     """
     base = base_rules(docs, id_col, text_col, min_words, max_repeat_percent)
     lines = document_lines(docs, id_col, text_col, host_col)
-    frequent = frequent_lines(lines, min_documents, share).select("host", "line", F.lit(True).alias("_frequent"))
+    frequent = frequent_lines(lines, min_documents, share, every_text).select("host", "line", F.lit(True).alias("_frequent"))
     left = (
         lines.join(frequent, ["host", "line"], "left")
         .groupBy("doc_id", "text_key")
@@ -173,4 +178,4 @@ def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 @query("op8_line_frequency")
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).drop("text_key")
+    return quality_rules(documents(spark, sf_dir), every_text=True).drop("text_key")

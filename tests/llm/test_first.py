@@ -1,6 +1,7 @@
 """Mixing, sharding, token files and quality rules against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -73,6 +74,29 @@ def test_frequent_lines_deplete(spark):
     assert {i for i, gone in got.items() if gone} == set(range(30))
 
 
+def test_lines_count_every_text(spark, tmp_path):
+    """Documents made of shared lines only count in full for op8, and so do a line alone and a footer; exact copies count once."""
+    rng = random.Random(1)
+    stock = [f"stock line {k}" for k in range(30)]
+    rows = [(i, "\n".join(rng.sample(stock, 10)), "stock") for i in range(300)]
+    footer = "\n".join(f"footer {k} of this page" for k in range(6))
+    rows += [(1000 + i, f"{footer}\nown {i}", "footer") for i in range(60)]
+    rows += [(2000 + i, "Only  line" + " " * i, "alone") for i in range(30)]
+    rows += [(3000 + i, f"{footer}\nthe end", "copies") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = defaultdict(set)
+    for _, text, host in rows:
+        for line in text.split("\n"):
+            texts[host, " ".join(line.lower().split())].add(text)
+    found = quality.frequent_lines(quality.document_lines(df), every_text=True)
+    got = sorted((r.host, r.documents) for r in found.collect())
+    assert got == sorted((host, len(t)) for (host, _), t in texts.items() if len(t) > 20)
+    assert Counter(host for host, _ in got) == {"stock": 30, "footer": 6, "alone": 1}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {r.doc_id for r in QUERIES["op8_line_frequency"](spark, str(tmp_path)).where("depleted").collect()}
+    assert gone == {i for i, _, host in rows if host != "copies"}
+
+
 def test_pfair_frame():
     weights = {"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}
     ticks = mixing.whole_ticks(weights, 100)
