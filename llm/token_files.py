@@ -39,6 +39,8 @@ PIECES = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
 )
 CUT = re.compile(r"(?<=\S)(?= \S)")
+# White space at either end, other than one leading blank.
+EDGE = re.compile(r"\A(?! ?\S)|\s\Z")
 
 
 class Encoder:
@@ -47,6 +49,7 @@ class Encoder:
     Pieces are encoded independently of their neighbours, so equal pieces get
     equal ids and each is encoded once. New pieces are encoded many at a time,
     a line feed between them: it is an id of its own there and tells them apart.
+    Pieces that begin or end with white space which a line feed could join are encoded singly.
     """
 
     LIMIT = 400_000  # pieces kept
@@ -62,7 +65,7 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, new: list[str]) -> None:
-        plain = [p for p in new if not p.isspace() and "\n" not in p]
+        plain = [p for p in new if "\n" not in p and not EDGE.search(p)]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
             ids = np.array(self.whole("\n".join(some)), self.dtype)

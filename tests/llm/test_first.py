@@ -189,6 +189,16 @@ def test_token_files_round_trip(spark, docs, odd, bits, tmp_path):
         assert sizes == at * bits // 8
 
 
+def test_white_space_at_the_edges_of_pieces():
+    """The vocabulary joins a line feed with U+00A0: such pieces must not meet the feed between pieces."""
+    plain = Tokenizer.from_file(token_files.default_tokenizer())
+    space = ["\xa0", "\xa0\xa0", " \xa0", "\xa0 ", "  ", "\t", "\x85", "\x1c", "\u2003", "\u3000\xa0", "\n\xa0", "\r\n"]
+    texts = [t for s in space for t in (s, f"{s}Hello", f"{s}{s}Hello é", f"é Hello{s}", f"é{s}Hello{s} you", f"Hello {s}you")]
+    coded = token_files.Encoder(token_files.default_tokenizer(), "<u4").encode(texts)
+    for text, ids in zip(texts, coded, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_op5_checksums(spark, docs):
     plain = Tokenizer.from_file(token_files.default_tokenizer())
     got = {r.doc_id: r.ids_crc32 for r in QUERIES["op5_token_files"](spark, SF).collect()}
