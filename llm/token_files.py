@@ -39,8 +39,6 @@ PIECES = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
 )
 CUT = re.compile(r"(?<=\S)(?= \S)")
-# White space at either end, other than one leading blank.
-EDGE = re.compile(r"\A(?! ?\S)|\s\Z")
 
 
 class Encoder:
@@ -50,13 +48,19 @@ class Encoder:
     equal ids and each is encoded once. New pieces are encoded many at a time,
     a line feed between them: it is an id of its own there and tells them apart.
     Pieces that begin or end with white space which a line feed could join are encoded singly.
+
+    With ``special_ids`` the strings of special tokens get those tokens' ids, as
+    the library has it by default; else they are ordinary text. A text that holds
+    the string of any added token is encoded whole, by the library alone.
     """
 
     LIMIT = 400_000  # pieces kept
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, special_ids: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special_ids
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special_ids or not t.special]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.dtype(dtype)
         self.pieces: dict[str, bytes] = {}
         self.feed = self.whole("\n")[0]
@@ -65,7 +69,8 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, new: list[str]) -> None:
-        plain = [p for p in new if "\n" not in p and not EDGE.search(p)]
+        # No white space at either end but one leading blank.
+        plain = [p for p in new if "\n" not in p and len(p.removeprefix(" ").strip()) == len(p) - p.startswith(" ") > 0]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
             ids = np.array(self.whole("\n".join(some)), self.dtype)
@@ -80,13 +85,17 @@ class Encoder:
             self.pieces[piece] = np.array(self.whole(piece), self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [(CUT.split(t) if OTHER.search(t) else PIECES.findall(t)) if t else [] for t in texts]
+        holds = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
+        cut = [(CUT.split(t) if OTHER.search(t) else PIECES.findall(t)) if t and k not in holds else [] for k, t in enumerate(texts)]
         if len(self.pieces) > self.LIMIT:
             self.pieces.clear()
         new = set().union(*cut).difference(self.pieces)
         if new:
             self.learn(list(new))
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+        return [
+            np.array(self.whole(texts[k]), self.dtype).tobytes() if k in holds else b"".join(map(self.pieces.__getitem__, pieces))
+            for k, pieces in enumerate(cut)
+        ]
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -102,6 +111,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     id_bits: int = 16,
+    special_ids: bool = False,
 ) -> DataFrame:
     """Write ``docs`` in the given order (by default by id) and return the manifest.
 
@@ -111,7 +121,8 @@ def write_token_files(
     listed, so tasks may fail, be repeated or run twice. ``out`` must be a folder
     all executors reach (a mounted one, or any store pyarrow knows).
 
-    A null or empty text is one end id. Repeated rows are written as often as
+    With ``special_ids`` a special token's string in a text is that token's id, else
+    ordinary text. A null or empty text is one end id. Repeated rows are written as often as
     they occur, rows without id come first. An empty table gives an empty manifest.
     """
     dtype = {16: "<u2", 32: "<u4"}[id_bits]
@@ -131,7 +142,7 @@ def write_token_files(
         store, place = file_system(name)
         store.create_dir(place.rsplit("/", 1)[0], recursive=True)
         width, docs_written, at = len(end), 0, 0
-        encoder = Encoder(tokenizer, dtype)
+        encoder = Encoder(tokenizer, dtype, special_ids)
         with store.open_output_stream(place + ".bin") as bins, store.open_output_stream(place + ".idx") as idx, store.open_output_stream(place + ".ids") as ids:
             for batch in batches:
                 for some, texts in texts_in(batch, 1 << 20):
@@ -221,7 +232,7 @@ def default_tokenizer() -> str:
 @query("op5_token_files")
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "tokens")
-    write_token_files(documents(spark, sf_dir), out, default_tokenizer())
+    write_token_files(documents(spark, sf_dir), out, default_tokenizer(), special_ids=True)
     return read_token_files(spark, out).select(
         "doc_id", "start", "n_tokens", ids_crc32("ids", "id_bits").alias("ids_crc32"), "position"
     )

@@ -199,6 +199,22 @@ def test_white_space_at_the_edges_of_pieces():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_as_the_library_has_them(spark, tmp_path):
+    """op5's ids are those of a tokenizer with its default settings, also where a text holds a special token's string."""
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"one  {end} two\n{end}{end}\xa0é", f"{end[:-1]} >", f" {end}\n", "plain", f"<|{end}|>"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain, at, expected = Tokenizer.from_file(token_files.default_tokenizer()), 0, []
+    for i, text in rows:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), i))
+        at += len(ids)
+    assert plain.encode(end, add_special_tokens=False).ids == [50256]
+    got = QUERIES["op5_token_files"](spark, str(tmp_path)).orderBy("position").collect()
+    assert [tuple(r) for r in got] == expected
+
+
 def test_op5_checksums(spark, docs):
     plain = Tokenizer.from_file(token_files.default_tokenizer())
     got = {r.doc_id: r.ids_crc32 for r in QUERIES["op5_token_files"](spark, SF).collect()}
