@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -133,6 +134,29 @@ def test_mix(spark, docs, odd):
         mixing.mix_sources(odd, weights={"a": 1}).collect()
 
 
+@pytest.mark.parametrize("weights", [
+    None, dict.fromkeys("abcdefg", 1.0), dict.fromkeys("abcdefg", 1 / 3), {"a": 0.9999, "b": 0.0001},
+    {"a": 3, "b": 2, "c": 2}, {"a": 0.61803398875, "b": 0.2718281828, "c": 0.11013782845},
+])
+def test_mix_keeps_given_weights(spark, weights):
+    """Over many frames no source is a block off its exact share, however the weights divide."""
+    names = list(weights or "abc")
+    rows = [(i, names[i % len(names)] if i < 3000 else "a") for i in range(9000 if len(names) == 2 else 6000)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1).collect()
+    assert len(out) == len(rows) == len({r.slot for r in out})
+    given = {s: Fraction(str(w)) for s, w in (weights or dict.fromkeys(names, 1)).items()}
+    total = sum(given.values())
+    for r in out:
+        w = given[r.source] / total
+        assert r.release == r.block // w and r.deadline == -(-(r.block + 1) // w) and r.release <= r.slot < r.deadline
+        assert abs(r.block + 1 - (r.slot + 1) * w) < 1 and abs(r.block - r.slot * w) < 1
+
+
+def test_mix_takes_any_number_of_sources(spark):
+    out = mixing.mix_sources(spark.range(2500).selectExpr("id AS doc_id", "concat('s', id % 1250) AS source"), block_rows=1).collect()
+    assert sorted(r.slot for r in out) == list(range(2500))
+
+
 def test_hilbert_curve_is_a_walk():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
