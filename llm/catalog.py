@@ -12,9 +12,12 @@ from . import (  # noqa: F401
     mixing,
     near_duplicates,
     quality,
+    ranked_search,
     repeated_passages,
     repeated_strings,
     token_files,
+    vector_duplicates,
+    whitening,
 )
 from .registry import QUERIES, SQL
 
