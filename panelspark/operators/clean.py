@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import pin
 
@@ -91,6 +92,18 @@ def classify(
     return joined.select(*df.columns, F.coalesce("_group", F.lit(default)).alias(out))
 
 
+def literal_rows(spark: SparkSession, rows: Iterable[tuple], names: Iterable[str], kinds: Iterable[str]) -> DataFrame:
+    """Rows given in the program as one literal of the plan; names are plain words.
+
+    One literal however many rows, folded when the plan is optimised. ``createDataFrame`` would ship
+    the rows as an RDD made by Python instead.
+    """
+    names = list(names)
+    schema = f"array<struct<{', '.join(f'{n}: {k}' for n, k in zip(names, kinds))}>>"
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), schema)))
+
+
 def first_listed(groups: Mapping[str, Iterable]) -> dict:
     """code -> the first group that lists it."""
     first: dict = {}
@@ -104,6 +117,6 @@ def _join_mapping(df: DataFrame, code: str, mapping: dict, out: str) -> DataFram
     if not mapping:
         return df.withColumn(out, F.lit(None).cast("string"))
     kind = df.schema[code].dataType.simpleString()
-    rows = df.sparkSession.createDataFrame(list(mapping.items()), ["_code", out])
+    rows = literal_rows(df.sparkSession, [(str(k), v) for k, v in mapping.items() if k is not None], ("_code", out), ("string", "string"))
     rows = rows.select(F.col("_code").cast(kind).alias("_code"), out)
     return df.join(F.broadcast(rows), F.col(code) == F.col("_code"), "left").drop("_code")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+from .clean import literal_rows
 
 
 def check_not_null(df: DataFrame, cols: Iterable[str], table: str = "") -> DataFrame:
@@ -24,6 +26,33 @@ def check_not_null(df: DataFrame, cols: Iterable[str], table: str = "") -> DataF
     return one.select(F.inline(F.array(*lines)))
 
 
+class ObservedChecks:
+    """Not-null checks that ride along with the write of what they check: no second scan.
+
+    :meth:`watch` returns the frame to write, :meth:`results` what was seen, once all of it is written. Watch the frame as it goes
+    into a write: the result tasks of a job are counted once even if one of them runs again,
+    what lies below a shuffle may count twice then (a NULL is still found, and none invented).
+    """
+
+    def __init__(self) -> None:
+        self._watched: list[tuple[str, list[str], Observation]] = []
+
+    def watch(self, df: DataFrame, table: str, cols: Iterable[str]) -> DataFrame:
+        cols = list(cols)
+        seen = Observation(f"checks of {table}")
+        self._watched.append((table, cols, seen))
+        counts = [F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(cols)]
+        return df.observe(seen, F.count(F.lit(1)).alias("_rows"), *counts)
+
+    def results(self, spark: SparkSession) -> DataFrame:
+        """(table, column, rows, failures), one row per watched column. Waits for writes that have not ended."""
+        lines = []
+        for table, cols, seen in self._watched:
+            got = seen.get
+            lines += [(table, c, got["_rows"], got[f"_{i}"]) for i, c in enumerate(cols)]
+        return literal_rows(spark, lines, ("table", "column", "rows", "failures"), ("string", "string", "bigint", "bigint"))
+
+
 def check_missing_series(df: DataFrame, series: str, snapshot: str) -> DataFrame:
     """Series whose newest snapshot is older than the newest of all: (series, last_seen, newest)."""
     last = df.groupBy(series).agg(F.max(snapshot).alias("last_seen"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import pin
 
@@ -26,7 +26,8 @@ def latest_snapshot(df: DataFrame, by: str | None = None, per: Iterable[str] = (
     then becomes a partition filter and older snapshots are never opened. With
     ``per`` the newest snapshot is chosen per key (e.g. per series), which keeps
     a series that the newest snapshot lost; the one row per key is pinned, so its
-    real size decides whether it is broadcast.
+    real size decides whether it is broadcast. For a registered table
+    :func:`newest_partition` finds the date without reading it.
     """
     if by is None:
         by = SNAPSHOT_PARTITION if SNAPSHOT_PARTITION in df.columns else "extracted_at"
@@ -37,6 +38,19 @@ def latest_snapshot(df: DataFrame, by: str | None = None, per: Iterable[str] = (
     return df.join(newest, [*per, by], "left_semi").select(*df.columns)
 
 
+def newest_partition(spark: SparkSession, table: str, column: str = SNAPSHOT_PARTITION) -> str | None:
+    """Greatest value of the partition ``column`` of a registered table, as text, from the catalog's list of partitions.
+
+    No file is opened. As a literal it prunes partitions when the plan is made, where the maximum
+    over the column would be a scan of its own. Whole numbers compare as such; None without partitions.
+    """
+    parts = spark.sql(f"SHOW PARTITIONS {table}")
+    value = F.url_decode(F.regexp_extract("partition", f"(?:^|/){re.escape(column)}=([^/]*)", 1))
+    found = parts.select(value.alias("v")).where("v NOT IN ('', '__HIVE_DEFAULT_PARTITION__')")
+    first = found.agg(F.max_by("v", F.struct(F.expr("try_cast(v AS decimal(38,0))"), "v")).alias("v")).first()
+    return first.v
+
+
 def unpivot_periods(
     df: DataFrame,
     ids: Iterable[str],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.align import align_union
 from ..operators.clean import classify, clean_codes
-from ..operators.quality import check_missing_series, check_not_null, check_range, check_unique
+from ..operators.quality import ObservedChecks, check_missing_series, check_not_null, check_range, check_unique
 from ..operators.reshape import SNAPSHOT_PARTITION, latest_snapshot
 from ..sources.sinks import publish_table, publish_view
 from .marts import regional_rollup, service_mart, stage_panel, stage_sheet, stocks_mart_from_wide
@@ -37,34 +37,52 @@ def build_annual(
     raw: str = RAW_ANNUAL,
     root: str | None = None,
     only: tuple[str, ...] = (MART_STOCKS, MART_REGIONAL),
+    checks: ObservedChecks | None = None,
+    buckets: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Staged view, stocks mart (partitioned by year, clustered) and regional mart, or ``only`` one of the two."""
+    """Staged view, stocks mart (partitioned by year, clustered) and regional mart, or ``only`` one of the two.
+
+    With ``buckets`` the stocks mart is bucketed by entity instead of clustered: joins and aggregates per
+    entity then need no shuffle of it. ``checks`` carries the not-null checks of the marts written, and
+    those of the staged view, whose rows go into the regional mart.
+    """
     landed = source(spark, raw)
+    not_null = not_null_columns(panel=spec)
     staged = publish_view(stage_panel(landed, spec), STAGED_ANNUAL)
     built = {STAGED_ANNUAL: staged}
     if MART_STOCKS in only:
+        layout = {"bucket_by": [spec.entity], "buckets": buckets} if buckets else {"cluster_by": [spec.entity, spec.series]}
         built[MART_STOCKS] = publish_table(
-            stocks_mart_from_wide(landed, spec), MART_STOCKS,
-            [spec.period], [spec.entity, spec.series], _below(root, MART_STOCKS),
+            stocks_mart_from_wide(landed, spec), MART_STOCKS, [spec.period], path=_below(root, MART_STOCKS),
+            checks=checks, not_null=not_null[MART_STOCKS], **layout,
         )
     if MART_REGIONAL in only:
+        watched = checks.watch(staged, STAGED_ANNUAL, not_null[STAGED_ANNUAL]) if checks else staged
         built[MART_REGIONAL] = publish_table(
-            regional_rollup(staged, spec), MART_REGIONAL,
-            cluster_by=[spec.group, spec.series], path=_below(root, MART_REGIONAL),
+            regional_rollup(watched, spec), MART_REGIONAL, cluster_by=[spec.group, spec.series],
+            path=_below(root, MART_REGIONAL), checks=checks, not_null=not_null[MART_REGIONAL],
         )
     return built
 
 
 def build_quarterly(
-    spark: SparkSession, spec: SheetSpec = QUARTERLY, raw: str = RAW_QUARTERLY, root: str | None = None
+    spark: SparkSession,
+    spec: SheetSpec = QUARTERLY,
+    raw: str = RAW_QUARTERLY,
+    root: str | None = None,
+    checks: ObservedChecks | None = None,
+    buckets: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Staged view and service mart (clustered)."""
+    """Staged view and service mart (clustered, with ``buckets`` bucketed by entity); ``checks`` carries the checks of both."""
+    not_null = not_null_columns(sheet=spec)
     staged = publish_view(stage_sheet(source(spark, raw), spec), STAGED_QUARTERLY)
+    watched = checks.watch(staged, STAGED_QUARTERLY, not_null[STAGED_QUARTERLY]) if checks else staged
+    layout = {"bucket_by": [spec.entity], "buckets": buckets} if buckets else {"cluster_by": [spec.entity, "source_table"]}
     return {
         STAGED_QUARTERLY: staged,
         MART_SERVICE: publish_table(
-            service_mart(staged, spec), MART_SERVICE,
-            cluster_by=[spec.entity, "source_table"], path=_below(root, MART_SERVICE),
+            service_mart(watched, spec), MART_SERVICE, path=_below(root, MART_SERVICE),
+            checks=checks, not_null=not_null[MART_SERVICE], **layout,
         ),
     }
 
@@ -88,10 +106,20 @@ def run_not_null_tests(
     columns: Mapping[str, tuple[str, ...]] = NOT_NULL,
     lookup: Callable[[SparkSession, str], DataFrame] = model,
 ) -> DataFrame:
-    """All not-null tests: (table, column, rows, failures)."""
+    """All not-null tests on tables and views as they are: (table, column, rows, failures).
+
+    This reads them. A build that is given :class:`~panelspark.operators.quality.ObservedChecks` has counted already.
+    """
     return align_union(check_not_null(lookup(spark, name), cols, name) for name, cols in columns.items())
 
 
+def total_is_lost(spark: SparkSession, spec: PanelSpec = ANNUAL, raw: str = RAW_ANNUAL) -> bool:
+    """The newest snapshot has no row of the total series, so every total and share would be NULL."""
+    landed = source(spark, raw)
+    newest = landed if spec.one_snapshot else latest_snapshot(landed, spec.snapshot)
+    return newest.withColumnsRenamed(dict(spec.renames)).where(F.col(spec.series) == spec.total_series).isEmpty()
+
+
 # First and last year an annual panel may have.
 FIRST_YEAR, LAST_YEAR = 1998, 2025
 

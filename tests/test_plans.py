@@ -65,6 +65,59 @@ def test_listed_rollup_shuffles_no_entity(landed):
     assert plan_of(counted).count("Exchange hashpartitioning") == 2
 
 
+def test_code_lists_are_literals(landed):
+    """Any length, one literal: no rows from Python, and no expression per code."""
+    staged = stage_panel(landed)
+    many = {f"C{i}": f"label 'of' \"{i}\"" for i in range(5000)}
+    frames = (
+        label_codes(staged, "country_code", many | {"KEN": "K\n"}),
+        classify(staged, "country_code", {"A": ["KEN", None], "B": ["KEN", *many]}),
+        rollup_listed(staged, ["series_code"], "country_code", "debt_value_usd", {"A": ["KEN"], "B": list(many)}),
+        label_codes(staged, "year", {}), classify(staged, "year", {"early": [2000, 2001]}),
+    )
+    for df in frames:
+        assert "ExistingRDD" not in plan_of(df) and "LocalTableScan" not in plan_of(df)
+        df.collect()
+    assert {r.label for r in frames[0].where("country_code = 'KEN'").select("label").collect()} == {"K\n"}
+    assert {r.group for r in frames[4].where("year = 2000").select("group").collect()} == {"early"}
+
+
+def exchanges_below(lines, join):
+    """Exchanges of the join's two inputs, found by indentation."""
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    sides, at = [], depth(lines[join])
+    for line in lines[join + 1 :]:
+        if depth(line) <= at:
+            break
+        if not sides or depth(line) == at + 3:
+            sides.append(0)
+        sides[-1] += "Exchange" in line
+    return sides
+
+
+@pytest.mark.parametrize("name, shuffled", [("served_top_then_track_bucketed", 1), ("mart_pressure_bucketed", 0)])
+def test_bucketed_marts_join_without_a_shuffle(spark, name, shuffled):
+    """No exchange below the join on the side of the bucketed mart; the leaders come from a limit."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = QUERIES[name](spark, SF)
+        if name.startswith("mart_pressure"):  # the rank pins what it ranks: its own input is the frame to look at
+            stocks, service = spark.table("mart_stocks"), spark.table("service_of_countries")
+            owed = stocks.where("year = 1996").groupBy("country_code").agg(F.sum("debt_value_usd").alias("debt"))
+            df = service.groupBy("country_code").agg(F.sum("total_1996_payments").alias("paid")).join(owed, "country_code", "left")
+        lines = plan_of(df).splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    joins = [i for i, line in enumerate(lines) if "Join" in line]
+    sides = exchanges_below(lines, joins[0])
+    assert sides[0] == 0 and sum(x > 0 for x in sides) <= shuffled
+    assert "Bucketed: true" in "\n".join(lines)
+
+
 def test_top_n_keeps_n_rows_per_task(landed):
     assert "TakeOrderedAndProject" in plan_of(top_n(stage_panel(landed), 3, "debt_value_usd", ["country_code"]))
 
@@ -80,7 +133,7 @@ def test_scorecard_reads_two_columns(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("write_", "build_", "publish_table"))])
 def test_no_python_and_no_cross_joins(spark, name):
     plan = plan_of(QUERIES[name](spark, SF))
-    for banned in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+    for banned in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin", "ExistingRDD"):
         assert banned not in plan
 
 

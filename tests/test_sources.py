@@ -4,9 +4,9 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
-from panelspark.operators import latest_snapshot
+from panelspark.operators import ObservedChecks, latest_snapshot, newest_partition
 from panelspark.plans import build_annual, build_quarterly, model, scorecard, slice_panel, source
 from panelspark.__main__ import main
 from panelspark.plans.land import land_annual
@@ -134,6 +134,118 @@ def test_clustered_table_is_sorted_and_spread(spark, tmp_path):
     assert sum(h > 0 for h in hot) > 1 and max(hot) < 2000 and sum(hot) == 3000
 
 
+def file_ranges(table, key):
+    """(least, greatest, rows) of ``key`` in each file."""
+    per_file = table.groupBy(F.input_file_name().alias("f")).agg(F.min(key), F.max(key), F.count(F.lit(1)))
+    return sorted(tuple(r)[1:] for r in per_file.collect())
+
+
+def test_clustered_files_hold_stretches(spark, tmp_path, monkeypatch):
+    """One entity's filter admits a tenth of the files at most, every row is made once, a hot entity is split."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    n = 200_000
+    hot = F.col("id") % 5 == 0
+    entity = F.when(hot, F.lit("E0500")).otherwise(F.format_string("E%04d", F.pmod(F.hash("id"), F.lit(1000))))
+    made = Observation("made")
+    df = spark.range(0, n, 1, 8).select(entity.alias("entity"), F.col("id")).observe(made, F.count(F.lit(1)).alias("rows"))
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        table = publish_table(df, "stretches", cluster_by=["entity"], path=str(tmp_path / "stretches"))
+        ranges = file_ranges(table, "entity")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert made.get["rows"] == n == sum(r[2] for r in ranges)
+    for wanted in ("E0003", "E0250", "E0777", "E0999"):
+        assert 1 <= sum(low <= wanted <= high for low, high, _ in ranges) <= len(ranges) / 10
+    hot_files = [r for r in ranges if r[0] <= "E0500" <= r[1]]
+    assert len(hot_files) >= 5 and max(r[2] for r in ranges) < 3 * n / len(ranges)
+
+
+def test_bucketed_table_splits_a_hot_key(spark, tmp_path):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    df = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.rand(1).alias("v"))
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        table = publish_table(df, "in_buckets", path=str(tmp_path / "in_buckets"), bucket_by=["k"], buckets=6)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = table.where("k = 7").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 26_666 == table.where("k = 7").count()
+    assert "SelectedBucketsCount: 1 out of 6" in plan_of(table.where("k = 7").groupBy("k").count())
+    with pytest.raises(ValueError):
+        publish_table(df, "both", bucket_by=["k"], cluster_by=["k"])
+
+
+def test_checks_ride_along_with_the_write(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, None)], "k int, v string")
+    checks = ObservedChecks()
+    publish_table(df, "watched", path=str(tmp_path / "w"), cluster_by=["k"], checks=checks, not_null=["k", "v"])
+    publish_table(df.limit(0), "watched_empty", path=str(tmp_path / "e"), checks=checks, not_null=["k"])
+    assert [tuple(r) for r in checks.results(spark).collect()] == [
+        ("watched", "k", 3, 1), ("watched", "v", 3, 2), ("watched_empty", "k", 0, 0)
+    ]
+
+
+def test_checks_of_a_build_equal_those_that_read(spark, tmp_path):
+    publish_view(raw_annual(spark), RAW_ANNUAL)
+    publish_view(raw_quarterly(spark), RAW_QUARTERLY)
+    checks = ObservedChecks()
+    build_annual(spark, root=str(tmp_path), checks=checks, buckets=3)
+    build_quarterly(spark, root=str(tmp_path), checks=checks)
+    seen = {tuple(r) for r in checks.results(spark).collect()}
+    assert seen == {tuple(r) for r in run_not_null_tests(spark).collect()} and len(seen) == 11
+
+
+def test_newest_partition_comes_from_the_catalog(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    write_snapshot(frame(spark, 3, "a"), path, "2025-01-01")
+    write_snapshot(frame(spark, 4, "b"), path, "2025-04-01")
+    table = register_snapshots(spark, "dated", path)
+    newest = newest_partition(spark, "dated")
+    assert newest == "2025-04-01"
+    latest = table.where(F.col("extracted_date") == F.lit(newest).cast("date"))
+    scan = [line for line in plan_of(latest).splitlines() if "FileScan" in line][0]
+    assert "Subquery" not in plan_of(latest) and "(extracted_date" in scan.split("PartitionFilters")[1] and "2025-04-01" in scan
+    assert latest.count() == 4
+    years = spark.range(12).select("id", (F.col("id") + 995).alias("year"), F.lit("a b/c").alias("place"))
+    publish_table(years, "years", ["year", "place"], path=str(tmp_path / "years"))
+    assert newest_partition(spark, "years", "year") == "1006" and newest_partition(spark, "years", "place") == "a b/c"
+    publish_table(years.limit(0), "no_years", ["year"], path=str(tmp_path / "none"))
+    assert newest_partition(spark, "no_years", "year") is None
+
+
+def test_command_line_build_stops_without_the_total(spark, tmp_path, capsys, monkeypatch):
+    for name, raw in (("a", raw_annual(spark).where("series_code <> 'DT.DOD.DECT.CD'")), ("q", raw_quarterly(spark))):
+        write_snapshot(raw.where("extracted_at = '2025-04-01'"), str(tmp_path / name), "2025-04-01")
+    monkeypatch.setattr("panelspark.__main__.panel_session", lambda *_: spark)
+    paths = ["--annual", str(tmp_path / "a"), "--quarterly", str(tmp_path / "q"), "--output", str(tmp_path / "out")]
+    assert main(paths) == 2
+    assert "no row of series DT.DOD.DECT.CD" in capsys.readouterr().out and not os.path.exists(tmp_path / "out")
+
+
+def test_paths_that_only_the_readers_of_spark_open(spark, tmp_path):
+    """A store of another scheme: nothing here opens paths by itself."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.lake.link./data", f"file://{tmp_path}")
+    root = "viewfs://lake/data"
+    write_snapshot(frame(spark, 3, "a"), f"{root}/snap", "2025-01-01")
+    write_snapshot(frame(spark, 4, "b"), f"{root}/snap", "2025-04-01", cluster_by=["id"])
+    assert open_snapshots(spark, f"{root}/snap", "latest").count() == 4
+    assert register_snapshots(spark, "in_store", f"{root}/snap").count() == 7
+    table = publish_table(frame(spark, 9, "c"), "published_in_store", ["tag"], ["id"], f"{root}/table")
+    assert table.where("tag = 'c'").count() == 9 and glob.glob(f"{tmp_path}/table/tag=c/*.parquet")
+    spark.createDataFrame([("KEN", "1")], ["Country Code", "2021Q1"]).write.parquet(f"{root}/sheets/book/sheet 1")
+    spark.createDataFrame([("EGY", "2")], ["Country Code", "2021Q2"]).write.option("header", "true").csv(f"{root}/csv/book/sheet 2")
+    assert read_sheets(spark, f"{root}/sheets").select("country_code", "source_table", "sheet_name").first() == ("KEN", "book", "sheet 1")
+    assert read_sheets(spark, f"{root}/csv", "csv").select("country_code", "q_2021q2", "sheet_name").first() == ("EGY", "2", "sheet 2")
+
+
 def test_views_and_sources(spark):
     publish_view(spark.range(3).toDF("x"), "some_view")
     assert source(spark, "some_view").count() == 3 == model(spark, "some_view").count()

@@ -6,12 +6,12 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import latest_snapshot, stringify
+from panelspark.operators import ObservedChecks, latest_snapshot, newest_partition, stringify
 from panelspark.plans import (
     CLEAN_SHEET, build_annual, build_quarterly, model, service_mart, stage_panel, stage_sheet, stocks_mart_from_wide,
 )
 from panelspark.plans.build import (
-    MART_REGIONAL, MART_SERVICE, MART_STOCKS, RAW_ANNUAL, RAW_QUARTERLY, build_report, run_not_null_tests,
+    MART_REGIONAL, MART_SERVICE, MART_STOCKS, NOT_NULL, RAW_ANNUAL, RAW_QUARTERLY, STAGED_QUARTERLY, build_report, run_not_null_tests,
 )
 from panelspark.plans.land import land_annual, land_quarterly
 from panelspark.session import pin, scratch_path
@@ -183,6 +183,15 @@ def external_table(spark, sf_dir):
     return _per_snapshot(register_snapshots(spark, "landed_events", _three_landings(spark, sf_dir)))
 
 
+@query("register_snapshots_latest", f"""with {_DAILY}
+select event_type, count(*) "rows", cast(sum(cast(value as decimal(18,2))) as double) total from daily group by 1""")
+def newest_of_external_table(spark, sf_dir):
+    """The date comes from the catalog's partitions and is a literal in the plan."""
+    table = register_snapshots(spark, "landed_events_dated", _three_landings(spark, sf_dir))
+    newest = table.where(F.col("extracted_date") == F.lit(newest_partition(spark, "landed_events_dated")).cast("date"))
+    return _per_snapshot(newest).drop("extracted_date")
+
+
 @query("open_snapshots", f"with {_DAILY} select * from daily")
 def newest_snapshot(spark, sf_dir):
     """The newest partition is found and read alone."""
@@ -210,23 +219,23 @@ def service_clustered(spark, sf_dir):
     )
 
 
-def _build_annual(spark, sf_dir, *only):
+def _build_annual(spark, sf_dir, *only, **options):
     """Two landed snapshots, then the staged view and the annual marts asked for below a new root."""
     root = scratch_path(spark, "warehouse")
     landed = f"{root}/landed_annual"
     write_snapshot(stringify(raw_country_panel(spark, sf_dir, 2000, "2000-12-31")), landed, "2000-12-31")
     write_snapshot(stringify(raw_country_panel(spark, sf_dir)), landed, EXTRACTED_AT)
     publish_view(open_snapshots(spark, landed), RAW_ANNUAL)
-    return build_annual(spark, replace(COUNTRY_PANEL, one_snapshot=False), root=f"{root}/marts", only=only)
+    return build_annual(spark, replace(COUNTRY_PANEL, one_snapshot=False), root=f"{root}/marts", only=only, **options)
 
 
-def _build_quarterly(spark, sf_dir):
+def _build_quarterly(spark, sf_dir, **options):
     """A landed snapshot, then the staged view and the service mart below a new root."""
     root = scratch_path(spark, "warehouse")
     landed = f"{root}/landed_quarterly"
     write_snapshot(stringify(raw_supplier_sheet(spark, sf_dir)), landed, EXTRACTED_AT)
     publish_view(open_snapshots(spark, landed), RAW_QUARTERLY)
-    return build_quarterly(spark, replace(SUPPLIER_SHEET, one_snapshot=False), root=f"{root}/marts")
+    return build_quarterly(spark, replace(SUPPLIER_SHEET, one_snapshot=False), root=f"{root}/marts", **options)
 
 
 @query("build_stocks", f"with {COUNTRY_STOCKS_SQL} select * from stocks")
@@ -235,6 +244,22 @@ def built_stocks(spark, sf_dir):
     return model(spark, MART_STOCKS)
 
 
+@query("build_stocks_bucketed", f"with {COUNTRY_STOCKS_SQL} select * from stocks")
+def built_stocks_in_buckets(spark, sf_dir):
+    _build_annual(spark, sf_dir, MART_STOCKS, buckets=4)
+    return model(spark, MART_STOCKS)
+
+
+@query("not_null_tests_reading", f"""with {SUPPLIER_SERVICE_SQL}
+select unnest(['staged_quarterly', 'staged_quarterly', 'mart_service']) "table",
+       unnest(['country_code', 'series_code', 'country_code']) "column",
+       unnest([(select count(*) from sheet), (select count(*) from sheet), (select count(*) from service)]) "rows", cast(0 as bigint) failures""")
+def quarterly_not_null_tests(spark, sf_dir):
+    """On a published table and a view, read for it."""
+    _build_quarterly(spark, sf_dir)
+    return run_not_null_tests(spark, {t: NOT_NULL[t] for t in (STAGED_QUARTERLY, MART_SERVICE)})
+
+
 @query("build_regional", f"""with {COUNTRY_STAGED_SQL}, {_COUNTRY_REGIONS_SQL}
 select region, series_code, series_description, "year", {_ROLLUP}
 from placed where region <> 'Other' group by 1, 2, 3, 4""")
@@ -259,9 +284,11 @@ sizes as (
   union all select 'mart_service', count(*), ['country_code'] from service)
 select "table", unnest(cols) "column", n "rows", cast(0 as bigint) failures from sizes""")
 def all_not_null_tests(spark, sf_dir):
-    _build_annual(spark, sf_dir, MART_STOCKS, MART_REGIONAL)
-    _build_quarterly(spark, sf_dir)
-    return run_not_null_tests(spark)
+    """Counted while the marts are written."""
+    checks = ObservedChecks()
+    _build_annual(spark, sf_dir, MART_STOCKS, MART_REGIONAL, checks=checks)
+    _build_quarterly(spark, sf_dir, checks=checks)
+    return checks.results(spark)
 
 
 @query("build_report", f"""with {COUNTRY_STAGED_SQL}, {_COUNTRY_REGIONS_SQL}

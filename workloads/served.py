@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from panelspark.operators import newest_partition
 from panelspark.plans import (
     UNITS, composition, mart_pressure, scorecard, service_mart, service_table, slice_panel, stage_sheet, top_entities,
     top_then_track, trend,
@@ -25,8 +26,8 @@ TOTAL, PUBLIC, PRIVATE = "DT.DOD.DECT.CD", "DT.DOD.DPPG.CD", "DT.DOD.DPNG.CD"
 _SUM = "cast(sum(cast(debt_value_usd as decimal(18,2))) as double)"
 
 
-def published_stocks(spark, sf_dir):
-    return _build_annual(spark, sf_dir, MART_STOCKS)[MART_STOCKS]
+def published_stocks(spark, sf_dir, **options):
+    return _build_annual(spark, sf_dir, MART_STOCKS, **options)[MART_STOCKS]
 
 
 @query("served_scorecard", f"""with {COUNTRY_STOCKS_SQL}
@@ -39,7 +40,10 @@ def total_of_a_year(spark, sf_dir):
 @query("served_series_scorecard", f"""with {COUNTRY_STOCKS_SQL}
 select series_code, "year", {_SUM} total from stocks where "year" = (select max("year") from stocks) group by 1, 2""")
 def newest_per_series(spark, sf_dir):
-    card = scorecard(published_stocks(spark, sf_dir), "debt_value_usd", "year", by=["series_code"], decimals=2)
+    """The newest year is the name of a partition; only its directory is opened."""
+    stocks = published_stocks(spark, sf_dir)
+    newest = int(newest_partition(spark, MART_STOCKS, "year"))
+    card = scorecard(stocks, "debt_value_usd", "year", at=newest, by=["series_code"], decimals=2)
     return card.withColumn("year", F.col("year").cast("bigint"))
 
 
@@ -58,15 +62,24 @@ def five_largest(spark, sf_dir):
     return top.withColumn("year", F.col("year").cast("bigint"))
 
 
-@query("served_top_then_track", f"""with {COUNTRY_STOCKS_SQL},
+_TRACKED_SQL = f"""with {COUNTRY_STOCKS_SQL},
 leaders as (
   select country_code from stocks where series_code = '{TOTAL}' and "year" = 2000
   order by debt_value_usd desc, country_code limit 3)
 select country_code, "year", debt_value_usd from stocks join leaders using (country_code)
-where series_code = '{PRIVATE}' and "year" >= 1997""")
-def tracked_leaders(spark, sf_dir):
+where series_code = '{PRIVATE}' and "year" >= 1997"""
+
+
+@query("served_top_then_track_bucketed", _TRACKED_SQL)
+def tracked_leaders_in_buckets(spark, sf_dir):
+    """The tracked side of the join is read in buckets, without a shuffle."""
+    return tracked_leaders(spark, sf_dir, buckets=4)
+
+
+@query("served_top_then_track", _TRACKED_SQL)
+def tracked_leaders(spark, sf_dir, **options):
     tracked = top_then_track(
-        published_stocks(spark, sf_dir), 3, "country_code", "year", "series_code", "debt_value_usd",
+        published_stocks(spark, sf_dir, **options), 3, "country_code", "year", "series_code", "debt_value_usd",
         rank_on=TOTAL, track=PRIVATE, since=1997, at=2000,
     )
     return tracked.withColumn("year", F.col("year").cast("bigint"))
@@ -105,7 +118,7 @@ def payments_per_supplier(spark, sf_dir):
 _CODES = ", ".join(f"'{c}'" for c in NATION_CODES)
 
 
-@query("mart_pressure", f"""with {COUNTRY_STOCKS_SQL}, {SUPPLIER_SERVICE_SQL},
+_PRESSURE_SQL = f"""with {COUNTRY_STOCKS_SQL}, {SUPPLIER_SERVICE_SQL},
 paid as (
   select list_extract([{_CODES}], s_nationkey + 1) country_code,
          cast(sum(cast(total_1996_payments * 1000 as decimal(18,2))) as double) total_1996_payments
@@ -114,8 +127,17 @@ owed as (select country_code, debt_value_usd from stocks where series_code = '{T
 select country_code, total_1996_payments, debt_value_usd,
        total_1996_payments / nullif(debt_value_usd, 0) * 100 pressure_pct,
        cast(rank() over (order by total_1996_payments / nullif(debt_value_usd, 0) * 100 desc nulls last) as bigint) pressure_rank
-from paid left join owed using (country_code)""")
-def pressure_of_marts(spark, sf_dir):
+from paid left join owed using (country_code)"""
+
+
+@query("mart_pressure_bucketed", _PRESSURE_SQL)
+def pressure_of_bucketed_marts(spark, sf_dir):
+    """Both marts in as many buckets by country: sums and join need no shuffle."""
+    return pressure_of_marts(spark, sf_dir, {"bucket_by": ["country_code"], "buckets": 4}, buckets=4)
+
+
+@query("mart_pressure", _PRESSURE_SQL)
+def pressure_of_marts(spark, sf_dir, layout=None, **options):
     """Sheets in thousands, by the supplier's country, against the total series of the published stocks mart."""
     raw = raw_supplier_sheet(spark, sf_dir).withColumn("scale_precision", F.lit("Thousands"))
     code = F.element_at(F.array(*[F.lit(c) for c in NATION_CODES]), F.col("s_nationkey") + 1)
@@ -123,7 +145,7 @@ def pressure_of_marts(spark, sf_dir):
     raw = raw.join(homes, "country_code").withColumn("country_code", F.col("_code")).drop("_code")
     spec = replace(SUPPLIER_SHEET, units=UNITS)
     service = publish_table(
-        service_mart(stage_sheet(raw, spec), spec), "service_of_countries", cluster_by=["country_code"],
-        path=scratch_path(spark, "service_of_countries"),
+        service_mart(stage_sheet(raw, spec), spec), "service_of_countries",
+        path=scratch_path(spark, "service_of_countries"), **(layout or {"cluster_by": ["country_code"]}),
     )
-    return mart_pressure(service, published_stocks(spark, sf_dir), 1996, spec, decimals=2)
+    return mart_pressure(service, published_stocks(spark, sf_dir, **options), 1996, spec, decimals=2)
