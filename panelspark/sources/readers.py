@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import logging
 import re
 from collections.abc import Callable, Iterable, Mapping
@@ -11,7 +12,7 @@ from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.names import header_name, unique_names
@@ -40,11 +41,56 @@ def read_panel(
     return df if series is None else df.where(F.col(series_column).isin(list(series)))
 
 
-def _csv_header(spark: SparkSession, path: str, options: Mapping[str, str]) -> list[str]:
-    """Column names as the file's first line has them; Spark's reader would rename repeats."""
-    lines = spark.read.text(path).head(1)
-    cut = options.get("sep", options.get("delimiter", ","))
-    return next(csv.reader([lines[0].value], delimiter=cut, quotechar=options.get("quote", '"')), []) if lines else []
+def _csv_headers(spark: SparkSession, paths: list[str], options: Mapping[str, str]) -> dict[str, tuple[list[str], bool]]:
+    """Per file the names of its first record, and whether that record is longer than a line.
+
+    Spark's own reader would rename repeats. Tasks find the first line of every file in one job. A line with an odd
+    number of quotes goes on: of such files the first lines are fetched, twice as many until all records
+    are whole, so the number of jobs depends on the longest header and not on the number of files.
+    """
+    quote, cut = options.get("quote", '"'), options.get("sep", options.get("delimiter", ","))
+    encoded = {k: v for k, v in options.items() if k in ("encoding", "charset", "lineSep")}
+
+    def first_lines(some: list[str], n: int) -> dict[str, list[str]]:
+        lines = spark.read.options(**encoded).text(some).where("_metadata.file_block_start = 0").select(
+            _file_path().alias("path"), F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line")
+        )
+        if n == 1:  # combines before the shuffle without a sort
+            firsts = lines.groupBy("path").agg(F.array(F.min("line")).alias("lines"))
+        else:
+            nth = F.row_number().over(Window.partitionBy("path").orderBy("line.at"))
+            firsts = lines.withColumn("nth", nth).where(F.col("nth") <= n).groupBy("path").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+        return {r.path: [line.value for line in r.lines] for r in firsts.collect()}
+
+    found, some, n = {}, paths, 1
+    while some:
+        lines = first_lines(some, n)
+        ends = {p: _record_end(x, quote, whole=len(x) < n) for p, x in lines.items()}
+        for p, end in ends.items():
+            if end is not None:
+                text = io.StringIO("\n".join(lines[p][:end]), newline="")
+                found[p] = (next(csv.reader(text, delimiter=cut, quotechar=quote or None, quoting=csv.QUOTE_MINIMAL if quote else csv.QUOTE_NONE), []), end > 1)
+        some, n = [p for p, end in ends.items() if end is None], max(16, 2 * n)
+    return found
+
+
+def _record_end(lines: list[str], quote: str, whole: bool) -> int | None:
+    """Number of lines of the first record; None if it needs more lines, of which there are none if they are the ``whole`` file."""
+    quotes = 0
+    for i, line in enumerate(lines):
+        quotes += line.count(quote) if quote else 0
+        if quotes % 2 == 0:
+            return i + 1
+    return len(lines) if whole else None
+
+
+def _bare(path: str) -> str:
+    """The path with one slash after its scheme, however many it is written with."""
+    return re.sub(r"^(\w+):/+", r"\1:/", path)
+
+
+def _file_path() -> Column:
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def read_sheets(
@@ -61,6 +107,9 @@ def read_sheets(
     per shape; CSV files take them from their first line. A cell that is empty
     becomes ``missing``, a column that a file does not have stays NULL, also
     where other files of its sheet have it. ``source_table`` and ``sheet_name`` come from the path.
+
+    The headers of all CSV files are found in one job (:func:`_csv_headers`); a quoted header may hold line breaks, and then its file
+    is read record by record. Files with a schema of their own take one short job each, for the footer.
     """
     base = re.escape(unquote(root.rstrip("/").split(":", 1)[-1].lstrip("/")))
     place = rf"{base}/([^/]+)/([^/]+?)(?:/[^/]*)?(?:\.[^/.]+)?$"
@@ -70,24 +119,27 @@ def read_sheets(
         raise RuntimeError(f"no {fmt} sheet below {root}")
     reader = spark.read.format(fmt).options(**options)
 
-    def shape(path: str) -> StructType:
-        path = unquote(path)
-        if fmt != "csv":
-            return reader.load(path).schema
+    paths = [unquote(p) for p in paths]
+    if fmt == "csv":
         # Only text is wanted of it, so no type is guessed.
-        names = unique_names(header_name(name) for name in _csv_header(spark, path, options))
-        return StructType([StructField(name, StringType()) for name in names])
-
-    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
-        shapes = list(pool.map(shape, paths))
-    by_shape: dict[str, tuple[StructType, list[str]]] = {}
-    for schema, path in zip(shapes, paths):
+        headers = {_bare(p): x for p, x in _csv_headers(spark, paths, options).items()}
+        found = [headers.get(_bare(p), ([], False)) for p in paths]
+        shapes = [StructType([StructField(n, StringType()) for n in unique_names(map(header_name, names))]) for names, _ in found]
+        long_header = [broken for _, broken in found]
+    else:
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            shapes = list(pool.map(lambda p: reader.load(p).schema, paths))
+        long_header = [False] * len(paths)
+    by_shape: dict[tuple[str, bool], tuple[StructType, list[str]]] = {}
+    for schema, broken, path in zip(shapes, long_header, paths):
         if schema.fields:
-            by_shape.setdefault(schema.json(), (schema, []))[1].append(unquote(path))
+            by_shape.setdefault((schema.json(), broken), (schema, []))[1].append(path)
     frames = []
-    for schema, some in by_shape.values():
-        shaped = reader.option("header", "true").schema(schema) if fmt == "csv" else reader.schema(schema)
-        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    for (_, broken), (schema, some) in by_shape.items():
+        shaped = spark.read.format(fmt).options(**options).schema(schema)
+        if fmt == "csv":
+            shaped = shaped.options(header="true", **({"multiLine": "true"} if broken else {}))
+        path = _file_path()
         tagged = shaped.load(some).select(
             *[F.col(f"`{c}`") for c in schema.names],
             F.regexp_extract(path, place, 1).alias("source_table"),

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import (
     align_union, attach_total, check_missing_series, check_not_null, check_range, check_unique, classify,
-    clean_codes, dedupe_names, label_codes, latest_snapshot, normalize_headers, pct_change, period_columns,
-    prefix_numeric_columns, previous_value, require_present, rollup_by_group, rollup_listed, row_average,
+    clean_codes, dedupe_names, label_codes, latest_snapshot, merge_rollups, normalize_headers, pct_change, period_columns,
+    prefix_numeric_columns, previous_value, require_present, rollup_by_group, rollup_listed, rollup_sketch, row_average,
     row_total, service_pressure, share_of_total, spread_series, stamp, stringify, top_n, unpivot_periods,
 )
 from panelspark.sources import load_all, observe_counts
@@ -275,3 +275,24 @@ def test_checks(spark, rows):
 def test_missing_series(spark, rows):
     df = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "2")], "s string, snap string")
     assert rows(check_missing_series(df, "s", "snap")) == [("b", "1", "2")]
+
+
+def test_rollup_sketches_merge(spark, tmp_path):
+    """Stored per year, merged over years: the distinct count within its stated error, the rest exact; years added later merge too."""
+    df = spark.range(60_000).select(
+        (F.col("id") % 6 + 2000).alias("year"), F.when(F.col("id") % 4 == 0, F.lit("few")).otherwise(F.lit("many")).alias("g"),
+        F.when(F.col("id") % 4 == 0, F.col("id") % 100).otherwise(F.col("id") % 20_000).cast("string").alias("entity"),
+        (F.col("id") % 1000 / 8).alias("v"),
+    )
+    exact = {r.g: r for r in rollup_by_group(df, ["g"], "entity", "v").collect()}
+    for part in ("year < 2004", "year >= 2004"):
+        rollup_sketch(df.where(part), ["g", "year"], "entity", "v").write.mode("append").parquet(str(tmp_path / "sketches"))
+    stored = spark.read.parquet(str(tmp_path / "sketches"))
+    assert stored.count() == len({(r.g, r.year) for r in df.select("g", "year").distinct().collect()})
+    merged = {r.g: r for r in merge_rollups(stored, ["g"]).collect()}
+    assert merged["few"].entity_count == exact["few"].entity_count == 25
+    assert abs(merged["many"].entity_count - exact["many"].entity_count) < 4 * 0.013 * exact["many"].entity_count
+    for g, r in exact.items():
+        assert (merged[g].total, merged[g].maximum, merged[g].minimum) == (r.total, r.maximum, r.minimum)
+        assert abs(merged[g].average - r.average) < 1e-9
+    assert merge_rollups(stored.limit(0), ["g"]).count() == 0

@@ -305,6 +305,44 @@ def test_sheets_with_other_columns_types_and_repeats(spark, tmp_path, rows):
     assert rows(read_sheets(spark, str(tmp_path / "csv"), "csv"), "code", "q_2021q1", "q_2021q1_1") == [("KEN", "1", "nan")]
 
 
+def test_headers_with_line_breaks(spark, tmp_path, rows):
+    """As workbooks export them; a cell's own break needs ``multiLine``, the header's doesn't."""
+    book = tmp_path / "csv" / "book 1+2"
+    book.mkdir(parents=True)
+    (book / "a.csv").write_text('"Country\nCode","2021Q1\n[2021Q1]","Say ""x"""\nKEN,1,p\nEGY,2,q\n')
+    (book / "b.csv").write_text("Country Code,2021Q1\nJOR,3\n")
+    (book / "long.csv").write_text('"Country Code","' + "note\n" * 40 + '"\nLBN,z\n')
+    (book / "open.csv").write_text('"Country Code,x\n')
+    read = read_sheets(spark, str(tmp_path / "csv"), "csv")
+    assert rows(read, "country_code", "q_2021q1", "source_table", "sheet_name") == [
+        ("EGY", "2", "book 1+2", "a"), ("JOR", "3", "book 1+2", "b"), ("KEN", "1", "book 1+2", "a"), ("LBN", None, "book 1+2", "long")
+    ]
+    assert "say_x" in "".join(read.columns) or "say" in "".join(read.columns)
+    cells = tmp_path / "cells" / "book"
+    cells.mkdir(parents=True)
+    (cells / "a.csv").write_text('Country Code,Note\nKEN,"one\ntwo"\n')
+    assert read_sheets(spark, str(tmp_path / "cells"), "csv", multiLine="true").first().note == "one\ntwo"
+    (cells / "a.csv").write_text("'Country;\nCode';Note\nKEN;'x;y'\n")
+    assert read_sheets(spark, str(tmp_path / "cells"), "csv", sep=";", quote="'").first().note == "x;y"
+
+
+def test_headers_of_many_files_take_few_jobs(spark, tmp_path):
+    context, jobs = spark.sparkContext, []
+    for n in (300, 500):  # Spark lists more than 32 paths by a job
+        book = tmp_path / str(n) / "book"
+        book.mkdir(parents=True)
+        for i in range(n):
+            (book / f"s{i:03}.csv").write_text(f'"Country\nCode",v{i % 3}\nC{i},{i}\n' if i % 2 else f"Country Code,v{i % 3}\nC{i},{i}\n")
+        context.setJobGroup(f"headers of {n}", "read_sheets")
+        try:
+            read = read_sheets(spark, str(tmp_path / str(n)), "csv")
+            jobs.append(len(context.statusTracker().getJobIdsForGroup(f"headers of {n}")))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] < 20  # of listing, of the first lines, and of the first lines of broken headers
+    assert read.count() == 500 and read.where("v0 <> 'nan'").count() == 167
+
+
 def test_unreadable_data_are_skipped(spark, tmp_path, caplog):
     spark.createDataFrame([("KEN", "Kenya", 1.5)], "economy string, Country string, `2000` double").write.parquet(str(tmp_path / "good"))
     spark.createDataFrame([("KEN", "Kenya", 1.5)], "economy string, Country string, `2001` double").coalesce(1).write.parquet(str(tmp_path / "bad"))

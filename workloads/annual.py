@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import cast_measure, period_to_int
 from panelspark.operators import (
-    attach_total, check_range, check_unique, classify, pct_change, previous_value, require_present,
-    share_of_total, unpivot_periods,
+    attach_total, check_range, check_unique, classify, merge_rollups, pct_change, previous_value, require_present,
+    rollup_sketch, share_of_total, unpivot_periods,
 )
 from panelspark.plans import (
     composition, regional_rollup, rollup_by_column, rollup_from_wide, scorecard, share_trend, slice_panel,
@@ -126,6 +126,22 @@ def customer_rollup_from_wide(spark, sf_dir):
     return rollup_from_wide(raw.where(F.col("region") != "Other"), "region", CUSTOMER_PANEL)
 
 
+@query("merge_rollups", f"""with {CUSTOMER_STAGED_SQL}, {_CUSTOMER_REGIONS_SQL}
+select region, {_ROLLUP.replace("count(distinct country_code) country_count,", "")}, count(distinct country_code) exact_count, true close
+from staged join regions using (country_code) group by 1""")
+def customer_rollup_merged(spark, sf_dir):
+    """Stored per region, series and year, then merged over series and years; the estimate is within four standard errors."""
+    raw = classify(landed_customers(spark, sf_dir), "economy", customer_regions(spark, sf_dir), "region")
+    staged = stage_panel(raw.where(F.col("region") != "Other"), replace(CUSTOMER_PANEL, carry=("region",)))
+    stored = pin(rollup_sketch(staged, ["region", "series_code", "year"], "country_code", "debt_value_usd", decimals=2), "sketches")
+    merged = merge_rollups(stored, ["region"], CUSTOMER_PANEL.rollup_names)
+    exact = staged.groupBy("region").agg(F.count_distinct("country_code").alias("exact_count"))
+    count = CUSTOMER_PANEL.rollup_names[0]
+    joined = merged.join(exact, "region")
+    close = F.abs(F.col(count) - F.col("exact_count")) <= 4 * 0.013 * F.col("exact_count")
+    return joined.withColumn("close", close).drop(count)
+
+
 _REGION_CASE = " ".join(
     f"when country_code in ({sql_list(codes)}) then '{region}'" for region, codes in COUNTRY_PANEL.groups.items()
 )
