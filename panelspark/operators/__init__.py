@@ -5,11 +5,11 @@ from .ratios import attach_total, pct_change, previous_value, share_of_total
 from .reshape import latest_snapshot, newest_partition, period_columns, spread_series, unpivot_periods
 from .rollup import merge_rollups, rollup_by_group, rollup_listed, rollup_sketch, top_n
 from .service import row_average, row_total, service_pressure
-from .slices import global_rank, lag_within, number_within
+from .slices import global_rank, lag_by_chunks, lag_within, number_within
 
 __all__ = [
     "ObservedChecks", "align_union", "attach_total", "check_missing_series", "check_not_null", "check_range", "check_unique",
-    "classify", "clean_codes", "dedupe_names", "global_rank", "label_codes", "lag_within", "latest_snapshot",
+    "classify", "clean_codes", "dedupe_names", "global_rank", "label_codes", "lag_by_chunks", "lag_within", "latest_snapshot",
     "literal_rows", "merge_rollups", "newest_partition",
     "normalize_headers", "number_within", "pct_change", "period_columns", "prefix_numeric_columns",
     "previous_value", "require_present", "require_unique", "rollup_by_group", "rollup_listed", "rollup_sketch", "row_average", "row_total",

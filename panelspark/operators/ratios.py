@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.measures import percent, percent_step
 from .quality import require_unique
-from .slices import lag_within
+from .slices import lag_by_chunks, lag_within
 
 
 def attach_total(
@@ -59,7 +59,8 @@ def previous_value(
 
     That is the previous row, however far back; ``strict_period`` accepts it
     only from period - 1. By default a key may have any number of rows: they are
-    cut into range slices (see :func:`~panelspark.operators.slices.lag_within`).
+    cut into ranges of periods where these are whole numbers (see :func:`~panelspark.operators.slices.lag_by_chunks`),
+    else into range slices (:func:`~panelspark.operators.slices.lag_within`).
     ``few_periods`` says that a key has one row per period of a short list, as in
     a staged panel; one window over each key, the cheaper way, is then safe.
     """
@@ -68,7 +69,9 @@ def previous_value(
         w = Window.partitionBy(*keys).orderBy(order)
         stepped = df.withColumns({out: F.lag(value).over(w), "_prev_period": F.lag(order).over(w)})
     else:
-        stepped = lag_within(df, keys, order, {out: value, "_prev_period": order})
+        whole = df.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+        cut = lag_by_chunks if whole else lag_within
+        stepped = cut(df, keys, order, {out: value, "_prev_period": order})
     if strict_period:
         stepped = stepped.withColumn(out, F.when(F.col("_prev_period") == F.col(order) - 1, F.col(out)))
     return stepped.drop("_prev_period")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import pin
 
 SLICE = "_slice"
+CHUNK = 64  # periods of a key that are put in order together
 
 
 def range_slices(df: DataFrame, order: list[str | Column]) -> DataFrame:
@@ -52,21 +53,38 @@ def lag_within(df: DataFrame, keys: list[str], order: str, fields: dict[str, str
     the slice before.
     """
     sliced = range_slices(df, [*keys, order])
+    return _lag_over_pieces(sliced, SLICE, keys, order, fields).select(*df.columns, *fields)
+
+
+def lag_by_chunks(df: DataFrame, keys: list[str], order: str, fields: dict[str, str], width: int = CHUNK) -> DataFrame:
+    """:func:`lag_within` for an ``order`` of whole numbers, such as years or quarters.
+
+    A piece is a key's rows in a range of ``width`` periods, at most one row each, so no sample has to find the ranges and
+    nothing is written: rows are shuffled by key and range, and of each piece its last row is carried
+    to the next. A key's carried rows, a ``width``-th of its periods if these are dense, are ordered together.
+    ``df`` is read twice, the second time for the columns that are carried.
+    """
+    cut = df.withColumn(SLICE, F.col(order) - F.pmod(F.col(order), F.lit(width)))
+    return _lag_over_pieces(cut, SLICE, keys, order, fields).select(*df.columns, *fields)
+
+
+def _lag_over_pieces(cut: DataFrame, piece: str, keys: list[str], order: str, fields: dict[str, str]) -> DataFrame:
+    """Previous row per key, where ``piece`` numbers consecutive pieces of a key in the order of ``order``."""
     picked = F.struct(*[F.col(c).alias(out) for out, c in fields.items()])
     start = (
-        sliced.groupBy(SLICE, *keys)
+        cut.groupBy(piece, *keys)
         .agg(F.max_by(picked, order).alias("_last"))
         .select(
-            SLICE, *keys,
-            F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_picked"),
+            piece, *keys,
+            F.lag("_last").over(Window.partitionBy(*keys).orderBy(piece)).alias("_picked"),
             F.lit(0).alias("_row"),
         )
     )
-    rows = sliced.withColumns({"_picked": picked, "_row": F.lit(1)})
+    rows = cut.withColumns({"_picked": picked, "_row": F.lit(1)})
     both = rows.unionByName(start, allowMissingColumns=True)
-    before = F.lag("_picked").over(Window.partitionBy(SLICE, *keys).orderBy("_row", order))
+    before = F.lag("_picked").over(Window.partitionBy(piece, *keys).orderBy("_row", order))
     stepped = both.withColumn("_before", before).where("_row = 1")
-    return stepped.select(*df.columns, *[F.col("_before")[out].alias(out) for out in fields])
+    return stepped.select(*cut.columns, *[F.col("_before")[out].alias(out) for out in fields])
 
 
 def global_rank(df: DataFrame, by: str, out: str = "rank") -> DataFrame:

@@ -74,13 +74,14 @@ def stocks_mart(
     keys = [spec.entity, spec.series]
     # The label follows from the series code: put it back last, shuffle rows without it.
     cells = staged.drop(spec.label)
+    # The steps come before the join, so that what they read twice is the cells alone.
+    stepped = previous_value(cells, keys, spec.period, spec.value, spec.previous, few_periods=few_periods)
+    changed = pct_change(stepped, keys, spec.period, spec.value, spec.change, previous=spec.previous)
     joined = attach_total(
-        cells, [spec.entity, spec.period], spec.series, spec.total_series, spec.value, spec.total, duplicates
+        changed, [spec.entity, spec.period], spec.series, spec.total_series, spec.value, spec.total, duplicates
     )
     shared = share_of_total(joined, spec.value, spec.total, spec.share)
-    stepped = previous_value(shared, keys, spec.period, spec.value, spec.previous, few_periods=few_periods)
-    changed = pct_change(stepped, keys, spec.period, spec.value, spec.change, previous=spec.previous)
-    return label_codes(changed, spec.series, spec.labels, spec.label).select(*_stocks_columns(spec))
+    return label_codes(shared, spec.series, spec.labels, spec.label).select(*_stocks_columns(spec))
 
 
 def stocks_mart_from_wide(raw: DataFrame, spec: PanelSpec = ANNUAL, split_rows: str = "fail") -> DataFrame:

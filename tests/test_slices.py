@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import global_rank, lag_within, number_within
+from conftest import plan_of
+from panelspark.operators import global_rank, lag_by_chunks, lag_within, number_within
 from panelspark.operators.slices import SLICE, range_slices
 
 N = 3000
@@ -51,9 +52,12 @@ def test_number_within(skewed):
     assert got == expected
 
 
-def test_lag_within(skewed):
+@pytest.mark.parametrize("lag, options", [(lag_within, {}), (lag_by_chunks, {}), (lag_by_chunks, {"width": 1}), (lag_by_chunks, {"width": 5000})])
+def test_lag_within(skewed, lag, options):
     data, df = skewed
-    got = {(r.k, r.o): (r.pv, r.po) for r in lag_within(df, ["k"], "o", {"pv": "v", "po": "o"}).collect()}
+    data = [(k, o - 9000, v) for k, o, v in data]  # periods may be negative
+    df = df.withColumn("o", F.col("o") - 9000)
+    got = {(r.k, r.o): (r.pv, r.po) for r in lag(df, ["k"], "o", {"pv": "v", "po": "o"}, **options).collect()}
     expected = {}
     for k, rows in per_key(data).items():
         before = (None, None)
@@ -63,6 +67,16 @@ def test_lag_within(skewed):
     assert got == expected
 
 
+def test_chunks_spread_a_hot_key_and_write_nothing(spark, skewed):
+    """A hot key is dealt by its ranges of periods; only one row of each is ordered with the key's others."""
+    _, df = skewed
+    plan = plan_of(lag_by_chunks(df, ["k"], "o", {"pv": "v"}))
+    assert "FileScan" not in plan and "rangepartitioning" not in plan
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_slice" in line for line in shuffles) == len(shuffles) - 1
+    assert df.where("k = 'hot'").select((F.col("o") / 64).cast("int")).distinct().count() > 200
+
+
 def test_global_rank_with_ties_and_nulls(skewed):
     data, df = skewed
     values = [v for _, _, v in data]
