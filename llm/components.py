@@ -46,6 +46,8 @@ def bucket_links(
     load: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     rounds: int = 1,
+    within: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    reach: str = "true",
 ) -> DataFrame:
     """All links (a, b) needed to connect what shares a bucket and is verified.
 
@@ -59,7 +61,9 @@ def bucket_links(
     times, nodes outside the largest component of a bucket are tried with one
     of that component's members there, another in each bucket, so what belongs to a
     dense group joins it. At last all pairs of different components that share a bucket
-    are tried: no link that would join two components is lost.
+    are tried: no link that would join two components is lost. ``within`` tells how much a node can have in common with
+    any other of the nodes then left, as (node, c) from (node, part) and what ``load`` gave, part being its component so far;
+    nodes it leaves out and pairs that do not meet the condition ``reach`` on ``na``, ``ca``, ``nb`` and ``cb`` can't be links.
     """
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"))
     shared = landed(counts.where("size > 1").select("bucket", "leader"), "shared-buckets")
@@ -98,9 +102,15 @@ def bucket_links(
         pairs = landed(fitting(pairs.join(tried, ["a", "b"], "left_anti")), "next-pairs")
         links = landed(links.unionByName(verify(pairs, data)), "next-links")
         tried = tried.unionByName(pairs)
-    left = open_members(links).join(known, "node")
-    x = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).where(fits)
+    left = open_members(links)
+    facts = known
+    if within is not None:
+        facts = known.join(landed(within(landed(left.select("node", "part").distinct(), "open-nodes"), data), "in-common"), "node")
+    else:
+        facts = known.withColumn("c", F.lit(None).cast("array<long>"))
+    left = left.join(facts, "node")
+    x = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("part").alias("pa"))
+    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("part").alias("pb"))
+    across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).where(f"({fits}) AND ({reach})")
     across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     return links.unionByName(landed(verify(landed(across, "last-pairs"), data), "last-links"))

@@ -15,6 +15,7 @@ from .registry import query
 
 BANDS, BAND_ROWS = 40, 5
 SPARSE_LEVELS = 8
+ROUNDS = 2  # of trying outsiders of a group with its members
 
 
 def super_minhash(sets: np.ndarray, sizes: np.ndarray, slots: int) -> np.ndarray:
@@ -192,7 +193,25 @@ def near_duplicates(
 
     planes = [f"bit_count((na.sketch[{k}] ^ nb.sketch[{k}]) | (na.sketch[{k + 4}] ^ nb.sketch[{k + 4}]))" for k in range(4)]
     fits = f"100 * least(na.n, nb.n) >= {percent} * greatest(na.n, nb.n) AND {' + '.join(planes)} <= {sketch_limit(bands * rows, percent)}"
-    groups = components(bucket_links(members, about, fits, load, verify))
+
+    def within(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """(node, c): the shingles that a node of another part holds too, all that the node can share with one; nodes with too few go.
+
+        Those left after a first count count again among themselves.
+        """
+        for _ in range(2):
+            of_node = sets.join(nodes.select(F.col("node").alias("key"), "part"), "key")
+            of_node = of_node.select("key", "part", F.explode("shingles").alias("s"), F.size("shingles").alias("n"))
+            spread = of_node.groupBy("s").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("s")
+            counted = of_node.join(landed(spread, "common-shingles"), "s").groupBy("key", "part", "n").agg(F.collect_list("s").alias("c"))
+            nodes = landed(counted.where(f"100 * size(c) >= {percent} * n").select(F.col("key").alias("node"), "part", "c"), "able-nodes")
+        return nodes.select("node", "c")
+
+    # The second line is exact: pairs of parts that pass are links, so no others are written.
+    enough = f">= {percent} * (na.n + nb.n)"
+    reach = f"""{100 + percent} * least(size(ca), size(cb)) {enough}
+        AND {100 + percent} * size(array_intersect(ca, cb)) {enough}"""
+    groups = components(bucket_links(members, about, fits, load, verify, rounds=ROUNDS, within=within, reach=reach))
     labelled = classes.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     labelled = labelled.select("key", "first", F.coalesce("component", "key").alias("component"))
     labelled = landed(labelled, "labelled-classes")
