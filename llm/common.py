@@ -41,6 +41,24 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(long_id(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_key(text: str | Column = "text") -> Column:
+    """64-bit hash of a text (null as empty), which tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def text_keys(texts: list[bytes]) -> list[int]:
+    """:func:`text_key` of texts in a task."""
+    keys = np.fromiter((xxhash.xxh64_intdigest(t, seed=42) for t in texts), np.uint64, len(texts))
+    return signed(keys).tolist()
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id (NO_ID for null) and text hash are in ``gone`` (doc_id, text_key); the same columns."""
+    gone = landed(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "gone")
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == gone["_gone_id"]) & (text_key(docs[text_col]) == gone["_gone_key"])
+    return docs.join(gone, same, "left_anti")
+
+
 def with_null_ids(df: DataFrame, *columns: str) -> DataFrame:
     """NO_ID back to null in ``columns`` (by default doc_id)."""
     return df.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in columns or ("doc_id",)})

@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, arrow_rows, documents, id_and_text, landed, long_id, shingle_hashes, texts_in, with_null_ids, words_of
+from .common import (
+    WordHashes, arrow_rows, documents, id_and_text, landed, long_id, shingle_hashes, text_keys, texts_in, with_null_ids, without, words_of,
+)
 from .registry import query
 
 BITS = 64
@@ -159,7 +161,20 @@ def document_matches(
     return found
 
 
-def benchmark_matches(
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The best of :func:`row_matches` per document and benchmark item: doc_id, item_id, similarity, first_word, n_windows.
+
+    Rows without id, and rows that repeat one, give the best of their matches.
+    """
+    best = F.max(F.struct("similarity", -F.col("first_word"))).alias("best")
+    found = row_matches(docs, benchmark, **options)
+    matches = found.groupBy("doc_id", "item_id").agg(best, F.sum("n_windows").alias("n_windows")).select(
+        "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("first_word"), "n_windows"
+    )
+    return with_null_ids(matches, "doc_id", "item_id")
+
+
+def row_matches(
     docs: DataFrame,
     benchmark: DataFrame,
     id_col: str = "doc_id",
@@ -171,7 +186,7 @@ def benchmark_matches(
     least: float = 0.8,
     query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
-    """One row per document and benchmark item it holds: doc_id, item_id, similarity, first_word, n_windows.
+    """One row per row of ``docs`` and benchmark item it holds: doc_id, text_key, item_id, similarity, first_word, n_windows.
 
     An item of n words is looked for in all windows of n words (A-Z lower-cased);
     a document of fewer words is one window. A window matches if its 64-bit
@@ -183,7 +198,7 @@ def benchmark_matches(
     documents, so what a task holds does not grow with it.
 
     Null, empty and blank texts and items match nothing. Equal items match
-    alike; rows without id, and rows that repeat one, give the best of their matches. Empty tables give no rows.
+    alike; null ids are NO_ID. Empty tables give no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(
@@ -193,7 +208,7 @@ def benchmark_matches(
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     parts = max(1, -(-total // query_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_windows", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_windows", pa.int64())])
     plain = id_and_text(docs, id_col, text_col)
     found = None
     for k in range(parts):
@@ -213,23 +228,18 @@ def benchmark_matches(
                         words = hashes.of(words_of(text, lower=True))
                         if len(words) and index:
                             got = document_matches(words, index, sizes_of, known, sieve, shingle, radius, least)
-                            rows += [(doc_id, item, *match) for item, match in sorted(got.items())]
+                            rows += [(doc_id, text_keys([text])[0], item, *match) for item, match in sorted(got.items())]
                     if rows:
                         yield dict(zip(schema.names, map(list, zip(*rows))))
 
-        got = plain.mapInArrow(arrow_rows(run, schema), "doc_id long, item_id long, similarity double, first_word long, n_windows long")
+        got = plain.mapInArrow(arrow_rows(run, schema), "doc_id long, text_key long, item_id long, similarity double, first_word long, n_windows long")
         found = got if found is None else found.unionByName(got)
-    best = F.max(F.struct("similarity", -F.col("first_word"))).alias("best")
-    matches = found.groupBy("doc_id", "item_id").agg(best, F.sum("n_windows").alias("n_windows")).select(
-        "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("first_word"), "n_windows"
-    )
-    return with_null_ids(matches, "doc_id", "item_id")
+    return found
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    held = landed(benchmark_matches(docs, benchmark, **options).select(F.col("doc_id").alias("_held")).distinct(), "held")
-    return docs.join(held, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_held")), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item."""
+    return without(docs, row_matches(docs, benchmark, **options), options.get("id_col", "doc_id"), options.get("text_col", "text"))
 
 
 @query("op1_simhash_windows")

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, arrow_rows, documents, id_and_text, landed, mix, shingle_hashes, signed, texts_in, with_null_ids, words_of
+from .common import (
+    WordHashes, arrow_rows, documents, id_and_text, landed, mix, shingle_hashes, signed, text_keys, texts_in, with_null_ids, without, words_of,
+)
 from .components import bucket_links, components
 from .registry import query
 
@@ -123,7 +125,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), key, band keys and sketch of each row; ``docs``: doc_id, text."""
+    """doc_id, text_key, n (set size), key, band keys and sketch of each row; ``docs``: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes = WordHashes()
@@ -134,16 +136,21 @@ def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
                 signatures = super_minhash(np.concatenate(sets), sizes, bands * rows)
                 keys = signed(band_keys(signatures, bands, rows))
                 yield {
-                    "doc_id": ids, "n": sizes, "key": [set_key(s) for s in sets],
+                    "doc_id": ids, "text_key": text_keys(texts), "n": sizes, "key": [set_key(s) for s in sets],
                     "bands": [k if n else k[:0] for k, n in zip(keys, sizes)], "sketch": list(sketches(signatures)),
                 }
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
-    kinds = "doc_id long, n long, key long, bands array<long>, sketch array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    kinds = "doc_id long, text_key long, n long, key long, bands array<long>, sketch array<long>"
     return docs.mapInArrow(arrow_rows(run, schema), kinds)
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, *args, **options) -> DataFrame:
+    """The rows of :func:`judged_rows` without their text's hash: doc_id, n_shingles, component_id, kept."""
+    return with_null_ids(judged_rows(docs, *args, **options).drop("text_key"), "doc_id", "component_id")
+
+
+def judged_rows(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -152,7 +159,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = BAND_ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of
     their sets of distinct ``shingle``-word shingles (A-Z lower-cased; a shorter text is one
@@ -167,7 +174,7 @@ def near_duplicates(
 
     Null, empty and blank texts have no shingles, are linked with nothing and
     kept. Rows that repeat an id and a text are one document and come out as often
-    as they came in. Rows without id come
+    as they came in; rows that share an id but not the text are judged by their own texts. Rows without id (NO_ID) come
     before all others and stay. An empty table gives no rows. Only the two named columns are read.
     """
     plain = id_and_text(docs, id_col, text_col)
@@ -217,19 +224,17 @@ def near_duplicates(
     labelled = landed(labelled, "labelled-classes")
     least = landed(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "least-ids")
     of_class = landed(labelled.join(least, "component").select("key", "component_id"), "class-components")
-    joined = prints.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_class, "key", "left")
+    joined = prints.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_class, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    result = joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
+    return joined.select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
     )
-    return with_null_ids(result, "doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the least id."""
-    gone = landed(near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct(), "duplicates")
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each near-duplicate group, the one with the least id. Rows go by id and text."""
+    gone = judged_rows(docs, **options).where("NOT kept")
+    return without(docs, gone, options.get("id_col", "doc_id"), options.get("text_col", "text"))
 
 
 @query("op7_super_minhash")

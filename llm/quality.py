@@ -5,6 +5,8 @@ Only DataFrame expressions: no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import SPACE_PATTERN, documents, landed, long_id, with_null_ids
@@ -58,28 +60,32 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.split(blanks, "\n", -1), lambda x: F.trim(x))
 
 
-def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """doc_id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed.
+def base_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50,
+    carry: Sequence[Column] = (),
+) -> DataFrame:
+    """doc_id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed; then ``carry``, named columns of ``docs``.
 
     ``text_key`` is a hash of the text. A null text has no words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(long_id(id_col), text.alias("text"))
+    rows = docs.select(long_id(id_col), text.alias("text"), *carry)
+    kept = rows.columns[2:]
     # Two steps, so that words and windows are made once and not wherever they are used.
     split = rows.select(
         "doc_id", F.xxhash64("text").alias("text_key"), word_list(F.col("text")).alias("words"),
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        line_list(F.col("text")).alias("lines"),
+        line_list(F.col("text")).alias("lines"), *kept,
     )
     windowed = split.select("*", window_keys(F.col("words")).alias("windows"))
     counted = windowed.select(
         "doc_id", "text_key", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"), *kept,
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    return counted.select(*counted.columns[:7], failed.alias("base_failed"), *kept)
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -168,12 +174,84 @@ def quality_rules(
     ))
 
 
-def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that the rules reject; texts stay as they are."""
-    verdicts = quality_rules(docs, id_col, text_col, **options).where("NOT kept")
-    rejected = landed(verdicts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "rejected")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key"))
-    return docs.join(rejected, same, "left_anti")
+def words_in(lines: Column) -> Column:
+    """Words of normalised lines, none of them blank."""
+    each = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    return F.aggregate(each, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def lines_by_host(lines: DataFrame, **limits) -> DataFrame:
+    """(host, frequent): the lines of :func:`frequent_lines` as one list per host, at most as many as ``share`` allows.
+
+    That is the mean number of lines of a document of the host over ``share``, however large the host.
+    """
+    return landed(frequent_lines(lines, **limits).groupBy("host").agg(F.collect_set("line").alias("frequent")), "frequent-lines")
+
+
+def cleaned(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rows`` (row, text, host) as row, text, words, left: the host's frequent lines go from the text, ``words`` of all lines and those ``left``.
+
+    Other lines stay as they are, blank ones too; a text without such a line doesn't change. No text is shuffled while Catalyst
+    can broadcast the hosts' lists, which it decides by their size.
+    """
+    listed = rows.join(frequent, "host", "left").withColumn("lines", normal_lines(F.col("text")))
+    hashes = F.transform("lines", lambda x: F.when(x != "", F.xxhash64(x)))
+    found = listed.withColumn("found", F.array_intersect(hashes, F.coalesce("frequent", F.array().cast("array<long>"))))
+    stays = F.filter(
+        F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.col("lines").alias("normal")),
+        lambda x: (x["normal"] == "") | ~F.array_contains("found", F.xxhash64(x["normal"])),
+    )
+    stay = found.withColumn("stay", F.when(F.size("found") > 0, stays))
+    before = words_in(F.filter("lines", lambda x: x != ""))
+    after = words_in(F.filter(F.transform("stay", lambda x: x["normal"]), lambda x: x != ""))
+    shorter = F.array_join(F.transform("stay", lambda x: x["line"]), "\n")
+    return stay.select("row", F.coalesce(shorter, "text").alias("text"), before.alias("words"), F.coalesce(after, before).alias("left"))
+
+
+def packed_rows(docs: DataFrame, text_col: str, host_col: str) -> list[Column]:
+    """row (all columns), text and host of ``docs``, whatever its columns are called."""
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    return [F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), host.alias("host")]
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` from row and text; a null text stays null."""
+    given = F.col("row")[text_col]
+    text = F.when(given.isNotNull(), F.col("text")).alias(text_col)
+    return df.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """``docs`` with the lines above their host's limit (``limits`` of :func:`frequent_lines`) taken out of the texts.
+
+    Rows and the other columns stay. Null and empty texts have no lines; a null host is the host ''.
+    """
+    frequent = lines_by_host(document_lines(docs, id_col, text_col, host_col), **limits)
+    return unpacked(cleaned(docs.select(*packed_rows(docs, text_col, host_col)), frequent), docs, text_col)
+
+
+def without_rejected(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    least_left: float = 0.3,
+    remove_lines: bool = False,
+    **limits,
+) -> DataFrame:
+    """``docs`` without the rows that :func:`quality_rules` rejects; with ``remove_lines`` also without lines above their host's limit.
+
+    The base rules judge each text as it is given. Only lines are looked at across documents (``limits`` of
+    :func:`frequent_lines`), so a row is judged where it is read.
+    """
+    frequent = lines_by_host(document_lines(docs, id_col, text_col, host_col), **limits)
+    row, text, host = packed_rows(docs, text_col, host_col)
+    ruled = base_rules(docs, id_col, text_col, min_words, max_repeat_percent, [row, text.alias("given"), host]).where("NOT base_failed")
+    judged = cleaned(ruled.select("row", F.col("given").alias("text"), "host"), frequent)
+    left = judged.where(F.coalesce(F.try_divide("left", "words"), F.lit(1.0)) >= least_left)
+    return unpacked(left if remove_lines else left.withColumn("text", F.col("row")[text_col]), docs, text_col)
 
 
 @query("op8_line_frequency")

@@ -12,7 +12,7 @@ from test_near import plain_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from llm import mixing, quality, token_files
+from llm import quality, token_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,13 +28,9 @@ def plain_run(documents, items):
     by = defaultdict(list)
     for r in sorted(kept, key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id)):
         by[r.source].append(r)
-    ticks = mixing.whole_ticks({s: 1.0 for s in by})
-    slots = {(s, i): slot for s, i, _, _, slot in mixing.frame_schedule(ticks)}
-    order = []
-    for s, rows in by.items():
-        for k, r in enumerate(rows):
-            frame, nth = divmod(k // 64, ticks[s])
-            order.append((frame * 1000 + slots[s, nth], k % 64, r))
+    # Equal weights: every source once in each frame, by name.
+    nth = {s: k for k, s in enumerate(sorted(by))}
+    order = [(k // 64 * len(nth) + nth[s], k % 64, r) for s, rows in by.items() for k, r in enumerate(rows)]
     plain, at, out = Tokenizer.from_file(token_files.default_tokenizer()), 0, []
     for position, (_, _, r) in enumerate(sorted(order, key=lambda x: x[:2])):
         ids = [*plain.encode(r.text, add_special_tokens=False).ids, 2]
