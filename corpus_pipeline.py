@@ -19,8 +19,10 @@ from panelspark.session import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return without_rejected(docs, every_text=True)
+    """Documents that the rules reject go, and so do the lines above their host's limit in the others."""
+    cleaned = without_rejected(docs.withColumn("_length", F.length("text")), every_text=True, remove_lines=True)
+    length = F.when(F.length("text") < F.col("_length"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", length).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
