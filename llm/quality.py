@@ -248,9 +248,11 @@ def without_rejected(
     """
     frequent = lines_by_host(document_lines(docs, id_col, text_col, host_col), **limits)
     row, text, host = packed_rows(docs, text_col, host_col)
-    ruled = base_rules(docs, id_col, text_col, min_words, max_repeat_percent, [row, text.alias("given"), host]).where("NOT base_failed")
-    judged = cleaned(ruled.select("row", F.col("given").alias("text"), "host"), frequent)
-    left = judged.where(F.coalesce(F.try_divide("left", "words"), F.lit(1.0)) >= least_left)
+    ruled = base_rules(docs, id_col, text_col, min_words, max_repeat_percent, [row, text.alias("given"), host])
+    # The numbers keep the filters above: pushed down, they would make words, windows and lines anew wherever they use them.
+    ruled = ruled.withColumn("number", F.monotonically_increasing_id()).where("NOT base_failed AND number >= 0")
+    judged = cleaned(ruled.select("row", F.col("given").alias("text"), "host"), frequent).withColumn("number", F.monotonically_increasing_id())
+    left = judged.where((F.coalesce(F.try_divide("left", "words"), F.lit(1.0)) >= least_left) & (F.col("number") >= 0))
     return unpacked(left if remove_lines else left.withColumn("text", F.col("row")[text_col]), docs, text_col)
 
 
