@@ -1,16 +1,18 @@
 """Repeated byte strings between documents, by bucket-pointer refinement of sampled suffixes.
 
-Suffixes fall into buckets by their first 24 bytes. A bucket is refined by the
-identifiers of the buckets that its suffixes have at other offsets; identifiers
+Suffixes fall into buckets by their first 24 bytes. Buckets are refined in rounds by the
+identifiers of the buckets that their members have at other offsets; identifiers
 of longer strings are made from those of shorter ones, so each is computed once
-and reused. Refinement ends where a bucket's members agree on everything within
-reach, or belong to one document, or have length 50.
-
-Two things keep this to a small part of all suffixes. Only anchors enter: the
-least 24-byte bucket of every 50-byte window, one place in 14, and a
-50-byte string has the same anchor wherever it occurs. And members of a bucket
-that agree on all 76 bytes a 50-byte string around the anchor can reach are
-settled by their least document; only the others send those bytes.
+and reused.
+
+1. The identifiers at four offsets together name all 76 bytes that a 50-byte string around the
+   place can reach. Members that agree on them are settled by their least document.
+2. The others are split by the identifiers 13 bytes on and 13 bytes back, which name 37 bytes each. A 50-byte string
+   that holds the place holds one of the two, so a member that shares neither with another document is done.
+3. What is left is split by all windows of 50 bytes around the place, the length at which refinement ends.
+
+Only anchors enter: the least 24-byte bucket of every 50-byte window, one place in 14; a
+50-byte string has the same anchor wherever it occurs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .blocks import anchors, block_rows, joined, text_blocks, window_hashes, with_lists
 from .common import arrow_rows, documents, landed, mix, signed, with_null_ids
@@ -29,6 +31,8 @@ from .registry import query
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM  # bytes before an anchor that a string holding it can reach
 REACH = BEFORE + LENGTH
+HALF = BEFORE // 2
+EDGES = 2  # bytes before a packed context: how many of its places lie before the document, how many after
 CROWD = 50_000  # contexts of one bucket that a task compares in memory
 
 # One 64-bit name per byte value, and one for places outside the text.
@@ -47,7 +51,7 @@ def padded(starts: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_buckets(starts: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, anchors, document of each, bucket, refined bucket); buckets as 32-bit identifiers."""
+    """(bucket of every place, anchors, document of each, bucket, refined bucket); the last two as 32-bit identifiers."""
     symbols, first = padded(starts, text)
     grams = window_hashes(NAMES[symbols], GRAM)
     lengths = np.diff(starts)
@@ -65,7 +69,7 @@ def anchor_buckets(starts: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndar
     # The buckets at these four offsets together name all bytes in reach.
     first_two = joined(grams[places - BEFORE], grams[places - BEFORE + GRAM])
     refined = joined(first_two, joined(grams[places - BEFORE + 2 * GRAM], grams[places + LENGTH - GRAM]))
-    return symbols, places, document, (bucket >> np.uint64(32)).astype(np.uint32), (refined >> np.uint64(32)).astype(np.uint32)
+    return grams, places, document, (bucket >> np.uint64(32)).astype(np.uint32), (refined >> np.uint64(32)).astype(np.uint32)
 
 
 def keys_of(bucket: np.ndarray, refined: np.ndarray) -> np.ndarray:
@@ -98,17 +102,33 @@ def first_buckets(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(arrow_rows(run, schema), "block long, bucket int, refined int, doc_id long")
 
 
+def packed_contexts(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bytes in reach of each anchor, n x (EDGES + REACH); places outside the document are 0 and counted in front."""
+    around = symbols[places[:, None] + np.arange(-BEFORE, LENGTH)[None, :]]
+    outside = around == OUTSIDE
+    edges = np.stack([outside[:, :BEFORE].sum(axis=1), outside[:, BEFORE:].sum(axis=1)], axis=1)
+    return np.concatenate([edges, np.where(outside, 0, around)], axis=1).astype(np.uint8)
+
+
+def unpacked_contexts(contexts: list[bytes]) -> np.ndarray:
+    """Symbols of packed contexts, n x REACH."""
+    packed = np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, EDGES + REACH)
+    place = np.arange(REACH)
+    outside = (place < packed[:, :1]) | (place >= REACH - packed[:, 1:EDGES])
+    return np.where(outside, np.uint16(OUTSIDE), packed[:, EDGES:])
+
+
 def settled_and_open(blocks: DataFrame, shared: DataFrame, crowd: int) -> DataFrame:
-    """Spans settled by equal surroundings, one row per block (``spans``), and the contexts still open.
+    """Spans settled by equal surroundings, one row per block (``spans``), and the anchors still open.
 
     An open row is an anchor whose document is the first with these surroundings,
-    in a bucket that has others: block, place, doc_id, bucket, context (two
-    bytes a place), crowded.
+    in a bucket that has others: block, place, doc_id, bucket, ahead and behind
+    (its names with the bucket HALF bytes on and back), crowded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, ids, starts, text, keys, firsts, sizes in block_rows(batches, lists=3):
-            symbols, places, document, bucket, refined = anchor_buckets(starts, text)
+            grams, places, document, bucket, refined = anchor_buckets(starts, text)
             if not len(places):
                 continue
             mine, least, group = least_documents(keys_of(bucket, refined), ids[document])
@@ -122,32 +142,68 @@ def settled_and_open(blocks: DataFrame, shared: DataFrame, crowd: int) -> DataFr
             known = least[group] < ids[document]
             spans = np.stack([np.maximum(own - BEFORE, begin), np.minimum(own + LENGTH, end)], axis=1)[known]
             still = np.flatnonzero(~known & (n_others[group] > 0))
-            contexts = symbols[places[still][:, None] + np.arange(-BEFORE, LENGTH)[None, :]].astype("<u2")
             n = len(still) + bool(len(spans))
             if not n:
                 continue
+            at = places[still]
+            ahead, behind = joined(grams[at], grams[at + HALF]), joined(grams[at - HALF], grams[at])
             none = [None] * bool(len(spans))
             yield {
                 "block": np.full(n, block), "spans": [spans.astype("<i8").tobytes()] * len(none) + [None] * len(still),
                 "place": none + own[still].tolist(), "doc_id": none + ids[document[still]].tolist(),
-                "bucket": none + bucket[still].view(np.int32).tolist(), "context": none + [c.tobytes() for c in contexts],
+                "bucket": none + bucket[still].view(np.int32).tolist(),
+                "ahead": none + (ahead >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist(),
+                "behind": none + (behind >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist(),
                 "crowded": none + (n_others[group[still]] > crowd).tolist(),
             }
 
     schema = pa.schema([
         ("block", pa.int64()), ("spans", pa.binary()), ("place", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()),
-        ("context", pa.binary()), ("crowded", pa.bool_()),
+        ("ahead", pa.int32()), ("behind", pa.int32()), ("crowded", pa.bool_()),
     ])
-    kinds = "block long, spans binary, place long, doc_id long, bucket int, context binary, crowded boolean"
+    kinds = "block long, spans binary, place long, doc_id long, bucket int, ahead int, behind int, crowded boolean"
     return with_lists(blocks, shared).mapInArrow(arrow_rows(run, schema), kinds)
 
 
+def still_open(open_rows: DataFrame) -> DataFrame:
+    """The open anchors that share 37 bytes, ahead or behind, with one of another document: block, place, bucket, crowded."""
+    def shared(name: str) -> Column:
+        alike = Window.partitionBy("bucket", name)
+        return F.min("doc_id").over(alike) < F.max("doc_id").over(alike)
+
+    dealt = open_rows.select("bucket", "ahead", "behind", "doc_id", "block", "place", "crowded").repartition("bucket")
+    judged = dealt.withColumn("is_ahead", shared("ahead")).withColumn("is_behind", shared("behind"))
+    return judged.where("is_ahead OR is_behind").select("block", "place", "bucket", "crowded")
+
+
+def with_contexts(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (block, place, bucket, crowded) with their doc_id and context (:func:`packed_contexts`), cut from the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for block, ids, starts, text, place, bucket, crowded in block_rows(batches, lists=3):
+            if not len(place):
+                continue
+            symbols, _ = padded(starts, text)
+            document = np.searchsorted(starts, place, side="right") - 1
+            contexts = packed_contexts(symbols, place + (document + 1) * LENGTH)
+            yield {
+                "block": np.full(len(place), block), "place": place, "doc_id": ids[document], "bucket": bucket,
+                "context": [c.tobytes() for c in contexts], "crowded": np.asarray(crowded, bool),
+            }
+
+    schema = pa.schema([
+        ("block", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("context", pa.binary()), ("crowded", pa.bool_()),
+    ])
+    kinds = "block long, place long, doc_id long, bucket int, context binary, crowded boolean"
+    return with_lists(blocks, rows).mapInArrow(arrow_rows(run, schema), kinds)
+
+
 def context_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Identifiers of the 27 windows of each context, n x 27, and which lie inside the document.
 
     Column o is the string that starts o places before the anchor.
     """
-    symbols = np.frombuffer(b"".join(contexts), "<u2").reshape(-1, REACH)
+    symbols = unpacked_contexts(contexts)
     names = window_hashes(NAMES[symbols].ravel(), LENGTH)
     at = np.arange(len(symbols))[:, None] * REACH + BEFORE - np.arange(BEFORE + 1)[None, :]
     outside = np.concatenate([np.zeros((len(symbols), 1), np.int64), np.cumsum(symbols == OUTSIDE, axis=1)], axis=1)
@@ -251,7 +307,8 @@ def repeated_strings(
     shared = judged.where("first < doc_id OR low < high").select("block", key.alias("key"), "first", others.alias("others"))
     judged_rows = landed(settled_and_open(blocks, shared, crowd), "strings")
     settled = judged_rows.where("spans IS NOT NULL").select("block", "spans")
-    found = refine(judged_rows.where("spans IS NULL"))
+    left = landed(with_contexts(blocks, still_open(judged_rows.where("spans IS NULL"))), "contexts")
+    found = refine(left)
     pieces = found.groupBy("block").agg(
         F.collect_list("place").alias("place"), F.collect_list("before").alias("before"), F.collect_list("after").alias("after")
     )
