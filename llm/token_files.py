@@ -10,6 +10,8 @@ before it, from prefix sums.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +41,8 @@ PIECES = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
 )
 CUT = re.compile(r"(?<=\S)(?= \S)")
+# No line feed, and no white space at either end but one leading blank.
+PLAIN = re.compile(r" ?\S(?:[^\n]*\S)?")
 
 
 class Encoder:
@@ -54,7 +58,7 @@ class Encoder:
     the string of any added token is encoded whole, by the library alone.
     """
 
-    LIMIT = 400_000  # pieces kept
+    LIMIT = 600_000  # pieces kept, some 200 bytes each
 
     def __init__(self, path: str, dtype: str, special_ids: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,20 +72,21 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def learn(self, new: list[str]) -> None:
-        # No white space at either end but one leading blank.
-        plain = [p for p in new if "\n" not in p and len(p.removeprefix(" ").strip()) == len(p) - p.startswith(" ") > 0]
+    def learn(self, new: set[str]) -> None:
+        plain, odd = [], []
+        for piece in new:
+            (plain if PLAIN.fullmatch(piece) else odd).append(piece)
+        width = self.dtype.itemsize
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
             ids = np.array(self.whole("\n".join(some)), self.dtype)
-            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-            if len(ends) != len(some):
+            feeds = np.flatnonzero(ids == self.feed) * width
+            if len(feeds) != len(some) - 1:
                 raise AssertionError("pieces and ids don't match")
-            begin = 0
-            for piece, end in zip(some, ends):
-                self.pieces[piece] = ids[begin:end].tobytes()
-                begin = end + 1
-        for piece in set(new).difference(plain):
+            coded = ids.tobytes()
+            begins, ends = [0, *(feeds + width).tolist()], [*feeds.tolist(), len(coded)]
+            self.pieces.update(zip(some, [coded[b:e] for b, e in zip(begins, ends)]))
+        for piece in odd:
             self.pieces[piece] = np.array(self.whole(piece), self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -91,13 +96,25 @@ class Encoder:
             self.pieces.clear()
         new = set().union(*cut).difference(self.pieces)
         if new:
-            self.learn(list(new))
+            self.learn(new)
         return [
             np.array(self.whole(texts[k]), self.dtype).tobytes() if k in holds else b"".join(map(self.pieces.__getitem__, pieces))
             for k, pieces in enumerate(cut)
         ]
 
 
+def kept_encoder(path: str, dtype: str, special_ids: bool) -> Encoder:
+    """The encoder of this Python process, with the pieces that its earlier tasks have learned.
+
+    What tasks carry with their code is made anew for each, so the encoder is kept in a module of its own.
+    """
+    kept = vars(sys.modules.setdefault("kept_encoders", types.ModuleType("kept_encoders")))
+    key = f"{path} {dtype} {special_ids}"
+    if key not in kept:
+        kept[key] = Encoder(path, dtype, special_ids)
+    return kept[key]
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
@@ -142,7 +159,7 @@ def write_token_files(
         store, place = file_system(name)
         store.create_dir(place.rsplit("/", 1)[0], recursive=True)
         width, docs_written, at = len(end), 0, 0
-        encoder = Encoder(tokenizer, dtype, special_ids)
+        encoder = kept_encoder(tokenizer, dtype, special_ids)
         with store.open_output_stream(place + ".bin") as bins, store.open_output_stream(place + ".idx") as idx, store.open_output_stream(place + ".ids") as ids:
             for batch in batches:
                 for some, texts in texts_in(batch, 1 << 20):
