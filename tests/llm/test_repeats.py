@@ -118,3 +118,24 @@ def test_strings_equal_brute_force(spark, rows, size, crowd):
     got = Counter(tuple(r)[:5] for r in out.collect())
     assert got == plain_strings(given)
     assert repeated_strings(df.limit(0)).count() == 0
+
+
+def test_second_round_splits_buckets_of_short_strings(spark):
+    """Anchors that share 24 bytes and no 37 leave before their contexts are cut; those that share 50 stay."""
+    from llm.repeated_strings import still_open
+
+    rows = [(1, 0, 5, 7, 10, 20, False), (1, 80, 6, 7, 10, 21, False), (2, 0, 7, 7, 11, 22, False), (2, 9, 8, 7, 12, 22, True),
+            (3, 0, 9, 7, 13, 23, False), (3, 5, 9, 7, 13, 24, False), (4, 0, 5, 8, 10, 20, False)]
+    df = spark.createDataFrame(rows, "block long, place long, doc_id long, bucket int, ahead int, behind int, crowded boolean")
+    assert sorted(tuple(r) for r in still_open(df).collect()) == [(1, 0, 7, False), (1, 80, 7, False), (2, 0, 7, False), (2, 9, 7, True)]
+
+
+def test_contexts_are_packed_and_unpacked_whole():
+    from llm.repeated_strings import BEFORE, GRAM, LENGTH, packed_contexts, padded, unpacked_contexts
+
+    rng = np.random.default_rng(1)
+    docs = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 24, 30, 50, 60, 77, 400)]
+    symbols, first = padded(np.concatenate([[0], np.cumsum([len(d) for d in docs])]), b"".join(docs))
+    places = np.concatenate([np.arange(f, f + len(d) - GRAM + 1) for f, d in zip(first, docs) if len(d) >= GRAM])
+    packed = packed_contexts(symbols, places)
+    assert (unpacked_contexts([c.tobytes() for c in packed]) == symbols[places[:, None] + np.arange(-BEFORE, LENGTH)]).all()
