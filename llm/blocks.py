@@ -26,8 +26,8 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Table (block, doc_ids, sizes, body): ids and byte lengths as arrays, texts compressed.
 
     A block holds about ``block_bytes`` bytes of text, more only if a single text
-    is longer. The table is dropped with its session's catalog; it lies in the
-    warehouse, which all executors share.
+    is longer. The table lies in the warehouse, which all executors share, and
+    stays there until it is dropped.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

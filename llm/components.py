@@ -1,4 +1,4 @@
-"""Connected components of links, and links from buckets, as joins and aggregates."""
+"""Connected components of links and of what shares buckets, as joins and aggregates."""
 
 from __future__ import annotations
 
@@ -39,7 +39,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = landed(small.distinct(), "small")
 
 
-def bucket_links(
+def joined_parts(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after ``links`` (a, b) are added to what gave ``parts``, written.
+
+    Links are first put between components, so what earlier links connected isn't walked again.
+    """
+    if parts is None:
+        return landed(components(links), "parts")
+    x = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    y = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = landed(between.where("a != b").distinct(), "between-parts")
+    if between.isEmpty():
+        return parts
+    moved = landed(components(between).withColumnRenamed("component", "least"), "moved-parts")
+    known = parts.join(moved.withColumnRenamed("node", "component"), "component", "left")
+    new = moved.join(parts, "node", "left_anti")
+    return landed(known.select("node", F.coalesce("least", "component").alias("component")).union(new.select("node", "least")), "parts")
+
+
+def bucket_components(
     members: DataFrame,
     about: DataFrame,
     fits: str,
@@ -49,7 +68,7 @@ def bucket_links(
     within: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     reach: str = "true",
 ) -> DataFrame:
-    """All links (a, b) needed to connect what shares a bucket and is verified.
+    """(node, component) of the nodes that links connect: pairs that share a bucket and are verified.
 
     ``members``: bucket, node; one row per node and bucket. ``about``: node, n.
     ``fits``: condition on ``na`` and ``nb``, the two nodes' n, that any link meets. ``load``: what
@@ -77,12 +96,9 @@ def bucket_links(
         y = known.select(F.col("node").alias("b"), F.col("n").alias("nb"))
         return pairs.join(x, "a").join(y, "b").where(fits).select(*pairs.columns)
 
-    def open_members(links: DataFrame) -> DataFrame:
+    def open_members(parts: DataFrame) -> DataFrame:
         """(bucket, node, part) of the buckets whose members are in several components."""
-        part = landed(components(links), "parts")
-        labelled = kept.join(part, kept["node"] == part["node"], "left").select(
-            "bucket", kept["node"].alias("node"), F.coalesce("component", kept["node"]).alias("part")
-        )
+        labelled = kept.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
         mixed = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
         return landed(labelled.join(mixed.select("bucket"), "bucket"), "open-members")
 
@@ -90,9 +106,9 @@ def bucket_links(
     stars = fitting(stars.agg(F.count(F.lit(1)).alias("c")))
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     tried = landed(first, "first-pairs")
-    links = landed(verify(tried, data), "first-links")
+    parts = joined_parts(None, landed(verify(tried, data), "first-links"))
     for k in range(rounds):
-        left = open_members(links)
+        left = open_members(parts)
         here = left.groupBy("bucket", "part").agg(
             F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", "bucket", F.lit(k))).alias("one")
         )
@@ -100,9 +116,9 @@ def bucket_links(
         pairs = left.join(largest, "bucket").where("part != most.part")
         pairs = pairs.select(F.least("node", "most.one").alias("a"), F.greatest("node", "most.one").alias("b")).distinct()
         pairs = landed(fitting(pairs.join(tried, ["a", "b"], "left_anti")), "next-pairs")
-        links = landed(links.unionByName(verify(pairs, data)), "next-links")
+        parts = joined_parts(parts, landed(verify(pairs, data), "next-links"))
         tried = tried.unionByName(pairs)
-    left = open_members(links)
+    left = open_members(parts)
     facts = known
     if within is not None:
         facts = known.join(landed(within(landed(left.select("node", "part").distinct(), "open-nodes"), data), "in-common"), "node")
@@ -113,4 +129,4 @@ def bucket_links(
     y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("part").alias("pb"))
     across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).where(f"({fits}) AND ({reach})")
     across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(landed(verify(landed(across, "last-pairs"), data), "last-links"))
+    return joined_parts(parts, landed(verify(landed(across, "last-pairs"), data), "last-links"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import (
     WordHashes, arrow_rows, documents, id_and_text, landed, mix, shingle_hashes, signed, text_keys, texts_in, with_null_ids, without, words_of,
 )
-from .components import bucket_links, components
+from .components import bucket_components
 from .registry import query
 
 BANDS, BAND_ROWS = 40, 5
@@ -170,7 +170,7 @@ def judged_rows(
     the threshold shares no band with probability (1 - 0.8 ** 5) ** 40, about
     1e-7. Pairs whose signatures differ in more slots than six deviations allow at the
     threshold are not looked up, and links are confirmed on the whole sets. See
-    :func:`llm.components.bucket_links` for how big groups avoid all pairs.
+    :func:`llm.components.bucket_components` for how big groups avoid all pairs.
 
     Null, empty and blank texts have no shingles, are linked with nothing and
     kept. Rows that repeat an id and a text are one document and come out as often
@@ -218,7 +218,7 @@ def judged_rows(
     enough = f">= {percent} * (na.n + nb.n)"
     reach = f"""{100 + percent} * least(size(ca), size(cb)) {enough}
         AND {100 + percent} * size(array_intersect(ca, cb)) {enough}"""
-    groups = components(bucket_links(members, about, fits, load, verify, rounds=ROUNDS, within=within, reach=reach))
+    groups = bucket_components(members, about, fits, load, verify, rounds=ROUNDS, within=within, reach=reach)
     labelled = classes.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     labelled = labelled.select("key", "first", F.coalesce("component", "key").alias("component"))
     labelled = landed(labelled, "labelled-classes")

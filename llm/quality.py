@@ -113,13 +113,13 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def frequent_lines(lines: DataFrame, min_documents: int = 20, share: float = 0.002, every_text: bool = False) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_documents: int = 20, share: float = 0.002, every_text: bool = True) -> DataFrame:
     """(host, line) of the lines that more documents of a host hold than its limit allows.
 
     The limit is ``share`` of the host's documents, at least ``min_documents``.
-    With ``every_text`` each different text is a document, for the lines as for the
-    limit; only exact copies count once. Without it documents are counted by sketch,
-    which takes many texts made of the same lines for copies of a few.
+    Each different text is a document, for the lines as for the limit; only exact copies count
+    once. Without ``every_text`` documents are counted by sketch, which takes many texts made
+    of the same lines for copies of a few.
     (host, line, text or sketch) is made distinct before the shuffle, so a line or
     a host in a third of all rows arrives combined.
     """
@@ -141,7 +141,7 @@ def quality_rules(
     min_documents: int = 20,
     share: float = 0.002,
     least_left: float = 0.3,
-    every_text: bool = False,
+    every_text: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: the base counts, base_failed, kept_words, depleted and kept.
 
@@ -258,4 +258,4 @@ def without_rejected(
 
 @query("op8_line_frequency")
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir), every_text=True).drop("text_key")
+    return quality_rules(documents(spark, sf_dir)).drop("text_key")

@@ -60,7 +60,7 @@ class Encoder:
 
     LIMIT = 600_000  # pieces kept, some 200 bytes each
 
-    def __init__(self, path: str, dtype: str, special_ids: bool = False):
+    def __init__(self, path: str, dtype: str, special_ids: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special_ids
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special_ids or not t.special]
@@ -128,7 +128,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     id_bits: int = 16,
-    special_ids: bool = False,
+    special_ids: bool = True,
 ) -> DataFrame:
     """Write ``docs`` in the given order (by default by id) and return the manifest.
 
@@ -138,7 +138,7 @@ def write_token_files(
     listed, so tasks may fail, be repeated or run twice. ``out`` must be a folder
     all executors reach (a mounted one, or any store pyarrow knows).
 
-    With ``special_ids`` a special token's string in a text is that token's id, else
+    A special token's string in a text is that token's id, without ``special_ids``
     ordinary text. A null or empty text is one end id. Repeated rows are written as often as
     they occur, rows without id come first. An empty table gives an empty manifest.
     """
@@ -249,7 +249,7 @@ def default_tokenizer() -> str:
 @query("op5_token_files")
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "tokens")
-    write_token_files(documents(spark, sf_dir), out, default_tokenizer(), special_ids=True)
+    write_token_files(documents(spark, sf_dir), out, default_tokenizer())
     return read_token_files(spark, out).select(
         "doc_id", "start", "n_tokens", ids_crc32("ids", "id_bits").alias("ids_crc32"), "position"
     )

@@ -63,15 +63,15 @@ def test_base_rules(spark, docs, odd):
 
 
 def test_frequent_lines_deplete(spark):
-    """A line in many different documents goes; the lines of many copies stay."""
+    """Counted by sketch, a line in many different documents goes; the lines of many copies stay."""
     body = "\n".join(f"w{k} and w{k + 1}" for k in range(12))
     rows = [(i, f"Share  THIS now please\n{i} only here", "h") for i in range(30)]
     rows += [(100 + i, body, "h") for i in range(30)] + [(200 + i, body + f"\nending {i}", "h") for i in range(30)]
     rows += [(300, "share this now please\nonly one here", "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     lines = quality.document_lines(df)
-    assert quality.frequent_lines(lines, min_documents=20).select("documents").collect() == [(30,)]
-    got = {r.doc_id: r.depleted for r in quality.quality_rules(df, min_words=1, least_left=0.5).collect()}
+    assert quality.frequent_lines(lines, min_documents=20, every_text=False).select("documents").collect() == [(30,)]
+    got = {r.doc_id: r.depleted for r in quality.quality_rules(df, min_words=1, least_left=0.5, every_text=False).collect()}
     assert {i for i, gone in got.items() if gone} == set(range(30))
 
 
@@ -89,7 +89,7 @@ def test_lines_count_every_text(spark, tmp_path):
     for _, text, host in rows:
         for line in text.split("\n"):
             texts[host, " ".join(line.lower().split())].add(text)
-    found = quality.frequent_lines(quality.document_lines(df), every_text=True)
+    found = quality.frequent_lines(quality.document_lines(df))
     got = sorted((r.host, r.documents) for r in found.collect())
     assert got == sorted((host, len(t)) for (host, _), t in texts.items() if len(t) > 20)
     assert Counter(host for host, _ in got) == {"stock": 30, "footer": 6, "alone": 1}
@@ -194,13 +194,13 @@ def test_op10_contract(spark, docs):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]), "rows", None)
 
 
-@pytest.mark.parametrize("bits", [16, 32])
-def test_token_files_round_trip(spark, docs, odd, bits, tmp_path):
+@pytest.mark.parametrize("bits,special_ids", [(16, True), (32, False)])
+def test_token_files_round_trip(spark, docs, odd, bits, special_ids, tmp_path):
     plain = Tokenizer.from_file(token_files.default_tokenizer())
-    plain.encode_special_tokens = True
+    plain.encode_special_tokens = not special_ids
     for k, df in enumerate((docs, odd, odd.limit(0))):
         out = f"{tmp_path}/{bits}-{k}"
-        token_files.write_token_files(df, out, token_files.default_tokenizer(), id_bits=bits)
+        token_files.write_token_files(df, out, token_files.default_tokenizer(), id_bits=bits, special_ids=special_ids)
         got = sorted(token_files.read_token_files(spark, out).collect(), key=lambda r: r.position)
         rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: r[0])
         at = 0

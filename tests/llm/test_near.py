@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from llm.common import landed  # noqa: F401
-from llm.components import components
+from llm.components import components, joined_parts
 from llm.near_duplicates import band_keys, near_duplicates, super_minhash, without_near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +56,10 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in nodes}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    parts = None
+    for some in (links[:150], links[150:420], links[:5], links[420:]):
+        parts = joined_parts(parts, spark.createDataFrame([x for x in some if x[0] != x[1]], "a long, b long"))
+    assert {r.node: r.component for r in parts.collect()} == got
 
 
 def test_super_minhash_is_the_sequential_algorithm():

@@ -76,7 +76,7 @@ def hosted():
 @pytest.mark.parametrize("remove", [True, False])
 def test_frequent_lines_are_removed(spark, hosted, remove):
     docs = frame(spark, hosted)
-    out = quality.without_rejected(docs, every_text=True, remove_lines=remove)
+    out = quality.without_rejected(docs, remove_lines=remove)
     want = plain_removal(hosted, 20, 0.002)
     assert out.columns == docs.columns
     if remove:
@@ -91,10 +91,10 @@ def test_frequent_lines_are_removed(spark, hosted, remove):
 def test_removal_keeps_what_the_rules_keep(spark, hosted):
     """The verdicts of the filter are those of the query, on planted and on given documents."""
     for docs in (frame(spark, hosted), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
-        kept = quality.quality_rules(docs, every_text=True).where("kept").groupBy("doc_id").count()
-        out = quality.without_rejected(docs, every_text=True).groupBy("doc_id").count()
+        kept = quality.quality_rules(docs).where("kept").groupBy("doc_id").count()
+        out = quality.without_rejected(docs).groupBy("doc_id").count()
         assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, out.collect()))
-    assert quality.without_rejected(docs.limit(0), every_text=True, remove_lines=True).count() == 0
+    assert quality.without_rejected(docs.limit(0), remove_lines=True).count() == 0
 
 
 def test_pipeline_stage_removes_lines_and_depleted_documents(spark, hosted):
