@@ -62,6 +62,38 @@ def test_base_rules(spark, docs, odd):
         assert ours == Counter((r.doc_id, *plain_quality(r.text)) for r in df.collect())
 
 
+def plain_verdicts(rows, min_documents, share, least_left=0.3):
+    """(doc_id, kept_words, depleted, kept) of each row: lines counted by the different texts of a host that hold them."""
+    lines_of = []
+    for r in rows:
+        lines = [re.sub(r"[\x20\x09\x0B-\x0D]+", " ", line.lower()).strip(" ") for line in (r.text or "").split("\n")]
+        lines_of.append([line for line in lines if line])
+    holders, in_host = defaultdict(set), defaultdict(set)
+    for r, lines in zip(rows, lines_of):
+        for line in lines:
+            holders[r.source or "", line].add(r.text)
+            in_host[r.source or ""].add(r.text)
+    gone = {k for k, texts in holders.items() if len(texts) > min_documents and len(texts) > len(in_host[k[0]]) * share}
+    out = Counter()
+    for r, lines in zip(rows, lines_of):
+        sizes = [(line.count(" ") + 1, (r.source or "", line) in gone) for line in lines]
+        total, left = sum(n for n, _ in sizes), sum(n for n, frequent in sizes if not frequent)
+        part = left / total if total else 1.0
+        n_words, *_, failed = plain_quality(r.text)
+        out[r.doc_id, int(part * n_words + 0.5), part < least_left, not failed and part >= least_left] += 1
+    return out
+
+
+def test_verdicts_equal_brute_force(spark, docs, odd):
+    """op8's verdict on whole tables, with its own limits and with tight ones that deplete documents."""
+    depleted = 0
+    for df, least, share in ((docs, 20, 0.002), (docs, 1, 0.01), (odd, 20, 0.002), (odd, 0, 0.1), (odd.limit(0), 20, 0.002)):
+        got = quality.quality_rules(df, min_documents=least, share=share).select("doc_id", "kept_words", "depleted", "kept").collect()
+        assert Counter(tuple(r) for r in got) == plain_verdicts(df.collect(), least, share)
+        depleted += sum(r.depleted for r in got)
+    assert depleted
+
+
 def test_frequent_lines_deplete(spark):
     """Counted by sketch, a line in many different documents goes; the lines of many copies stay."""
     body = "\n".join(f"w{k} and w{k + 1}" for k in range(12))
