@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from oracle import compare, connect
@@ -189,6 +190,24 @@ def test_mix_takes_any_number_of_sources(spark):
     assert sorted(r.slot for r in out) == list(range(2500))
 
 
+def test_query_mixes_by_its_schedule(spark, monkeypatch, tmp_path):
+    """Equal weights too get their slots from releases and deadlines, on the driver or by a task; places are those of the SQL."""
+    asked = []
+    schedule, long_schedule = mixing.frame_schedule, mixing.long_schedule
+    monkeypatch.setattr(mixing, "frame_schedule", lambda blocks: asked.append("frame") or schedule(blocks))
+    monkeypatch.setattr(mixing, "long_schedule", lambda *args: asked.append("long") or long_schedule(*args))
+    rows = [(i, f"s{i % 7 if i < 700 else 3}") for i in range(1500)] + [(None, None), (1500, "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["doc_id", "mix_source", "block", "release", "deadline", "slot", "position_in_block"]
+    got = sorted(map(repr, map(tuple, QUERIES["op6_pfair_mix"](spark, str(tmp_path)).collect())))
+    far = mixing.mix_sources(df, ticks=3).select(columns)
+    assert sorted(map(repr, map(tuple, far.collect()))) == got and asked == ["frame", "long"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(repr, db.execute(mixing.MIX_SQL).fetchall())) == got
+
+
 def test_hilbert_curve_is_a_walk():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
