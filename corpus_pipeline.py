@@ -55,7 +55,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the order of the mixture, written to files and read back: one row per document."""
     out = scratch_path(spark, "pipeline-tokens")
     write_token_files(docs, out, default_tokenizer(), order=stored_order(docs), special_ids=True)
-    return read_token_files(spark, out).select(
+    return read_token_files(spark, out, bits=32).select(
         "doc_id", "position", "start", "n_tokens", ids_crc32("ids", "id_bits").alias("ids_crc32")
     )
 

@@ -13,24 +13,22 @@ import re
 import sys
 import types
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
 from panelspark.session import scratch_path
 
-from .common import arrow_rows, documents, long_id, texts_in, with_null_ids
+from .common import arrow_rows, documents, long_id, small_batches, texts_in, with_null_ids
 from .registry import query
 
 END_ID = 2
+KINDS = {16: "<u2", 32: "<u4"}
 
 
 # A text of these characters only is cut by PIECES, the pattern of the byte-level
@@ -142,7 +140,7 @@ def write_token_files(
     ordinary text. A null or empty text is one end id. Repeated rows are written as often as
     they occur, rows without id come first. An empty table gives an empty manifest.
     """
-    dtype = {16: "<u2", 32: "<u4"}[id_bits]
+    dtype = KINDS[id_bits]
     order = order or [id_col]
     spark = docs.sparkSession
     keys = {f"_order{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
@@ -176,7 +174,8 @@ def write_token_files(
 
     schema = pa.schema([("part", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
     listed = sliced.mapInArrow(arrow_rows(write, schema), "part long, path string, docs long, ids long")
-    listed.write.parquet(f"{out}/written")
+    with small_batches(spark):
+        listed.write.parquet(f"{out}/written")
     so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = spark.read.schema("part long, path string, docs long, ids long").parquet(f"{out}/written")
     # One row per part, at most spark.sql.shuffle.partitions.
@@ -205,24 +204,30 @@ def mapped(path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def read_token_files(spark: SparkSession, out: str) -> DataFrame:
-    """Per document of a data set: doc_id, position, start, n_tokens and ids (bytes as stored)."""
+def read_token_files(spark: SparkSession, out: str, bits: int | None = None) -> DataFrame:
+    """Per document of a data set: doc_id, position, start, n_tokens, ids and id_bits.
+
+    ``ids`` are bytes as stored, or with ``bits`` (at least the stored ones) ids of that width.
+    """
     manifest = open_manifest(spark, out)
     spread = manifest.repartition(max(1, manifest.count()), "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
-                dtype = {16: "<u2", 32: "<u4"}[row["id_bits"]]
+                dtype, width = KINDS[row["id_bits"]], bits or row["id_bits"]
+                if width < row["id_bits"]:
+                    raise ValueError(f"ids of {row['id_bits']} bits don't fit in {width}")
                 ids, idx, doc_ids = (mapped(row["path"] + s, d) for s, d in ((".bin", dtype), (".idx", "<i8"), (".ids", "<i8")))
                 for at in range(0, row["docs"], 1000):
                     stop = min(at + 1000, row["docs"])
                     bounds = np.asarray(idx[at : stop + 1])
+                    some, cuts = np.asarray(ids[bounds[0] : bounds[-1]]).astype(KINDS[width], copy=False), bounds - bounds[0]
                     yield {
                         "doc_id": np.asarray(doc_ids[at:stop]), "position": row["first_doc"] + np.arange(at, stop),
                         "start": row["base"] + bounds[:-1], "n_tokens": np.diff(bounds),
-                        "ids": [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])],
-                        "id_bits": np.full(stop - at, row["id_bits"], np.int32),
+                        "ids": [some[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
+                        "id_bits": np.full(stop - at, width, np.int32),
                     }
 
     schema = pa.schema([
@@ -233,11 +238,14 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     return with_null_ids(spread.mapInArrow(arrow_rows(read, schema), kinds))
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series, bits: pd.Series) -> pd.Series:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    kinds = {16: "<u2", 32: "<u4"}
-    return ids.combine(bits, lambda i, b: zlib.crc32(np.frombuffer(i, kinds[b]).astype("<u4").tobytes()))
+def ids_crc32(ids: str, bits: str) -> Column:
+    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers.
+
+    An expression: a function in Python would need a second Python worker beside the one that reads the files.
+    Ids of 16 bits are widened here in hexadecimal, so many of them are better read with 32.
+    """
+    wide = F.unhex(F.regexp_replace(F.hex(ids), "(.{4})", "$10000"))
+    return F.crc32(F.when(F.col(bits) == 32, F.col(ids)).otherwise(wide))
 
 
 def default_tokenizer() -> str:
@@ -250,6 +258,6 @@ def default_tokenizer() -> str:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "tokens")
     write_token_files(documents(spark, sf_dir), out, default_tokenizer())
-    return read_token_files(spark, out).select(
+    return read_token_files(spark, out, bits=32).select(
         "doc_id", "start", "n_tokens", ids_crc32("ids", "id_bits").alias("ids_crc32"), "position"
     )

@@ -11,6 +11,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from conftest import plan_of
 from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -264,6 +265,34 @@ def test_token_files_round_trip(spark, docs, odd, bits, special_ids, tmp_path):
         assert sizes == at * bits // 8
 
 
+def test_token_files_are_read_by_one_python_worker_a_task(spark, tmp_path):
+    """Digests are expressions, for ids of either width; texts go to Python in small batches, whose limit holds no longer than that."""
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", [(i, "one two " * (i % 5)) for i in range(2500)]
+    before, seen = spark.conf.get(key), spark.sparkContext.accumulator(0)
+    rest = token_files.texts_in
+
+    def watched(batch, most):
+        seen.add(1)
+        return rest(batch, most)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    plain = Tokenizer.from_file(token_files.default_tokenizer())
+    coded = {t: [*plain.encode(t, add_special_tokens=False).ids, 2] for t in {t for _, t in rows}}
+    expected = {i: zlib.crc32(np.array(coded[t], "<u4").tobytes()) for i, t in rows}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_files, "texts_in", watched)
+        token_files.write_token_files(docs, f"{tmp_path}/16", token_files.default_tokenizer())
+    assert seen.value >= 3 and spark.conf.get(key) == before
+    token_files.write_token_files(docs, f"{tmp_path}/32", token_files.default_tokenizer(), id_bits=32)
+    for out, bits in (("16", None), ("16", 32), ("32", None)):
+        read = token_files.read_token_files(spark, f"{tmp_path}/{out}", bits)
+        crc = read.select("doc_id", token_files.ids_crc32("ids", "id_bits"))
+        assert "EvalPython" not in plan_of(crc) and dict(map(tuple, crc.collect())) == expected
+        assert {len(r.ids) * 8 // r.n_tokens for r in read.collect()} == {bits or int(out)}
+    with pytest.raises(Exception, match="don't fit"):
+        token_files.read_token_files(spark, f"{tmp_path}/32", 16).collect()
+
+
 def test_white_space_at_the_edges_of_pieces():
     """The vocabulary joins a line feed with U+00A0: such pieces must not meet the feed between pieces."""
     plain = Tokenizer.from_file(token_files.default_tokenizer())
