@@ -132,6 +132,23 @@ def test_lines_count_every_text(spark, tmp_path):
     assert gone == {i for i, _, host in rows if host != "copies"}
 
 
+def test_host_documents_are_counted_without_their_lines(spark, odd, monkeypatch):
+    """Lines are made for their counts and for the verdicts; the documents of a host are the same as counted from lines."""
+    strange = [(i, t, "a") for i, t in enumerate(["\x1c", "\x85", "\u2003", "\n \t\x0b\x0c\r", "\n\nİ\n", "\x00", "#", " x", "İ", None, ""])]
+    df = odd.select("doc_id", "text", "source").union(spark.createDataFrame(strange, "doc_id long, text string, source string"))
+    for c in ("text_key", "doc_id"):
+        kept = [f(df).select("host", c).distinct().collect() for f in (quality.document_lines, quality.documents_with_lines)]
+        assert sorted(kept[0]) == sorted(kept[1]) and len(kept[0]) > 8
+    # Two times lines: one Generate for the counts, one for the verdicts.
+    assert plan_of(quality.quality_rules(df)).split("Initial Plan")[0].count("Generate explode") == 2
+    for every_text in (True, False):
+        given = quality.quality_rules(df, min_documents=1, share=0.2, every_text=every_text)
+        with monkeypatch.context() as patch:
+            patch.setattr(quality, "documents_with_lines", quality.document_lines)
+            from_lines = quality.quality_rules(df, min_documents=1, share=0.2, every_text=every_text)
+        assert sorted(map(repr, given.collect())) == sorted(map(repr, from_lines.collect()))
+
+
 def test_pfair_frame():
     weights = {"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}
     ticks = mixing.whole_ticks(weights, 100)
