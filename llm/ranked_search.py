@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import arrow_rows, documents, id_and_text, landed, texts_in, with_null_ids
+from .common import arrow_rows, documents, id_and_text, landed, small_batches, texts_in, with_null_ids
 from .registry import query
 
 SEGMENT_BYTES = 4 << 20  # text of a segment; more only if a single text is longer
@@ -85,6 +85,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length among them); places and counts: documents of the segment and
     occurrences, term after term, as little-endian numbers.
 
+    A row group of its files holds one segment, since Parquet's writer and Spark's reader hold as much as a row
+    group at a time, which by default is a hundred rows or more: of what a task gets, one segment is in memory.
+
     Null and empty texts have no terms. Only the two named columns are read.
     """
 
@@ -122,7 +125,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield segment(ids, words, vocabulary)
 
-    return landed(id_and_text(docs, id_col, text_col).mapInArrow(arrow_rows(run, INDEX), INDEX_KINDS), "index")
+    with small_batches(docs.sparkSession):
+        rows = id_and_text(docs, id_col, text_col).mapInArrow(arrow_rows(run, INDEX), INDEX_KINDS)
+        return landed(rows, "index", **{"parquet.block.row.count.limit": 1})
 
 
 def length_factor(lengths: np.ndarray, held: int, total: int) -> np.ndarray:
@@ -317,6 +322,8 @@ def ranked(
 
         got = index.mapInArrow(arrow_rows(run, schema), "item_id long, doc_id long, score long")
         found = got if found is None else found.unionByName(got)
+    with small_batches(index.sparkSession, 1):  # one segment at a time, as in the index
+        found = landed(found, "found")
     # The best of each task, then of each salt, then of all.
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     order = [F.desc("score"), "doc_id"]

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from llm import ranked_search as rs
@@ -115,3 +116,22 @@ def test_merge_skips_what_cannot_come_in(monkeypatch):
 
 def test_length_factor_beyond_64_bits():
     assert rs.length_factor(np.array([0, 3, 10**9]), 10**11, 10**12).tolist() == [10, 10 + 27, 10 + 90 * 10**8]
+
+
+def test_one_segment_at_a_time(spark, monkeypatch):
+    """Whatever a task gets of texts or of the index: what readers, writers and pipes hold at once is one segment, or a thousand texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, landed, held = spark.conf.get(key), rs.landed, {}
+
+    def noted(df, label, **options):
+        held[label] = int(spark.conf.get(key))
+        return landed(df, label, **options)
+
+    monkeypatch.setattr(rs, "landed", noted)
+    docs = spark.createDataFrame([(i, f"alpha beta{i} " * 9) for i in range(300)], "doc_id long, text string").coalesce(1)
+    index = rs.build_index(docs, segment_bytes=500)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    assert index.count() == sum(m.num_row_groups for m in files) > 20
+    got = rs.ranked(index, spark.createDataFrame([(1, "beta7 alpha")], "item_id long, text string"), k=1)
+    assert [r.doc_id for r in got.collect()] == [7]
+    assert held["index"] <= 1000 and held["found"] == 1 and spark.conf.get(key) == before
